@@ -10,6 +10,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexivane import config
 from lexivane.operators import topk
@@ -117,7 +118,7 @@ def _nearest_cells(vectors: DataFrame, centers: np.ndarray, probes: int) -> Data
                 [*columns, pa.array(cells.ravel().astype(np.int32))], names=[*names, "cell"]
             )
 
-    return vectors.mapInArrow(run, vectors.schema.add("cell", "int"))
+    return vectors.mapInArrow(run, T.StructType(vectors.schema.fields[:]).add("cell", T.IntegerType()))
 
 
 def nearest_by_cells(

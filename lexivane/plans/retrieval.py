@@ -316,7 +316,7 @@ _KNN_EMBEDDINGS = """select query_idx, rank, corpus_idx, score from (
                  round(list_distance(a.embedding::double[], b.embedding::double[]), 6) as score
           from embeddings a, embeddings b)) where rank <= 30"""
 _OVERLAPS = ", ".join(
-    f"count(*) filter (greatest(d.rank, b.rank) <= {t}) / {t}.0e0 as overlap_at_{t}" for t in config.RECALL_THRESHOLDS
+    f"count(*) filter (d.rank <= {t} and b.rank <= {t}) / {t}.0e0 as overlap_at_{t}" for t in config.RECALL_THRESHOLDS
 )
 _OVERLAP = f"""select q.query_idx, {_OVERLAPS} from queries q
     left join (select * from knn_list where rank <= 30) d on d.query_idx = q.query_idx

@@ -10,13 +10,21 @@ from pyspark.sql import types as T
 
 from lexivane.operators.encode import Encoder, encode_column
 
-MODEL_SCHEMA = "token_id bigint, token string, weight double, vector array<float>"
-METRIC_SCHEMA = T.StructType.fromDDL("run string, metric string, value double")
+MODEL_SCHEMA = (
+    T.StructType()
+    .add("token_id", T.LongType())
+    .add("token", T.StringType())
+    .add("weight", T.DoubleType())
+    .add("vector", T.ArrayType(T.FloatType()))
+)
+METRIC_SCHEMA = (
+    T.StructType().add("run", T.StringType()).add("metric", T.StringType()).add("value", T.DoubleType())
+)
 
 
 def save_model(token_vectors: DataFrame, config: dict[str, str], path: str, mode: str = "errorifexists") -> None:
     """A static model: the token vectors and a one-row table of settings."""
-    columns = [F.col(f.name).cast(f.dataType) for f in T.StructType.fromDDL(MODEL_SCHEMA)]
+    columns = [F.col(f.name).cast(f.dataType) for f in MODEL_SCHEMA]
     token_vectors.select(*columns).write.mode(mode).parquet(f"{path}/token_vectors")
     settings = [F.lit(str(value)).alias(name) for name, value in config.items()]
     token_vectors.sparkSession.range(1).select(*settings).write.mode(mode).parquet(f"{path}/model_config")
