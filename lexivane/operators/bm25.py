@@ -5,15 +5,16 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexivane import config
 from lexivane.functions import text
-from lexivane.operators import topk
-from lexivane.session import written
+from lexivane.operators.topk import PLACES, Best, add_tiles, rank_hits, scan_in_tiles, scan_with_queries
+from lexivane.session import spread, written
 
-_EXPAND = 4_000_000
+_EXPAND = 1_000_000
+_DENSE = 4_000_000
 _TILE_TOKENS = 8_000_000
 _PAIR_BYTES = 32
 
@@ -29,11 +30,11 @@ def corpus_statistics(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return frequency, size
 
 
-def inverse_frequency(n_docs, df):
+def inverse_frequency(n_docs: Column, df: Column) -> Column:
     return F.log(F.lit(1.0) + (n_docs - df + 0.5) / (df + 0.5))
 
 
-def query_weights(queries: DataFrame, frequency: DataFrame, size: DataFrame) -> DataFrame:
+def query_weights(queries: DataFrame, frequency: DataFrame, n_docs: int) -> DataFrame:
     """(query_idx, token, weight): idf times the repeats of the query token.
 
     A token the corpus lacks drops out. A token most queries share makes a
@@ -44,34 +45,46 @@ def query_weights(queries: DataFrame, frequency: DataFrame, size: DataFrame) ->
         .groupBy("query_idx", "token")
         .agg(F.count(F.lit(1)).alias("repeats"))
     )
-    n_docs = size.select("n_docs").scalar()
-    idf = inverse_frequency(n_docs, F.col("df"))
+    idf = inverse_frequency(F.lit(n_docs), F.col("df"))
     return pairs.join(frequency, "token").select(
         "query_idx", "token", (F.col("repeats") * idf).alias("weight")
     )
 
 
 def _prepare(pairs: pa.Table) -> tuple[np.ndarray, tuple]:
-    """Query postings: for every term the queries that hold it."""
+    """Query postings: for every term the queries that hold it.
+
+    Terms that many queries share go to a dense matrix instead, so that their
+    part of the scores is one matrix product.
+    """
     ids, query = np.unique(pairs["query_idx"].to_numpy(), return_inverse=True)
-    coded = pc.dictionary_encode(pairs["token"].combine_chunks())
+    coded = pairs["token"].combine_chunks().dictionary_encode()
     if isinstance(coded, pa.ChunkedArray):
         coded = coded.combine_chunks()
-    term = coded.indices.to_numpy(zero_copy_only=False)
-    order = np.argsort(term, kind="stable")
+    term = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    weights = pairs["weight"].to_numpy()
     sizes = np.bincount(term, minlength=len(coded.dictionary))
+    common = np.argsort(-sizes, kind="stable")[: max(1, _DENSE // max(1, len(ids)))]
+    common = common[sizes[common] * 32 > len(ids)]
+    column = np.full(len(sizes), -1)
+    column[common] = np.arange(len(common))
+    dense = np.zeros((len(common), len(ids)))
+    shared = column[term] >= 0
+    dense[column[term[shared]], query[shared]] = weights[shared]
+    term, query, weights = term[~shared], query[~shared], weights[~shared]
+    order = np.argsort(term, kind="stable")
+    sizes = np.bincount(term, minlength=len(sizes))
     starts = np.concatenate([[0], np.cumsum(sizes)])
-    weights = pairs["weight"].to_numpy()[order]
-    return ids, (coded.dictionary, starts, query[order], weights)
+    return ids, (coded.dictionary, starts, query[order], weights[order], column, dense)
 
 
 def _scorer(avgdl: float, k1: float, b: float):
-    def score(state: tuple, batch: pa.RecordBatch, best: topk.Best) -> None:
-        terms, starts, queries, weights = state
+    def score(state: tuple, batch: pa.RecordBatch, best: Best) -> None:
+        terms, starts, queries, weights, column, dense = state
         n_queries = len(best.floor)
         ids = batch.column("corpus_idx").to_numpy(zero_copy_only=False)
         tokens = batch.column("tokens")
-        lengths = pc.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
+        lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         found = pc.index_in(tokens.flatten(), value_set=terms)
         known = found.is_valid().to_numpy(zero_copy_only=False)
         doc = np.repeat(np.arange(len(ids)), lengths)[known]
@@ -92,10 +105,15 @@ def _scorer(avgdl: float, k1: float, b: float):
             posting = starts[term[entry]] + offset
             cell = (doc[entry] - rows[0]) * n_queries + queries[posting]
             scores = np.bincount(cell, impact[entry] * weights[posting], len(rows) * n_queries)
-            scores = scores.reshape(len(rows), n_queries)
-            cut = best.floor - 10.0**-topk.PLACES
+            scores = scores.reshape(len(rows), n_queries).astype(np.float64, copy=False)
+            if len(dense):
+                shared = low + np.flatnonzero(column[term[low:high]] >= 0)
+                impacts = np.zeros((len(rows), len(dense)))
+                impacts[doc[shared] - rows[0], column[term[shared]]] = impact[shared]
+                scores += impacts @ dense
+            cut = best.floor - 10.0**-PLACES
             d, q = np.nonzero((scores > 0) & (scores >= cut[None, :]))
-            best.add(q, ids[rows[0] + d], np.round(scores[d, q], topk.PLACES))
+            best.add(q, ids[rows[0] + d], np.round(scores[d, q], PLACES))
 
     return score
 
@@ -112,24 +130,25 @@ def search(
     """(query_idx, rank, corpus_idx, score) of the k best documents per query.
 
     queries (query_idx, tokens) and docs (corpus_idx, tokens). Only documents
-    that share a token with the query are returned. Weights that fit in
+    that share a token with the query are returned. Tokens are written once,
+    since the statistics and the scoring both read them. Weights that fit in
     query_bytes go to every task, more are met in a grid of tiles.
     """
+    docs = spread(written(docs.select("corpus_idx", "tokens"), "tokens"))
     frequency, size = corpus_statistics(docs)
-    weights = written(query_weights(queries, frequency, size), "weights")
     found = size.first()
+    weights = written(query_weights(queries, frequency, found["n_docs"]), "weights")
     score = _scorer(found["avgdl"] or 1.0, k1, b)
-    docs = docs.select("corpus_idx", "tokens")
     n_bytes = weights.count() * _PAIR_BYTES
     if n_bytes <= query_bytes:
-        hits = topk.scan_with_queries(docs, weights.toArrow(), _prepare, score, k)
+        hits = scan_with_queries(docs, weights.toArrow(), _prepare, score, k)
     else:
-        tokens = found["n_docs"] * found["avgdl"]
-        placed = topk.add_tiles(
+        tokens = found["n_docs"] * (found["avgdl"] or 0)
+        placed = add_tiles(
             weights, docs, -(-n_bytes // query_bytes), max(1, int(-(-tokens // tile_tokens)))
         )
-        hits = topk.scan_in_tiles(placed[1], placed[0], _prepare, score, k)
-    return topk.rank_hits(hits, k)
+        hits = scan_in_tiles(placed[1], placed[0], _prepare, score, k)
+    return rank_hits(hits, k)
 
 
 def tokenised(df: DataFrame, id_col: str, text_col: str, name: str, tokenize=text.words) -> DataFrame:

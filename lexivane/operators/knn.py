@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexivane import config
-from lexivane.operators import topk
+from lexivane.operators.topk import PLACES, Best, add_tiles, rank_hits, scan_in_tiles, scan_with_queries
 from lexivane.session import written
 
-_BLOCK = 2_000_000
+_BLOCK = 4_000_000
 _TILE_BYTES = 64 << 20
 
 
@@ -33,7 +33,7 @@ def _prepare(queries: pa.Table) -> tuple[np.ndarray, tuple]:
     return queries["query_idx"].to_numpy(), (vectors, np.einsum("ij,ij->i", vectors, vectors))
 
 
-def _score_distance(state: tuple, batch: pa.RecordBatch, best: topk.Best) -> None:
+def _score_distance(state: tuple, batch: pa.RecordBatch, best: Best) -> None:
     """Offer the documents of a batch to every query, scored by -distance.
 
     A matrix product bounds the distances; the few pairs that can still enter
@@ -54,12 +54,12 @@ def _score_distance(state: tuple, batch: pa.RecordBatch, best: topk.Best) -> Non
             kth = np.partition(square, best.k - 1, axis=1)[:, best.k - 1]
             worst = np.minimum(worst, np.sqrt(np.maximum(kth, 0.0)))
         slack = 1e-12 * (query_sq + doc_sq.max())
-        bound = (worst + 10.0**-topk.PLACES) ** 2 + slack
+        bound = (worst + 10.0**-PLACES) ** 2 + slack
         query, doc = np.nonzero(square <= bound[:, None])
         for part in range(0, len(query), 200_000):
             q, d = query[part : part + 200_000], doc[part : part + 200_000]
             exact = np.sqrt(((queries[q] - docs[d]) ** 2).sum(axis=1))
-            best.add(q, ids[at + d], -np.round(exact, topk.PLACES))
+            best.add(q, ids[at + d], -np.round(exact, PLACES))
 
 
 def _sides(queries: DataFrame, corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -89,14 +89,14 @@ def nearest(
     n_queries, width = queries.count(), _width(queries)
     row_bytes = 8 * width + 16
     if n_queries * row_bytes <= query_bytes:
-        hits = topk.scan_with_queries(docs, queries.toArrow(), _prepare, _score_distance, k)
+        hits = scan_with_queries(docs, queries.toArrow(), _prepare, _score_distance, k)
     else:
         docs = written(docs, "docs")
         query_tiles = -(-n_queries * row_bytes // query_bytes)
         doc_tiles = max(1, -(-docs.count() * row_bytes // tile_bytes))
-        placed = topk.add_tiles(queries, docs, query_tiles, doc_tiles)
-        hits = topk.scan_in_tiles(placed[1], placed[0], _prepare, _score_distance, k)
-    return topk.rank_hits(hits.withColumn("score", F.abs("score")), k, ascending=True)
+        placed = add_tiles(queries, docs, query_tiles, doc_tiles)
+        hits = scan_in_tiles(placed[1], placed[0], _prepare, _score_distance, k)
+    return rank_hits(hits.withColumn("score", F.abs("score")), k, ascending=True)
 
 
 def _nearest_cells(vectors: DataFrame, centers: np.ndarray, probes: int) -> DataFrame:
@@ -158,11 +158,11 @@ def nearest_by_cells(
     across = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_qt") - 1))
     left = probed.join(sizes, "cell").withColumn("_q", q_tile).withColumn("_d", down)
     right = placed.join(sizes, "cell").withColumn("_d", d_tile).withColumn("_q", across)
-    hits = topk.scan_in_tiles(
+    hits = scan_in_tiles(
         right.select("corpus_idx", "vector", tile),
         left.select("query_idx", "vector", tile),
         _prepare,
         _score_distance,
         k,
     )
-    return topk.rank_hits(hits.withColumn("score", F.abs("score")), k, ascending=True)
+    return rank_hits(hits.withColumn("score", F.abs("score")), k, ascending=True)

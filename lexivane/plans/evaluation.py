@@ -288,8 +288,9 @@ _ONES = "(select model, 0 as n00, 0 as n01, n10, n11 from counts4)"
 _SHARE = "coalesce(c.n, (select min(n) from token_counts)) / cast((select sum(n) from token_counts) as double)"
 _SWEEP_MODELS = {
     f"swept_{i}": f"""select t.token, list_transform(cast(t.vector as double[]),
-        lambda x: x * ({s}::double / ({s}::double + {_SHARE}))) as vector
-        from token_vectors t left join token_counts c on c.token_id = t.token_id"""
+        lambda x: x * weight) as vector
+        from (select t.token, t.vector, {s}::double / ({s}::double + {_SHARE}) as weight
+              from token_vectors t left join token_counts c on c.token_id = t.token_id) t"""
     for i, s in enumerate(SIFS)
 }
 

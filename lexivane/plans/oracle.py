@@ -207,38 +207,34 @@ VIEWS = {
 
 def _okapi(source: str) -> str:
     """Okapi scores of every row's own three documents."""
-    return f"""select t.idx, case when t.positive is not null and t.negative is not null
-              then round(coalesce(s.pos, 0), 6) end as pos_score,
-            case when t.positive is not null and t.negative is not null
-              then round(coalesce(s.neg, 0), 6) end as neg_score,
-            case when t.positive is null or t.negative is null then -1
-              else cast(round(coalesce(s.pos, 0), 6) > round(coalesce(s.neg, 0), 6) as int) end as prediction
-        from {source} t left join (
-            select f.idx, sum(f.q * f.idf * f.p * 2.5e0 / (f.p + 1.5e0 * (0.25e0 + 0.75e0 * f.pl / f.avgdl))) as pos,
-                   sum(f.q * f.idf * f.n * 2.5e0 / (f.n + 1.5e0 * (0.25e0 + 0.75e0 * f.nl / f.avgdl))) as neg
-            from (select c.*, case when held = 2 then 0.25e0 * b.mean_idf else ln(2.5e0) - ln(1.5e0) end as idf,
-                         b.pl, b.nl, (b.pl + b.nl + 5) / 3.0e0 as avgdl
-                  from (select idx, token, count(*) filter (side = 'q') as q, count(*) filter (side = 'p') as p,
-                               count(*) filter (side = 'n') as n,
-                               max(cast(side = 'p' as int)) + max(cast(side = 'n' as int)) as held
-                        from (select idx, 'q' as side, unnest({words('query')}) as token from {source}
-                              union all select idx, 'p', unnest({words('positive')}) from {source}
-                              union all select idx, 'n', unnest({words('negative')}) from {source})
-                        group by idx, token) c
-                  join (select idx, any_value(pl) as pl, any_value(nl) as nl,
-                               ((count(*) filter (held = 1) + 5) * (ln(2.5e0) - ln(1.5e0))
-                                 + count(*) filter (held = 2) * (ln(1.5e0) - ln(2.5e0)))
-                               / (count(*) filter (held > 0) + 5) as mean_idf
-                        from (select idx, token, max(cast(side = 'p' as int)) + max(cast(side = 'n' as int)) as held,
-                                     any_value(pl) as pl, any_value(nl) as nl
-                              from (select idx, 'p' as side, unnest({words('positive')}) as token,
-                                           len({words('positive')}) as pl, len({words('negative')}) as nl from {source}
-                                    union all select idx, 'n', unnest({words('negative')}),
-                                           len({words('positive')}), len({words('negative')}) from {source})
-                              group by idx, token)
-                        group by idx) b on b.idx = c.idx
-                  where c.q > 0 and c.held > 0) f
-            group by f.idx) s on s.idx = t.idx"""
+    score = "f.q * f.idf * f.{s} * 2.5e0 / (f.{s} + 1.5e0 * (0.25e0 + 0.75e0 * f.{s}l / f.avgdl))"
+    return f"""with c as (
+            select *, cast(p > 0 as int) + cast(n > 0 as int) as held
+            from (select idx, token, count(*) filter (side = 'q') as q, count(*) filter (side = 'p') as p,
+                         count(*) filter (side = 'n') as n
+                  from (select idx, side, unnest(w) as token
+                        from (select idx, 'q' as side, {words('query')} as w from {source}
+                              union all select idx, 'p', {words('positive')} from {source}
+                              union all select idx, 'n', {words('negative')} from {source}))
+                  group by idx, token)),
+          b as (
+            select idx, sum(p) as pl, sum(n) as nl,
+                   ((count(*) filter (held = 1) + 5) * (ln(2.5e0) - ln(1.5e0))
+                     + count(*) filter (held = 2) * (ln(1.5e0) - ln(2.5e0)))
+                   / (count(*) filter (held > 0) + 5) as mean_idf
+            from c group by idx),
+          f as (
+            select c.*, b.pl, b.nl, (b.pl + b.nl + 5) / 3.0e0 as avgdl,
+                   case when held = 2 then 0.25e0 * b.mean_idf else ln(2.5e0) - ln(1.5e0) end as idf
+            from c join b on b.idx = c.idx where c.q > 0 and c.held > 0),
+          s as (
+            select idx, sum({score.format(s='p')}) as pos, sum({score.format(s='n')}) as neg from f group by idx)
+        select *, case when pos_score is null then -1 else cast(pos_score > neg_score as int) end as prediction
+        from (select t.idx, case when t.positive is not null and t.negative is not null
+                then round(coalesce(s.pos, 0), 6) end as pos_score,
+              case when t.positive is not null and t.negative is not null
+                then round(coalesce(s.neg, 0), 6) end as neg_score
+              from {source} t left join s on s.idx = t.idx)"""
 
 
 VIEWS["okapi"] = _okapi("triplets")

@@ -15,7 +15,7 @@ from lexivane.operators import corpus as corpora
 from lexivane.operators.encode import encode_column, encode_columns
 from lexivane.plans import views
 from lexivane.plans.oracle import mean_vectors, sql
-from lexivane.session import new_path, written
+from lexivane.session import new_path, spread, written
 from lexivane.sources import tables
 
 
@@ -34,7 +34,7 @@ class Retrieval:
 
     @cached_property
     def _parts(self):
-        corpus = written(corpora.index_corpus(corpora.create_corpus(self.triplets)), "corpus")
+        corpus = spread(written(corpora.index_corpus(corpora.create_corpus(self.triplets)), "corpus"))
         gold = corpora.gold_documents(corpus)
         queries = corpora.add_corpus_idx(self.triplets.select("idx", "query", "query_instruct"), gold)
         return corpus, queries.withColumnRenamed("idx", "query_idx")

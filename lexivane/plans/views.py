@@ -8,15 +8,17 @@ from pyspark.sql import functions as F
 from lexivane.functions import text
 from lexivane.operators import corpus as corpora
 from lexivane.operators import vocab
-from lexivane.session import written
+from lexivane.session import spread, written
 from lexivane.sources.ordering import dense_index
 from lexivane.sources.triplets import flag_triplets
 
 VOCABULARY = 500
+TEXT_TABLES = ("documents", "conversations", "pages")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in TEXT_TABLES else rows
 
 
 def _next(rows: DataFrame, column: str, out: str) -> DataFrame:
@@ -42,7 +44,7 @@ def triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.coalesce(F.col("quality") != 0, F.lit(True)), F.col("text")).alias("positive"),
         F.when(F.coalesce(F.col("toxic") != 1, F.lit(True)), F.col("_next")).alias("negative"),
     )
-    return written(flag_triplets(shaped), "triplets")
+    return spread(written(flag_triplets(shaped), "triplets"))
 
 
 def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

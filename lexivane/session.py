@@ -49,6 +49,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table with fewer files than cores, over all cores.
+
+    A large table has files enough and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back.
 
