@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lexivane import config
 from lexivane.functions import text
-from lexivane.operators.topk import PLACES, Best, add_tiles, rank_hits, scan_in_tiles, scan_with_queries
+from lexivane.operators.topk import KEPT_BYTES, PLACES, Best, add_tiles, rank_hits, scan_in_tiles, scan_with_queries
 from lexivane.session import spread, written
 
 _EXPAND = 1_000_000
@@ -139,7 +139,7 @@ def search(
     found = size.first()
     weights = written(query_weights(queries, frequency, found["n_docs"]), "weights")
     score = _scorer(found["avgdl"] or 1.0, k1, b)
-    n_bytes = weights.count() * _PAIR_BYTES
+    n_bytes = weights.count() * _PAIR_BYTES + queries.count() * KEPT_BYTES * k
     if n_bytes <= query_bytes:
         hits = scan_with_queries(docs, weights.toArrow(), _prepare, score, k)
     else:

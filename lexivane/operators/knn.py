@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexivane import config
-from lexivane.operators.topk import PLACES, Best, add_tiles, rank_hits, scan_in_tiles, scan_with_queries
+from lexivane.operators.topk import KEPT_BYTES, PLACES, Best, add_tiles, rank_hits, scan_in_tiles, scan_with_queries
 from lexivane.session import written
 
 _BLOCK = 4_000_000
@@ -88,11 +88,12 @@ def nearest(
     queries = written(queries, "queries")
     n_queries, width = queries.count(), _width(queries)
     row_bytes = 8 * width + 16
-    if n_queries * row_bytes <= query_bytes:
+    query_row = row_bytes + KEPT_BYTES * k
+    if n_queries * query_row <= query_bytes:
         hits = scan_with_queries(docs, queries.toArrow(), _prepare, _score_distance, k)
     else:
         docs = written(docs, "docs")
-        query_tiles = -(-n_queries * row_bytes // query_bytes)
+        query_tiles = -(-n_queries * query_row // query_bytes)
         doc_tiles = max(1, -(-docs.count() * row_bytes // tile_bytes))
         placed = add_tiles(queries, docs, query_tiles, doc_tiles)
         hits = scan_in_tiles(placed[1], placed[0], _prepare, _score_distance, k)

@@ -12,9 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexivane import config
+from lexivane.session import written
 from lexivane.sources.ordering import keys_at_ranks
 
 _LAST = "~"
+_FEW_STRATA = 100_000
 
 
 def draw(idx: str | Column, seed: int) -> Column:
@@ -36,7 +38,7 @@ def sample_rows(df: DataFrame, n: int, seed: int = config.RANDOM_STATE, idx: str
         F.lit(0).alias("_all"), F.lit(0).alias("cut"), F.lit(n).cast("bigint").alias("rank")
     )
     keys = hashed.select(F.lit(0).alias("_all"), "_draw")
-    last = keys_at_ranks(keys, ["_all"], "_draw", _draw_bucket("_draw"), cuts).select("_draw")
+    last = keys_at_ranks(keys, ["_all"], "_draw", _draw_bucket("_draw"), cuts, True).select("_draw")
     return hashed.filter(F.col("_draw") <= F.coalesce(last.scalar(), F.lit(_LAST))).drop("_draw")
 
 
@@ -64,10 +66,18 @@ def _strata(df: DataFrame, stratify: str, idx: str, seed: int) -> DataFrame:
     return df.select(F.col(stratify).cast("string").alias("stratum"), draw(idx, seed).alias("_draw"))
 
 
-def _label(df: DataFrame, stratify: str, idx: str, seed: int, cuts: DataFrame, shares: list) -> DataFrame:
+def _sizes(keyed: DataFrame, *extra: Column) -> tuple[DataFrame, bool]:
+    """Rows per stratum, and whether per-stratum tables are small enough to send
+    to every task. A flag has two strata; without that, all rows of one stratum
+    would meet in one task just to be labelled."""
+    sizes = written(keyed.groupBy("stratum").agg(F.count(F.lit(1)).alias("_n"), *extra), "strata")
+    return sizes, sizes.count() <= _FEW_STRATA
+
+
+def _label(df: DataFrame, stratify: str, idx: str, seed: int, cuts: DataFrame, shares: list, few: bool) -> DataFrame:
     """Label rows by the draws at the cut ranks, first matching share first."""
     keyed = _strata(df, stratify, idx, seed)
-    found = keys_at_ranks(keyed, ["stratum"], "_draw", _draw_bucket("_draw"), cuts)
+    found = keys_at_ranks(keyed, ["stratum"], "_draw", _draw_bucket("_draw"), cuts, few)
     limits = found.groupBy("stratum").agg(
         *[F.max(F.when(F.col("cut") == s, F.col("_draw"))).alias(f"_cut_{s}") for s in shares]
     )
@@ -77,7 +87,7 @@ def _label(df: DataFrame, stratify: str, idx: str, seed: int, cuts: DataFrame, s
     return (
         df.withColumn("stratum", F.col(stratify).cast("string"))
         .withColumn("_draw", draw(idx, seed))
-        .join(limits, "stratum", "left")
+        .join(F.broadcast(limits) if few else limits, "stratum", "left")
         .withColumn("split", value)
         .drop("stratum", "_draw", *[f"_cut_{s}" for s in shares])
     )
@@ -91,9 +101,9 @@ def stratified_split(
     idx: str = "idx",
 ) -> DataFrame:
     """Add split = test for ceil(n * test_size) rows, else train."""
-    sizes = _strata(df, stratify, idx, seed).groupBy("stratum").agg(F.count(F.lit(1)).alias("_n"))
+    sizes, few = _sizes(_strata(df, stratify, idx, seed))
     cuts = _quotas(sizes, "_n", test_size, "rank").select("stratum", F.lit("test").alias("cut"), "rank")
-    return _label(df, stratify, idx, seed, cuts, ["test"])
+    return _label(df, stratify, idx, seed, cuts, ["test"], few)
 
 
 def add_splits(
@@ -105,7 +115,7 @@ def add_splits(
     idx: str = "idx",
 ) -> DataFrame:
     """Add split: test first, then val out of the rest, else train."""
-    sizes = _strata(df, stratify, idx, seed).groupBy("stratum").agg(F.count(F.lit(1)).alias("_n"))
+    sizes, few = _sizes(_strata(df, stratify, idx, seed))
     quotas = _quotas(sizes, "_n", test_size, "_test").withColumn("_rows", F.col("_n") - F.col("_test"))
     quotas = _quotas(quotas, "_rows", val_size, "_val")
     ranks = F.array(
@@ -113,7 +123,7 @@ def add_splits(
         F.struct(F.lit("val").alias("cut"), (F.col("_test") + F.col("_val")).alias("rank")),
     )
     cuts = quotas.select("stratum", F.inline(ranks))
-    return _label(df, stratify, idx, seed, cuts, ["test", "val"])
+    return _label(df, stratify, idx, seed, cuts, ["test", "val"], few)
 
 
 def stratified_k_fold(
@@ -129,11 +139,8 @@ def stratified_k_fold(
     """
     keyed = df.select(F.col(stratify).cast("string").alias("stratum"), F.col(idx).alias("_key"))
     ahead = Window.orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = (
-        keyed.groupBy("stratum")
-        .agg(F.count(F.lit(1)).alias("_n"), F.min("_key").alias("_first"))
-        .withColumn("_start", F.coalesce(F.sum("_n").over(ahead), F.lit(0)))
-    )
+    strata, few = _sizes(keyed, F.min("_key").alias("_first"))
+    sizes = strata.withColumn("_start", F.coalesce(F.sum("_n").over(ahead), F.lit(0)))
     n_below = "cast(floor(({} - cut + {k} - 1) / {k}) as bigint)"
     share = F.expr(f"{n_below.format('(_start + _n)', k=k)} - {n_below.format('_start', k=k)}")
     upto = Window.partitionBy("stratum").orderBy("cut").rowsBetween(Window.unboundedPreceding, 0)
@@ -144,14 +151,14 @@ def stratified_k_fold(
         .filter(F.col("_share") > 0)
         .select("stratum", "cut", "rank")
     )
-    size = max(1, df.count() // 4096)
+    size = max(1, (strata.agg(F.sum("_n")).first()[0] or 0) // 65_536)
     bucket = F.floor(F.col("_key") / size).cast("bigint")
-    ends = keys_at_ranks(keyed, ["stratum"], "_key", bucket, cuts)
+    ends = keys_at_ranks(keyed, ["stratum"], "_key", bucket, cuts, few)
     folds = ends.groupBy("stratum").agg(F.collect_list(F.struct("_key", "cut")).alias("_ends"))
     open_folds = F.filter(F.col("_ends"), lambda e: e["_key"] >= F.col(idx))
     return (
         df.withColumn("stratum", F.col(stratify).cast("string"))
-        .join(folds, "stratum")
+        .join(F.broadcast(folds) if few else folds, "stratum")
         .withColumn("fold", F.array_min(F.transform(open_folds, lambda e: e["cut"])).cast("int"))
         .drop("stratum", "_ends")
     )

@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from lexivane import config
 from lexivane.functions import text
+from lexivane.session import written
 from lexivane.sources.ordering import dense_index
 
 # (text order, word position) in one BIGINT, so that the first sight of a word
 # is a plain min of a fixed-width value: the order takes the upper bits.
 _POSITIONS = 1 << 27
+_HEAP = 20_000
 
 
 def word_counts(
@@ -50,19 +52,31 @@ def create_vocabulary(
     tokenize: Callable[[Column], Column] = text.words,
     stems: DataFrame | None = None,
 ) -> DataFrame:
-    """(token_id, token, n): the most frequent words, ties by first sight."""
+    """(token_id, token, n): the most frequent words, ties by first sight.
+
+    A small cut is one bounded top-n; a large one is ranked in range buckets,
+    so that its rows never pass through a single task.
+    """
     counts = word_counts(texts, text_col, ord_col, tokenize, stems)
-    top = counts.orderBy(F.desc("n"), "first").limit(vocab_size)
-    # At most vocab_size rows reach this window.
-    order = Window.orderBy(F.desc("n"), "first")
-    return top.select((F.row_number().over(order) - 1).cast("bigint").alias("token_id"), "token", "n")
+    if vocab_size <= _HEAP:
+        top = counts.orderBy(F.desc("n"), "first").limit(vocab_size)
+        # At most vocab_size rows reach this window.
+        place = F.row_number().over(Window.orderBy(F.desc("n"), "first")) - 1
+        return top.select(place.cast("bigint").alias("token_id"), "token", "n")
+    ranked = _ranked(written(counts, "counts"), "token_id")
+    return ranked.filter(F.col("token_id") < vocab_size).select("token_id", "token", "n")
+
+
+def _ranked(counts: DataFrame, name: str, rows_per_bucket: int | None = None) -> DataFrame:
+    key = F.col("first").cast("double") / F.lit(2.0**63) - F.col("n").cast("double")
+    return dense_index(counts, [F.desc("n"), F.asc("first")], name, key, rows_per_bucket)
 
 
 def rank_words(counts: DataFrame, rows_per_bucket: int | None = None) -> DataFrame:
     """(rank, word, counts, prob) for every word, most frequent first."""
-    key = F.col("first").cast("double") / F.lit(2.0**63) - F.col("n").cast("double")
+    counts = written(counts, "counts")
     total = counts.agg(F.sum("n")).scalar()
-    ranked = dense_index(counts, [F.desc("n"), F.asc("first")], "rank", key, rows_per_bucket)
+    ranked = _ranked(counts, "rank", rows_per_bucket)
     return ranked.select(
         "rank", F.col("token").alias("word"), F.col("n").alias("counts"), (F.col("n") / total).alias("prob")
     )

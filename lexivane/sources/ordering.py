@@ -84,13 +84,14 @@ def dense_index(
 
 
 def keys_at_ranks(
-    df: DataFrame, groups: Sequence[str], key: str, bucket: Column, cuts: DataFrame
+    df: DataFrame, groups: Sequence[str], key: str, bucket: Column, cuts: DataFrame, few: bool = False
 ) -> DataFrame:
     """The key found at given 1-based ranks of each group, in key order.
 
     cuts holds the group columns, a label `cut` and a `rank`. Only bucket
     counts are shuffled, then the rows of the buckets a rank falls in.
-    bucket must never fall as key grows.
+    bucket must never fall as key grows. few says that the caller has checked
+    the cuts to be few enough to send to every task.
     """
     groups = list(groups)
     placed = df.select(*groups, key, bucket.alias("_bucket"))
@@ -106,7 +107,7 @@ def keys_at_ranks(
     wanted = sizes.join(cuts, groups).filter(hit).select(*groups, "_bucket", "cut", "rank", "_before")
     inside = F.row_number().over(Window.partitionBy(*groups, "cut").orderBy(key))
     return (
-        placed.join(wanted, [*groups, "_bucket"])
+        placed.join(F.broadcast(wanted) if few else wanted, [*groups, "_bucket"])
         .withColumn("_at", F.col("_before") + inside)
         .filter(F.col("_at") == F.col("rank"))
         .select(*groups, "cut", key)
