@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexivane.functions import text, vectors
+from lexivane.operators.pca import Projection
 
 
 def compare_models(first: DataFrame, other: DataFrame) -> DataFrame:
@@ -71,21 +72,24 @@ def token_map(model: DataFrame, x: Column | None = None, y: Column | None = None
     )
 
 
-def token_arrows(tokens: DataFrame, key: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
-    """Head-to-tail arrows of a text's tokens.
+def contributions(tokens: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Token vectors over the number of tokens of their text, in `share`."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(*key)).cast("double")
+    return tokens.withColumn("_n", n).withColumn(
+        "share", vectors.scale(F.col("vector"), F.lit(1.0) / F.col("_n"))
+    ).drop("_n")
 
-    tokens: key, position, token, x, y, l2_norm. Contributions are divided by
-    the number of tokens; every arrow starts where the one before it ends.
+
+def token_arrows(shares: DataFrame, key: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
+    """Head-to-tail arrows of a text's tokens, from the origin.
+
+    shares: key, position, token, x, y, l2_norm, where (x, y) is what a token
+    contributes. Every arrow starts where the one before it ends.
     """
-    whole = Window.partitionBy(*key)
-    so_far = whole.orderBy("position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = tokens.withColumn("_n", F.count(F.lit(1)).over(whole))
-    chained = counted.withColumn("_dx", F.col(x) / F.col("_n")).withColumn("_dy", F.col(y) / F.col("_n"))
-    chained = chained.withColumn("end_x", F.sum("_dx").over(so_far)).withColumn(
-        "end_y", F.sum("_dy").over(so_far)
-    )
+    so_far = Window.partitionBy(*key).orderBy("position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    chained = shares.withColumn("end_x", F.sum(x).over(so_far)).withColumn("end_y", F.sum(y).over(so_far))
     width = F.greatest(F.lit(1.0), F.least(F.lit(20.0), F.col("l2_norm")))
-    start_x, start_y = F.col("end_x") - F.col("_dx"), F.col("end_y") - F.col("_dy")
+    start_x, start_y = F.col("end_x") - F.col(x), F.col("end_y") - F.col(y)
     return chained.select(
         *key,
         "position",
@@ -100,6 +104,20 @@ def token_arrows(tokens: DataFrame, key: Sequence[str], x: str = "x", y: str = "
     )
 
 
+def project_contributions(shares: DataFrame, means: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Contributions and mean vectors in the plane of the contributions' two
+    largest components; adds x and y to both.
+
+    shares holds `share`, means the mean vector of every text in `vector`.
+    """
+    plane = Projection(shares, "share", 2)
+
+    def flat(df: DataFrame, column: str) -> DataFrame:
+        return plane.apply(df, column, "_xy").withColumn("x", F.col("_xy")[0]).withColumn("y", F.col("_xy")[1]).drop("_xy")
+
+    return flat(shares, "share"), flat(means, "vector")
+
+
 def parent_runs(runs: DataFrame) -> DataFrame:
     return runs.filter(F.col("parent_run").isNull())
 

@@ -95,12 +95,18 @@ def _label(df: DataFrame, stratify: str, idx: str, seed: int, cuts: DataFrame, s
 
 def stratified_split(
     df: DataFrame,
-    test_size: float = config.TEST_SIZE,
+    test_size: float | None = config.TEST_SIZE,
     stratify: str = "has_positive_and_negative",
     seed: int = config.RANDOM_STATE,
     idx: str = "idx",
 ) -> DataFrame:
-    """Add split = test for ceil(n * test_size) rows, else train."""
+    """Add split = test for ceil(n * test_size) rows, else train.
+
+    Without a test size nothing is held out: every row is marked all, to be
+    trained on and evaluated.
+    """
+    if test_size is None:
+        return df.withColumn("split", F.lit("all"))
     sizes, few = _sizes(_strata(df, stratify, idx, seed))
     cuts = _quotas(sizes, "_n", test_size, "rank").select("stratum", F.lit("test").alias("cut"), "rank")
     return _label(df, stratify, idx, seed, cuts, ["test"], few)

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from lexivane.functions import text
 from lexivane.operators import compare, pca
-from lexivane.operators.encode import explode_tokens
+from lexivane.operators.encode import encode_columns, explode_tokens
 from lexivane.plans import views
 from lexivane.plans.oracle import sql, words
-from lexivane.session import new_path
+from lexivane.session import new_path, written
 from lexivane.sources import tables
 
 
@@ -48,25 +48,40 @@ def vocab_diff(spark, sf_dir):
     return compare.vocabulary_difference(views.vocabulary(spark, sf_dir), views.vocabulary(spark, sf_dir, "fr"))
 
 
-def token_arrows(spark, sf_dir):
-    """Arrows over all conversation turns, in the first two dims."""
+def _shares(spark, sf_dir):
     turns = views.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    tokens = explode_tokens(turns, ["conv_id", "turn"], "text", views.token_vectors(spark, sf_dir))
-    flat = tokens.withColumn("x", F.col("vector")[0]).withColumn("y", F.col("vector")[1]).drop("vector")
-    arrows = compare.token_arrows(flat, ["conv_id", "turn"])
+    model = views.token_vectors(spark, sf_dir)
+    tokens = explode_tokens(turns, ["conv_id", "turn"], "text", model)
+    return turns, model, compare.contributions(tokens, ["conv_id", "turn"])
+
+
+def _arrows(shares):
+    arrows = compare.token_arrows(shares, ["conv_id", "turn"])
     numbers = [c for c in arrows.columns if c.endswith(("_x", "_y"))]
     arrows = arrows.withColumn("position", F.col("position").cast("bigint"))
     return _rounded(arrows, [*numbers, "line_width"])
 
 
+def token_arrows(spark, sf_dir):
+    """Arrows over all conversation turns, in the first two dims."""
+    _, _, shares = _shares(spark, sf_dir)
+    return _arrows(shares.withColumn("x", F.col("share")[0]).withColumn("y", F.col("share")[1]))
+
+
+def _projected(spark, sf_dir):
+    turns, model, shares = _shares(spark, sf_dir)
+    means = encode_columns(turns, {"vector": ("text", model)}, "conv_id").drop("text")
+    return compare.project_contributions(written(shares, "shares"), means)
+
+
 def token_arrows_pca(spark, sf_dir):
     """Arrows in the plane of the two largest components of the contributions."""
-    turns = views.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    model = views.token_vectors(spark, sf_dir)
-    flat = pca.reduce_dimensions(model, "vector", 2).select("token", F.col("vector")[0].alias("x"), F.col("vector")[1].alias("y"))
-    tokens = explode_tokens(turns, ["conv_id", "turn"], "text", model).drop("vector").join(flat, "token")
-    arrows = compare.token_arrows(tokens, ["conv_id", "turn"])
-    return _rounded(arrows, [c for c in arrows.columns if c.endswith(("_x", "_y"))])
+    return _arrows(_projected(spark, sf_dir)[0])
+
+
+def mean_points_pca(spark, sf_dir):
+    """The mean vector of every turn in that plane."""
+    return _rounded(_projected(spark, sf_dir)[1].select("conv_id", "turn", "x", "y"), ["x", "y"])
 
 
 def legend_labels(spark, sf_dir):
@@ -138,6 +153,7 @@ QUERIES = {
     "vocab_diff": vocab_diff,
     "token_arrows": token_arrows,
     "token_arrows_pca": token_arrows_pca,
+    "mean_points_pca": mean_points_pca,
     "legend_labels": legend_labels,
     "token_inputs": token_inputs,
     "runs_compare": runs_compare,

@@ -164,17 +164,17 @@ _LENGTHS = f"""select corpus_idx, cast(least(len({words('document')}), {config.M
     least(len({words('document')}), {config.MAX_LENGTH}) <= {DOC_MAX_LENGTH} as fits_length from features"""
 
 # The removal rules without look-ahead.
-_UPPER = r"regexp_matches(token, '^[\p{L}\p{N}\p{M}_]*[A-Z]')"
+UPPER_RULE = r"regexp_matches(token, '^[\p{L}\p{N}\p{M}_]*[A-Z]')"
 _PLAIN = "a-zA-ZæøåÆØÅ0-9.,\\t\\n\\f\\r "
-_EXOTIC = f"""(regexp_matches(token, '[^{_PLAIN}]') and not regexp_matches(token, '^Ġ[{_PLAIN}]*$')
+EXOTIC_RULE = f"""(regexp_matches(token, '[^{_PLAIN}]') and not regexp_matches(token, '^Ġ[{_PLAIN}]*$')
     and token <> '<|end_of_text|>')"""
-_UNCOMMON = r"""(regexp_matches(token, '^\p{Nd}{2,}$|^Ġ{2,}|^\.|^Ġ.*\p{Nd}.*\p{Nd}')
+UNCOMMON_RULE = r"""(regexp_matches(token, '^\p{Nd}{2,}$|^Ġ{2,}|^\.|^Ġ.*\p{Nd}.*\p{Nd}')
     or (regexp_matches(token, '[a-zA-Z]') and regexp_matches(token, '\p{Nd}')))"""
-_DEFAULT = r"regexp_matches(token, '^\[unused\p{Nd}+\]')"
+DEFAULT_RULE = r"regexp_matches(token, '^\[unused\p{Nd}+\]')"
 
 
 def _removed(*rules):
-    return sql(f"select token, {' or '.join([_DEFAULT, *rules])} as removed from raw_tokens")
+    return sql(f"select token, {' or '.join([DEFAULT_RULE, *rules])} as removed from raw_tokens")
 
 
 ORACLES = {
@@ -223,8 +223,8 @@ ORACLES = {
     "normalised_text": f"""select doc_id, regexp_replace({_ACCENTS.format('text')},
         '^{_SPACE}+|{_SPACE}+$', '', 'g') as text from documents""",
     "token_filter_default": _removed(),
-    "token_filter_upper": _removed(_UPPER),
-    "token_filter_exotic": _removed(_EXOTIC),
-    "token_filter_uncommon": _removed(_UNCOMMON),
-    "token_filter_all": _removed(_UPPER, _EXOTIC, _UNCOMMON),
+    "token_filter_upper": _removed(UPPER_RULE),
+    "token_filter_exotic": _removed(EXOTIC_RULE),
+    "token_filter_uncommon": _removed(UNCOMMON_RULE),
+    "token_filter_all": _removed(UPPER_RULE, EXOTIC_RULE, UNCOMMON_RULE),
 }

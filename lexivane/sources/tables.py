@@ -102,6 +102,12 @@ def append_metrics(metrics: DataFrame, path: str) -> None:
     ).parquet(path)
 
 
+def append_parameters(spark: SparkSession, run: str, parameters: dict, path: str) -> None:
+    """Append (run, parameter, value) with the values as text."""
+    rows = F.array(*[F.struct(F.lit(k).alias("parameter"), F.lit(str(v)).alias("value")) for k, v in parameters.items()])
+    spark.range(1).select(F.lit(run).alias("run"), F.inline(rows)).write.mode("append").parquet(path)
+
+
 def read_runs(spark: SparkSession, path: str, metrics: Sequence[str] | None = None) -> DataFrame:
     """One row per run, one column per metric."""
     rows = spark.read.schema(METRIC_SCHEMA).parquet(path)

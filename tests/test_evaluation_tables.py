@@ -78,15 +78,34 @@ def test_vocabulary_difference(spark):
 
 
 def test_arrows_chain(spark):
-    rows = [(0, p, "t", float(x), float(y), n) for p, (x, y, n) in enumerate([(2, 0, 0.5), (0, 4, 5.0), (2, 2, 99.0)])]
-    df = spark.createDataFrame(rows, "k bigint, position int, token string, x double, y double, l2_norm double")
-    got = compare.token_arrows(df, ["k"]).orderBy("position").collect()
+    rows = [(0, p, "t", [float(x), float(y)], n) for p, (x, y, n) in enumerate([(2, 0, 0.5), (0, 4, 5.0), (2, 2, 99.0)])]
+    df = spark.createDataFrame(rows, "k bigint, position int, token string, vector array<double>, l2_norm double")
+    shares = compare.contributions(df, ["k"])
+    flat = shares.withColumn("x", F.col("share")[0]).withColumn("y", F.col("share")[1])
+    got = compare.token_arrows(flat, ["k"]).orderBy("position").collect()
     ends = np.cumsum([[2, 0], [0, 4], [2, 2]], axis=0) / 3
     assert [[r["end_x"], r["end_y"]] for r in got] == [pytest.approx(list(e)) for e in ends]
     assert [r["line_width"] for r in got] == [1.0, 5.0, 20.0]
     assert got[0]["start_x"] == 0 and got[1]["start_x"] == pytest.approx(got[0]["end_x"])
 
 
+def test_contributions_sum_to_the_projected_mean(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, p, rng.random(5).tolist()) for k in range(6) for p in range(k + 1)]
+    df = spark.createDataFrame(rows, "k bigint, position int, vector array<double>")
+    means = {k: np.mean([v for key, _, v in rows if key == k], axis=0) for k in range(6)}
+    mean_df = spark.createDataFrame([(k, m.tolist()) for k, m in means.items()], "k bigint, vector array<double>")
+    points, projected = compare.project_contributions(compare.contributions(df, ["k"]), mean_df)
+    shares = np.array([np.array(v) / (k + 1) for k, _, v in rows])
+    centre = shares.mean(axis=0)
+    axes = np.linalg.svd(shares - centre, full_matrices=False)[2][:2].T
+    axes *= np.sign(axes[np.abs(axes).argmax(axis=0), [0, 1]])
+    got = {r["k"]: (r["x"], r["y"]) for r in projected.collect()}
+    for k, mean in means.items():
+        assert got[k] == pytest.approx(tuple((mean - centre) @ axes))
+    assert points.agg(F.round(F.sum("x"), 9)).first()[0] == pytest.approx(0.0)
+
+
 def test_runs(spark):
     rows = [
         ("dim256", None, 1, "256", None, 0.5), ("dim256", None, 0, "256", True, 0.5),
