@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexivane import config
 from lexivane.functions import vectors
 from lexivane.operators import bm25, evaluation, pca, splits, vocab
 from lexivane.operators.encode import encode_columns

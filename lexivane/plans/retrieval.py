@@ -28,7 +28,7 @@ class Retrieval:
     """
 
     triplets: DataFrame
-    model: DataFrame
+    model: DataFrame | None = None
     second_model: DataFrame | None = None
     normalize: bool = False
 
@@ -65,11 +65,16 @@ class Retrieval:
         return fusion.reciprocal_rank_fusion([dense, lexical], rrf_k, k), dense, lexical
 
     def two_stage(self, stage1_k: int = config.STAGE1_K, final_k: int = config.TOP_K) -> DataFrame:
-        """Hybrid candidates, reranked with the second model on prompted queries."""
-        candidates, _, _ = self.hybrid(stage1_k)
+        """Hybrid candidates, reranked with the second model on prompted queries.
+
+        Only documents that are a candidate of some query are encoded again.
+        """
+        candidates = written(self.hybrid(stage1_k)[0], "candidates")
         asked = self.triplets.withColumnRenamed("idx", "query_idx")
         queries = self._encode(asked, "query_idx", "query_instruct", self.second_model)
-        docs = self._encode(self.corpus, "corpus_idx", "document", self.second_model)
+        chosen = candidates.select("corpus_idx").distinct()
+        found = self.corpus.join(chosen, "corpus_idx", "left_semi")
+        docs = self._encode(found, "corpus_idx", "document", self.second_model)
         return fusion.rerank(candidates, queries, docs, final_k)
 
     def recall(self, ranked: DataFrame) -> DataFrame:
@@ -101,8 +106,7 @@ def doc_vectors_unit(spark, sf_dir):
 
 
 def bm25_topk(spark, sf_dir):
-    triplets = views.triplets(spark, sf_dir)
-    return Retrieval(triplets, triplets).lexical(config.TOP_K)
+    return Retrieval(views.triplets(spark, sf_dir)).lexical(config.TOP_K)
 
 
 def knn_topk(spark, sf_dir):
@@ -159,14 +163,12 @@ def rerank(spark, sf_dir):
 
 
 def recall_bm25(spark, sf_dir):
-    triplets = views.triplets(spark, sf_dir)
-    run = Retrieval(triplets, triplets)
+    run = Retrieval(views.triplets(spark, sf_dir))
     return run.recall(run.lexical(config.TOP_K))
 
 
 def recall_by_query(spark, sf_dir):
-    triplets = views.triplets(spark, sf_dir)
-    run = Retrieval(triplets, triplets)
+    run = Retrieval(views.triplets(spark, sf_dir))
     return fusion.recall_by_query(run.queries, run.lexical(config.TOP_K))
 
 

@@ -64,7 +64,8 @@ def dense_index(
 
     Rows are ranked inside range buckets and shifted by the size of the
     buckets before theirs. range_key is a number that never falls along the
-    order; by default the first order column.
+    order; by default the first order column. Where many rows may share that
+    column, pass a range_key that tells them apart, or they fill one bucket.
     """
     first = F.col(order[0]) if isinstance(order[0], str) else order[0]
     key = first if range_key is None else range_key

@@ -4,8 +4,12 @@ import pytest
 from lexivane.operators.distil import distil, token_table
 
 
+@pytest.fixture
 def factory():
-    return lambda items: [[float(len("".join(t))), 1.0, float("nan") if "bad" in t else 2.0] for t in items]
+    def make():
+        return lambda items: [[float(len("".join(t))), 1.0, float("nan") if "bad" in t else 2.0] for t in items]
+
+    return make
 
 
 def frame(spark, tokens):
@@ -23,7 +27,7 @@ def test_tokens_keep_internal_first_and_drop_matches(spark):
     assert [tuple(r) for r in got] == [(0, "x", True), (1, "aa", True), (2, "b", False)]
 
 
-def test_weighted_model(spark):
+def test_weighted_model(spark, factory):
     vocabulary = frame(spark, ["aa", "b", "bad", "none"])
     model, settings = distil(texts(spark), factory, vocabulary, pca_dims=None)
     got = {r["token"]: r for r in model.collect()}
@@ -36,7 +40,7 @@ def test_weighted_model(spark):
     assert settings["hidden_dim"] == 3 and settings["sif_coefficient"] == 1e-3
 
 
-def test_switches(spark):
+def test_switches(spark, factory):
     vocabulary = frame(spark, ["aa", "b", "bad", "none"])
     model, settings = distil(
         texts(spark), factory, vocabulary, instruction="Say", pca_dims=2, focus_pca=True,
@@ -47,7 +51,7 @@ def test_switches(spark):
     assert all(np.linalg.norm(r["vector"]) == pytest.approx(1.0, abs=1e-5) for r in rows)
 
 
-def test_nothing_left_is_an_error(spark):
+def test_nothing_left_is_an_error(spark, factory):
     with pytest.raises(ValueError):
         distil(texts(spark), factory, frame(spark, ["a"]), token_remove_pattern="a")
     with pytest.raises(ValueError):

@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from lexivane.operators import pca
 from lexivane.operators.encode import encode_column, encode_columns, explode_tokens

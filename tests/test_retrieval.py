@@ -3,7 +3,6 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from lexivane.operators import bm25, fusion, knn
 
