@@ -129,7 +129,7 @@ def sweep_accuracy(spark, sf_dir):
     model = views.token_vectors(spark, sf_dir)
     vocabulary = model.select("token_id", "token")
     texts = views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), "text")
-    counts = vocab.token_frequencies(vocabulary, texts)
+    counts = written(vocab.token_frequencies(vocabulary, texts), "frequencies")
     weights = vocab.sif_weights(vocabulary, counts, SIFS)
     scaled = vectors.scale(vectors.doubles(F.col("vector")), F.col("weight")).alias("vector")
     swept = written(model.join(weights, "token_id").select("sif", "token", scaled), "sweep")
@@ -165,7 +165,7 @@ def pca_all(spark, sf_dir):
 
 def pca_focus(spark, sf_dir):
     """Fitted on the tokens seen in conversations, applied to all."""
-    vocabulary = views.vocabulary(spark, sf_dir)
+    vocabulary = written(views.vocabulary(spark, sf_dir), "vocabulary")
     texts = views.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("ord"), "text")
     counts = vocab.token_frequencies(vocabulary, texts)
     reduced = pca.reduce_dimensions(_embeddings(spark, sf_dir), "vector", 16, counts)

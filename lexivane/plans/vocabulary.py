@@ -10,6 +10,7 @@ from lexivane.operators import corpus as corpora
 from lexivane.operators import vocab
 from lexivane.plans import views
 from lexivane.plans.oracle import sql
+from lexivane.session import written
 
 SIFS = (0.01, 0.005, 0.001, 0.0005, 0.0001)
 
@@ -23,8 +24,9 @@ def _documents(spark, sf_dir):
 
 
 def _counts(spark, sf_dir):
-    vocabulary = views.vocabulary(spark, sf_dir)
-    return vocabulary, vocab.token_frequencies(vocabulary, _documents(spark, sf_dir))
+    """The vocabulary and its counts, each computed once."""
+    vocabulary = written(views.vocabulary(spark, sf_dir), "vocabulary")
+    return vocabulary, written(vocab.token_frequencies(vocabulary, _documents(spark, sf_dir)), "frequencies")
 
 
 def _ranked(spark, sf_dir):
@@ -54,10 +56,10 @@ def token_frequencies(spark, sf_dir):
 
 
 def tokens_by_frequency(spark, sf_dir):
-    vocabulary = views.vocabulary(spark, sf_dir)
+    vocabulary = written(views.vocabulary(spark, sf_dir), "vocabulary")
     counts = vocab.token_frequencies(vocabulary, views.table(spark, sf_dir, "conversations").select(
         (F.col("conv_id") * 4096 + F.col("turn")).alias("ord"), "text"))
-    return vocab.sort_by_frequency(vocabulary, counts)
+    return vocab.sort_by_frequency(vocabulary, written(counts, "frequencies"))
 
 
 def rank_table(spark, sf_dir):
