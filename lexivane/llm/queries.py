@@ -54,7 +54,7 @@ WITH RECURSIVE words AS (
   SELECT doc_id, CASE
     WHEN len(w) = 0 THEN []
     WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
   FROM words
 ), items AS (
   SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets
@@ -84,7 +84,7 @@ WITH words AS (
   SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id
 ), kept AS (
   SELECT doc_id, len(w) AS n, CASE WHEN ps IS NULL THEN w
-    ELSE list_transform(list_filter(range(1, len(w) + 1), p -> NOT list_contains(ps, p)), p -> w[p]) END AS k
+    ELSE list_transform(list_filter(range(1, len(w) + 1), lambda p: NOT list_contains(ps, p)), lambda p: w[p]) END AS k
   FROM words LEFT JOIN lists USING (doc_id)
 )
 SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(n - len(k) AS BIGINT) AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
