@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexivane.llm import common
+from lexivane.llm import common, recurrence
 from lexivane.llm.components import components
 from lexivane.session import written
 
 GROUP_MEMBERS = 128
 QUERIES_PER_TASK = 256
-SAMPLE_DOCS = 20_000  # documents that tell which tokens are frequent; it orders tokens and changes no result
+SAMPLE_DOCS = 5_000  # documents that tell which tokens are frequent; it orders tokens and changes no result
 HOT_TOKENS = 200_000
 
 
@@ -45,12 +45,6 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
-    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
-    values = np.concatenate([*arrays, np.zeros(0, np.int64)]).astype(np.int64)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
-
-
 def least_overlap(n, percent: int):
     """Smallest overlap with which a set of n tokens can reach the threshold."""
     return -(-n * percent // 100)
@@ -76,25 +70,24 @@ def frequent_tokens(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]
     return token[order], n[order]
 
 
-def _rarest_first(tokens: np.ndarray, hot: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
+def _rarest_first(tokens: np.ndarray, hot: np.ndarray, counts: np.ndarray) -> np.ndarray:
     if not len(hot) or not len(tokens):
-        return tokens, 0
+        return tokens
     at = np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)
     weight = np.where(hot[at] == tokens, counts[at], 0)
-    return tokens[np.lexsort((tokens, weight))], int((weight > 0).sum())
+    return tokens[np.argsort(weight, kind="stable")]
 
 
-def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Per row (doc_id, n, k1, k2, least, heat, prefix): set size, key of the whole set, its smallest token, how many
-    frequent tokens it has, and the tokens that can decide. Empty sets have null keys."""
-    hot = docs.sparkSession.sparkContext.broadcast(frequent_tokens(docs, size))
+def signatures(docs: DataFrame, size: int, hot) -> DataFrame:
+    """Per row (doc_id, n, k1, k2, least, heat): set size, key of the whole set, its smallest token, and how many of the
+    frequent tokens it has. Empty sets have null keys."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, counts = hot.value
+        tokens, _ = hot.value
         for batch in batches:
             sets = text_sets(common.as_bytes(batch.column(1)), size)
-            ordered = [_rarest_first(s, tokens, counts) for s in sets]
             empty = np.array([not len(s) for s in sets], bool)
+            heat = [int(np.isin(s, tokens, assume_unique=True).sum()) for s in sets]
 
             def key(salt: int) -> pa.Array:
                 found = [common.mix(s ^ np.uint64(salt)).sum(dtype=np.uint64) for s in sets]
@@ -103,32 +96,55 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    pa.array(np.array([len(s) for s in sets], np.int64)),
+                    pa.array([len(s) for s in sets], pa.int64()),
                     key(0x51ED270B),
                     key(0x2545F4914F6CDD1D),
-                    pa.array([s[:1].view(np.int64)[0] if len(s) else None for s in sets], pa.int64()),
-                    pa.array(np.array([h for _, h in ordered], np.int64)),
-                    _lists([_signed(o[: len(o) - least_overlap(len(o), percent) + 1]) for o, _ in ordered]),
+                    pa.array([int(_signed(s[:1])[0]) if len(s) else None for s in sets], pa.int64()),
+                    pa.array(heat, pa.int64()),
                 ],
-                names=["doc_id", "n", "k1", "k2", "least", "heat", "prefix"],
+                names=["doc_id", "n", "k1", "k2", "least", "heat"],
             )
 
-    schema = "doc_id long, n long, k1 long, k2 long, least long, heat long, prefix array<bigint>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, schema)
+    schema = "doc_id long, n long, k1 long, k2 long, least long, heat long"
+    return docs.select("doc_id", "text").mapInArrow(work, schema)
+
+
+def _deciding_tokens(texts: list[bytes], size: int, percent: int, hot) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    kept = []
+    for tokens in text_sets(texts, size):
+        ordered = _rarest_first(tokens, *hot.value)
+        kept.append(ordered[: len(ordered) - least_overlap(len(ordered), percent) + 1])
+    flat = np.concatenate([*kept, np.zeros(0, np.uint64)])
+    return np.array([len(k) for k in kept]), flat, np.arange(len(flat))
+
+
+def _owners(k1: np.ndarray, k2: np.ndarray, counts: np.ndarray, places: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
+    owner = k1[np.searchsorted(np.cumsum(counts, dtype=np.int64), places, "right")]
+    return pa.RecordBatch.from_arrays([pa.array(owner), pa.array(_signed(hashes))], names=["node", "token"])
+
+
+def shared_tokens(docs: DataFrame, size: int, percent: int, hot) -> DataFrame:
+    """(node, token): each document's deciding tokens that another row decides by too."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = common.partitions_for(docs, total, 4 * recurrence.BYTES_PER_RANGE)
+    rows = docs.filter("doc_id IS NOT NULL").select("doc_id", F.lit(0).cast("long").alias("_k2"), "text")
+    index = recurrence.build(rows, parts, lambda texts: _deciding_tokens(texts, size, percent, hot))
+    return recurrence.recurring(index, _owners, "node long, token long")
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """(node, tokens) of the documents in nodes; tokens are 64-bit numbers in a binary."""
+    """(node, least, tokens) of the documents in nodes; tokens are 64-bit numbers in a binary."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = text_sets(common.as_bytes(batch.column(1)), size)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "tokens"]
+                [batch.column(0), batch.column(2), pa.array([s.tobytes() for s in sets], pa.binary())],
+                names=["node", "least", "tokens"],
             )
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes.select("node"), "node", "left_semi")
-    return texts.mapInArrow(work, "node long, tokens binary")
+    texts = docs.withColumnRenamed("doc_id", "node").join(nodes.select("node", "least"), "node")
+    return texts.select("node", "text", "least").mapInArrow(work, "node long, least long, tokens binary")
 
 
 def _joined(a: int, b: int, both: int, percent: int) -> bool:
@@ -212,23 +228,20 @@ def _verified(rows: DataFrame, percent: int, tasks: int) -> DataFrame:
     return dealt.mapInArrow(work, "a long, b long")
 
 
-def _links(docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
+def _links(docs: DataFrame, reps: DataFrame, size: int, percent: int, hot) -> DataFrame:
     """Enough links (a, b) between different sets that every linked pair is connected."""
-    tokens = written(reps.select("node", "n", F.explode("prefix").alias("token")), "prefixes")
-    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("docs")).filter("docs > 1").select("token")
-    tokens = written(tokens.join(shared, "token"), "shared")
-    known = reps.select("node", "n", "least", "heat")
-    nodes = written(known.join(tokens.select("node").distinct(), "node"), "nodes")
-    sets = written(_sets_of(docs, nodes, size), "sets").dropDuplicates(["node", "tokens"])
+    tokens = shared_tokens(docs, size, percent, hot).join(reps.select("node"), "node", "left_semi")
+    tokens = written(tokens, "shared")
+    nodes = written(reps.join(tokens.select("node").distinct(), "node"), "nodes")
+    sets = written(_sets_of(docs, nodes, size), "sets")
 
     # Near copies share their smallest token: each is first held against one of them, so that most need nothing more.
     best = F.max(F.struct("heat", (-F.col("node")).alias("minus"))).alias("best")
     centers = nodes.groupBy("least").agg(best, F.count(F.lit(1)).alias("size")).filter("size > 1")
     centers = centers.select("least", (-F.col("best.minus")).alias("center"))
-    center_sets = centers.join(sets.toDF("center", "center_tokens"), "center")
+    center_sets = centers.join(sets.select(F.col("node").alias("center"), F.col("tokens").alias("center_tokens")), "center")
     center_sets = written(center_sets, "centers")
-    mine = written(nodes.select("node", "least").join(sets, "node"), "grouped")
-    pairs = mine.join(center_sets, "least").filter("node <> center").select("node", "tokens", "center", "center_tokens")
+    pairs = sets.join(center_sets, "least").filter("node <> center").select("node", "tokens", "center", "center_tokens")
     star = written(_star_edges(pairs, percent).groupBy("node").agg(F.min("center").alias("center")), "star")
 
     placed = nodes.join(star, "node", "left").withColumn("label", F.coalesce("center", "node"))
@@ -263,7 +276,7 @@ def _links(docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFra
     queries = met.join(opened, "grp").select(
         "node", "label", "grp", F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("is_query")
     )
-    rows = members.unionByName(queries).join(sets, "node")
+    rows = members.unionByName(queries).join(sets.select("node", "tokens"), "node")
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return star.select(F.col("node").alias("a"), F.col("center").alias("b")).union(_verified(rows, percent, tasks))
 
@@ -278,13 +291,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     one document.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = written(signatures(docs, size, percent), "signatures")
+    hot = docs.sparkSession.sparkContext.broadcast(frequent_tokens(docs, size))
+    rows = written(signatures(docs, size, hot), "signatures")
     keyed = rows.filter("doc_id IS NOT NULL AND k1 IS NOT NULL")
-    first = keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"))
-    first = written(first, "first")
+    first = written(keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("node")), "first")
     reps = keyed.join(first.select("k1", "k2", F.col("node").alias("doc_id")), ["doc_id", "k1", "k2"])
-    reps = reps.dropDuplicates(["doc_id", "k1", "k2"]).withColumnRenamed("doc_id", "node")
-    found = components(_links(docs, written(reps, "reps"), size, percent))
+    reps = reps.groupBy(F.col("doc_id").alias("node")).agg(*[F.max(c).alias(c) for c in ("n", "least", "heat")])
+    found = components(_links(docs, written(reps, "reps"), size, percent, hot))
     classes = first.join(found, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("class"))
     classes = written(classes, "classes")
     return rows.join(classes, ["k1", "k2"], "left").select(

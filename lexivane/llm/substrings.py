@@ -16,139 +16,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexivane.llm import common
+from lexivane.llm import common, recurrence
 
 WINDOW = 35
-BLOCK_BYTES = 6 << 20
-BYTES_PER_RANGE = 24 << 20  # text whose windows one task compares
-_FIELDS = "part int, known boolean, k1 binary, k2 binary, words binary, hashes binary, places binary, twice binary"
 
 
-def _packed(sorted_hashes: np.ndarray) -> bytes:
-    """Sorted numbers as differences, byte planes apart: the upper planes are mostly zero and compress."""
-    gaps = np.diff(sorted_hashes, prepend=np.uint64(0))
-    return np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).reshape(-1), dtype=np.uint64)
-
-
-def _index(docs: DataFrame, window: int, parts: int) -> DataFrame:
-    """Rows of the blocks' indexes, one per block and hash range.
-
-    A window that a block holds several times is known to repeat: its places go to any task (known), and only its hash
-    goes to the range, once per block, however often it occurs.
-    """
-
-    def block(k1: list, k2: list, texts: list[bytes]) -> Iterator[dict]:
-        hashes, places, at = [], [], 0
-        counts = []
-        for lo, hi in common.text_slices(texts):
-            words = common.Words(texts[lo:hi])
-            found, first = words.grams(window)
-            inside = np.arange(len(found)) + np.repeat(words.first[:-1] - first[:-1], np.diff(first))
-            hashes.append(found)
-            places.append(inside + at)
-            counts.append(words.counts())
-            at += int(words.first[-1])
-        found, inside = np.concatenate(hashes), np.concatenate(places).astype(np.uint32)
-        if not len(found):
-            return
-        order = np.argsort(found, kind="stable")
-        found, inside = found[order], inside[order]
-        head = np.flatnonzero(np.diff(found, prepend=~found[:1]) != 0)
-        size = np.diff(np.append(head, len(found)))
-        single = np.repeat(size == 1, size)
-        base = {
-            "k1": np.array(k1, np.int64).tobytes(),
-            "k2": np.array(k2, np.int64).tobytes(),
-            "words": np.concatenate(counts).astype(np.uint32).tobytes(),
-        }
-        many = inside[~single]
-        if len(many):
-            yield base | {"part": int(found[0] % np.uint64(parts)), "known": True, "hashes": b"", "places": np.sort(many).tobytes(), "twice": b""}
-        once, where, twice = found[single], inside[single], found[head[size > 1]]
-        width = (1 << 64) // parts + 1
-        cuts = np.array([min(i * width, (1 << 64) - 1) for i in range(1, parts)], np.uint64)
-        a = [0, *np.searchsorted(once, cuts), len(once)]
-        b = [0, *np.searchsorted(twice, cuts), len(twice)]
-        for part in range(parts):
-            mine, repeated = slice(a[part], a[part + 1]), slice(b[part], b[part + 1])
-            if mine.stop > mine.start or repeated.stop > repeated.start:
-                yield base | {
-                    "part": part,
-                    "known": False,
-                    "hashes": _packed(once[mine]),
-                    "places": where[mine].tobytes(),
-                    "twice": _packed(twice[repeated]),
-                }
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k1: list = []
-        k2: list = []
-        texts: list[bytes] = []
-        size = 0
-        schema = pa.schema([("part", pa.int32()), ("known", pa.bool_()), *[(n, pa.binary()) for n in ("k1", "k2", "words", "hashes", "places", "twice")]])
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            rows = list(block(k1, k2, texts))
-            k1.clear(), k2.clear(), texts.clear()
-            for i in range(0, len(rows), 16):
-                yield pa.RecordBatch.from_pylist(rows[i : i + 16], schema)
-
-        for batch in batches:
-            for a, b, text in zip(batch.column("_k1").to_pylist(), batch.column("_k2").to_pylist(), common.as_bytes(batch.column("text"))):
-                k1.append(a), k2.append(b), texts.append(text)
-                size += len(text)
-                if size >= BLOCK_BYTES:
-                    yield from flush()
-                    size = 0
-        if texts:
-            yield from flush()
-
-    return docs.select("_k1", "_k2", "text").mapInArrow(work, _FIELDS)
-
-
-def _found(index: DataFrame) -> DataFrame:
-    """(_k1, _k2, starts): per document and hash range the word numbers at which a repeated window starts."""
-
-    def answers(row: dict, places: np.ndarray) -> pa.RecordBatch:
-        places = np.sort(places)
-        ends = np.cumsum(np.frombuffer(row["words"], np.uint32), dtype=np.int64)
-        doc = np.searchsorted(ends, places, "right")
-        which, head = np.unique(doc, return_index=True)
-        begin = np.where(which > 0, ends[which - 1], 0)
-        starts = [p.astype(np.uint32) - np.uint32(s) for p, s in zip(np.split(places, head[1:]), begin)] if len(which) else []
-        key = lambda name: pa.array(np.frombuffer(row[name], np.int64)[which])
-        return pa.RecordBatch.from_arrays(
-            [key("k1"), key("k2"), pa.array([s.tobytes() for s in starts], pa.binary())], names=["_k1", "_k2", "starts"]
-        )
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[dict]] = {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["known"]:
-                    yield answers(row, np.frombuffer(row["places"], np.uint32))
-                else:
-                    held.setdefault(row["part"], []).append(row)
-        while held:
-            _, rows = held.popitem()
-            once = [_unpacked(r["hashes"]) for r in rows]
-            twice = [_unpacked(r["twice"]) for r in rows]
-            every = np.sort(np.concatenate([*once, *twice, *twice]))
-            repeated = np.unique(every[1:][every[1:] == every[:-1]])
-            if not len(repeated):
-                continue
-            for row, hashes in zip(rows, once):
-                at = np.minimum(np.searchsorted(repeated, hashes), len(repeated) - 1)
-                places = np.frombuffer(row["places"], np.uint32)[repeated[at] == hashes]
-                if len(places):
-                    yield answers(row, places)
-
-    return index.mapInArrow(work, "_k1 long, _k2 long, starts binary")
+def _windows(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    hashes, places, counts, at = [], [], [], 0
+    for lo, hi in common.text_slices(texts):
+        words = common.Words(texts[lo:hi])
+        found, first = words.grams(window)
+        hashes.append(found)
+        places.append(np.arange(len(found)) + np.repeat(words.first[:-1] - first[:-1], np.diff(first)) + at)
+        counts.append(words.counts())
+        at += int(words.first[-1])
+    return np.concatenate(counts), np.concatenate(hashes), np.concatenate(places)
+
+
+def _starts(k1: np.ndarray, k2: np.ndarray, counts: np.ndarray, places: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
+    """Per document the word numbers at which a repeated window starts."""
+    places = np.sort(places)
+    ends = np.cumsum(counts, dtype=np.int64)
+    which, head = np.unique(np.searchsorted(ends, places, "right"), return_index=True)
+    begin = (ends - counts)[which]
+    starts = [(p - s).astype(np.uint32).tobytes() for p, s in zip(np.split(places, head[1:]), begin)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(k1[which]), pa.array(k2[which]), pa.array(starts, pa.binary())], names=["_k1", "_k2", "starts"]
+    )
 
 
 def factors(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
@@ -182,8 +76,9 @@ def removed(docs: DataFrame, keep: list[str], window: int = WINDOW) -> DataFrame
         F.xxhash64(F.lit(11), "text", "doc_id").alias("_k2"),
     )
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = common.partitions_for(docs, total, BYTES_PER_RANGE)
-    found = _found(_index(docs, window, parts).repartition(parts, F.col("part")))
+    parts = common.partitions_for(docs, total, recurrence.BYTES_PER_RANGE)
+    index = recurrence.build(docs.select("_k1", "_k2", "text"), parts, lambda texts: _windows(texts, window))
+    found = recurrence.recurring(index, _starts, "_k1 long, _k2 long, starts binary")
     answers = found.groupBy("_k1", "_k2").agg(F.collect_set("starts").alias("starts"))
     joined = docs.join(answers, ["_k1", "_k2"], "left").drop("_k1", "_k2")
     kinds = {f.name: f.dataType.simpleString() for f in joined.schema.fields}
