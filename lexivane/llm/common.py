@@ -58,6 +58,13 @@ def text_slices(texts: list[bytes], limit: int = SLICE_BYTES) -> Iterator[tuple[
         yield start, len(texts)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most rows rows, to keep what a worker holds small."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 class Words:
     """Hashes of the words of some texts, one after another; words lie between the six ASCII blanks.
 

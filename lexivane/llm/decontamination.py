@@ -151,7 +151,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             seeds = sent.value
-            for batch in batches:
+            for batch in common.sliced(batches):
                 ids, found = batch.column(0).to_pylist(), seeds.hits(batch.column(1).to_pylist())
                 columns = [[ids[f[0]] for f in found], [seeds.ids[f[1]] for f in found]]
                 columns += [[f[k] for f in found] for k in range(2, 6)]
@@ -168,7 +168,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         sent = docs.sparkSession.sparkContext.broadcast(Seeds(items))
 
         def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in common.sliced(batches):
                 keep = np.ones(batch.num_rows, bool)
                 keep[[f[0] for f in sent.value.hits(batch.column("_text").to_pylist())]] = False
                 yield batch.filter(pa.array(keep)).drop_columns(["_text"])

@@ -2,8 +2,8 @@
 
 Similar documents share a group, whose tokens are kept as one union. A document is compared with a group only
 if its overlap with the union can reach the threshold; then the group is opened and its members are verified.
-Which document meets which group comes from a sparse part of the matrix: only the rarest tokens of a set,
-as many as the threshold can spare plus one, can decide, so only they are joined.
+Which document meets which group comes from a sparse part of the matrix: only the rarest tokens of a set
+are joined, as many as the threshold can spare and SPARE_PERCENT more, and partners must share some of them.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ GROUP_MEMBERS = 128
 QUERIES_PER_TASK = 256
 SAMPLE_DOCS = 5_000  # documents that tell which tokens are frequent; it orders tokens and changes no result
 HOT_TOKENS = 200_000
+SPARE_PERCENT = 5  # tokens beyond the shortest prefix: more are joined, but partners must share that many
 
 
 def text_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
@@ -56,7 +57,7 @@ def frequent_tokens(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]
     drawn = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 20)) < SAMPLE_DOCS / max(total, 1) * (1 << 20))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.sliced(batches):
             sets = text_sets(common.as_bytes(batch.column(0)), size)
             for lo in range(0, len(sets), 512):
                 flat = np.concatenate([*sets[lo : lo + 512], np.zeros(0, np.uint64)])
@@ -84,7 +85,7 @@ def signatures(docs: DataFrame, size: int, hot) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, _ = hot.value
-        for batch in batches:
+        for batch in common.sliced(batches):
             sets = text_sets(common.as_bytes(batch.column(1)), size)
             empty = np.array([not len(s) for s in sets], bool)
             heat = [int(np.isin(s, tokens, assume_unique=True).sum()) for s in sets]
@@ -109,11 +110,17 @@ def signatures(docs: DataFrame, size: int, hot) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(work, schema)
 
 
+def _need(n: str, percent: int) -> str:
+    """SQL: deciding tokens that a set of n tokens shares at least with any partner."""
+    return f"1 + (({n} * {percent} + 99) div 100) * {SPARE_PERCENT} div 100"
+
+
 def _deciding_tokens(texts: list[bytes], size: int, percent: int, hot) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     kept = []
     for tokens in text_sets(texts, size):
         ordered = _rarest_first(tokens, *hot.value)
-        kept.append(ordered[: len(ordered) - least_overlap(len(ordered), percent) + 1])
+        n = len(ordered)
+        kept.append(ordered[: n - least_overlap(n, percent) + 1 + n * SPARE_PERCENT // 100])
     flat = np.concatenate([*kept, np.zeros(0, np.uint64)])
     return np.array([len(k) for k in kept]), flat, np.arange(len(flat))
 
@@ -126,7 +133,7 @@ def _owners(k1: np.ndarray, k2: np.ndarray, counts: np.ndarray, places: np.ndarr
 def shared_tokens(docs: DataFrame, size: int, percent: int, hot) -> DataFrame:
     """(node, token): each document's deciding tokens that another row decides by too."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = common.partitions_for(docs, total, 4 * recurrence.BYTES_PER_RANGE)
+    parts = common.partitions_for(docs, total, 3 * recurrence.BYTES_PER_RANGE)
     rows = docs.filter("doc_id IS NOT NULL").select("doc_id", F.lit(0).cast("long").alias("_k2"), "text")
     index = recurrence.build(rows, parts, lambda texts: _deciding_tokens(texts, size, percent, hot))
     return recurrence.recurring(index, _owners, "node long, token long")
@@ -136,7 +143,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     """(node, least, tokens) of the documents in nodes; tokens are 64-bit numbers in a binary."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.sliced(batches):
             sets = text_sets(common.as_bytes(batch.column(1)), size)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array([s.tobytes() for s in sets], pa.binary())],
@@ -155,7 +162,7 @@ def _star_edges(pairs: DataFrame, percent: int) -> DataFrame:
     """Links of (node, tokens, center, center_tokens) that hold."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.sliced(batches):
             keep = []
             for mine, other in zip(batch.column("tokens").to_pylist(), batch.column("center_tokens").to_pylist()):
                 a, b = np.frombuffer(mine, np.uint64), np.frombuffer(other, np.uint64)
@@ -211,7 +218,7 @@ def _verified(rows: DataFrame, percent: int, tasks: int) -> DataFrame:
     """Links found in opened groups. rows: (grp, part, is_query, node, label, tokens)."""
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
+        for batch in common.sliced(batches, 256):
             yield from batch.to_pylist()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,9 +237,9 @@ def _verified(rows: DataFrame, percent: int, tasks: int) -> DataFrame:
 
 def _links(docs: DataFrame, reps: DataFrame, size: int, percent: int, hot) -> DataFrame:
     """Enough links (a, b) between different sets that every linked pair is connected."""
-    tokens = shared_tokens(docs, size, percent, hot).join(reps.select("node"), "node", "left_semi")
-    tokens = written(tokens, "shared")
-    nodes = written(reps.join(tokens.select("node").distinct(), "node"), "nodes")
+    tokens = written(shared_tokens(docs, size, percent, hot), "shared")
+    enough = reps.join(tokens.groupBy("node").agg(F.count(F.lit(1)).alias("shared")), "node")
+    nodes = written(enough.filter(F.col("shared") >= F.expr(_need("n", percent))).drop("shared"), "nodes")
     sets = written(_sets_of(docs, nodes, size), "sets")
 
     # Near copies share their smallest token: each is first held against one of them, so that most need nothing more.
@@ -263,7 +270,8 @@ def _links(docs: DataFrame, reps: DataFrame, size: int, percent: int, hot) -> Da
     reach = (F.col("n") * 100 >= F.col("low") * percent) & (F.col("high") * 100 >= F.col("n") * percent)
     apart = (F.col("one") != F.col("label")) | (F.col("other") != F.col("label"))
     met = mine.join(other, "token").filter((F.col("grp") < F.col("to")) & reach & apart)
-    met = written(met.select("node", "label", F.col("to").alias("grp")).distinct(), "met")
+    met = met.groupBy("node", "label", "n", F.col("to").alias("grp")).agg(F.count(F.lit(1)).alias("shared"))
+    met = written(met.filter(F.col("shared") >= F.expr(_need("n", percent))).select("node", "label", "grp"), "met")
 
     asked = met.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / QUERIES_PER_TASK).alias("parts"))
     mixed = groups.groupBy("grp").agg(F.min("label").alias("one"), F.max("label").alias("other"))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexivane.llm.common import third
+from lexivane.llm.common import sliced, third
 
 NO_LANGUAGE = "und"
 DOCS_PER_LANGUAGE = 4_000  # labelled documents the model is fitted on, about
@@ -24,7 +24,7 @@ GRAMS = 10_000  # known n-grams of a language and length
 MODEL_CELLS = 16 << 20  # numbers in the model; with many languages each keeps fewer words
 LONGEST_GRAM = 4
 _LETTERS = re.compile(r"[^\W\d_]+")
-_CACHE = 300_000
+_CACHE = 100_000
 _CHUNK = 1 << 20
 
 
@@ -159,7 +159,7 @@ def identify(docs: DataFrame, model: tuple, keep: list[str], lang: str = "lang_p
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, at, logs = sent.value
         scores = _Scores(at, logs)
-        for batch in batches:
+        for batch in sliced(batches):
             answers = [_judge(t, langs, scores) for t in batch.column("_text").to_pylist()]
             columns = [batch.column(n) for n in names]
             columns += [pa.array([a for a, _ in answers], pa.string()), pa.array([s for _, s in answers], pa.float64())]

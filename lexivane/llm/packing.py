@@ -19,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexivane.llm.common import sliced
 from lexivane.session import new_path
 
 SEQUENCE = 2048
@@ -26,7 +27,7 @@ WINDOW_SEQUENCES = 64
 END_ID = 1
 QUEUES = 256  # further sources share queues by hash
 STARTS_BYTES = 32 << 20  # queue offsets of the tasks up to this size are sent, beyond it they are joined
-_PIECE_CACHE = 400_000
+_PIECE_CACHE = 200_000
 _CHARS = 1 << 20
 # Text without these characters is cut by the standard library just as by the tokenizer's own pattern.
 _UNUSUAL = re.compile("[^\x00-\x1b\x20-ɏḀ-ỿ‐-‧]|[\xb2\xb3\xb9\xbc-\xbe]")
@@ -75,25 +76,23 @@ def tokenised(docs: DataFrame, end_id: int = END_ID) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, end = Tokenizer(), np.array([end_id], np.uint16).tobytes()
         task, filled = TaskContext.get().partitionId(), {}
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 1000):
-                batch = whole.slice(lo, 1000)
-                ids = [tokenizer.encode(t or "") + end for t in batch.column("text").to_pylist()]
-                within = []
-                for queue, data in zip(batch.column("queue").to_pylist(), ids):
-                    within.append(filled.get(queue, 0))
-                    filled[queue] = within[-1] + len(data) // 2
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id"),
-                        batch.column("queue"),
-                        pa.array([len(x) // 2 for x in ids], pa.int64()),
-                        pa.array(ids, pa.binary()),
-                        pa.array(np.full(len(ids), task, np.int64)),
-                        pa.array(within, pa.int64()),
-                    ],
-                    names=["doc_id", "queue", "n", "ids", "task", "within"],
-                )
+        for batch in sliced(batches):
+            ids = [tokenizer.encode(t or "") + end for t in batch.column("text").to_pylist()]
+            within = []
+            for queue, data in zip(batch.column("queue").to_pylist(), ids):
+                within.append(filled.get(queue, 0))
+                filled[queue] = within[-1] + len(data) // 2
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"),
+                    batch.column("queue"),
+                    pa.array([len(x) // 2 for x in ids], pa.int64()),
+                    pa.array(ids, pa.binary()),
+                    pa.array(np.full(len(ids), task, np.int64)),
+                    pa.array(within, pa.int64()),
+                ],
+                names=["doc_id", "queue", "n", "ids", "task", "within"],
+            )
 
     out = named.mapInArrow(work, "doc_id long, queue string, n long, ids binary, task long, within long")
     path = new_path(docs.sparkSession, "tokens")
@@ -219,7 +218,7 @@ def pack(
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schedule = Schedule(*plan)
         sequences = Sequences(schedule.total, size)
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for r in batch.to_pylist():
                 ids = np.frombuffer(r["ids"], np.uint16).astype("<u4")

@@ -86,7 +86,7 @@ def removed(docs: DataFrame, keep: list[str], window: int = WINDOW) -> DataFrame
     span = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.sliced(batches):
             n_words, n_removed, all_spans, kept = [], [], [], []
             for text, starts in zip(common.as_bytes(batch.column("text")), batch.column("starts").to_pylist()):
                 words = text.split()
