@@ -58,6 +58,14 @@ def text_slices(texts: list[bytes], limit: int = SLICE_BYTES) -> Iterator[tuple[
         yield start, len(texts)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send texts to Python in batches of rows, unless the session already sends fewer."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = int(spark.conf.get(key))
+    if held <= 0 or held > rows:
+        spark.conf.set(key, str(rows))
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most rows rows, to keep what a worker holds small."""
     for batch in batches:

@@ -143,6 +143,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     schema = "doc_id long, item_id long, doc_start long, item_start long, n_words long, n_agreeing long"
     names = ["doc_id", "item_id", "doc_start", "item_start", "n_words", "n_agreeing"]
+    common.small_batches(docs.sparkSession)
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = []
@@ -163,6 +164,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, unchanged, that overlap with no benchmark item."""
+    common.small_batches(docs.sparkSession)
     names = docs.columns
     for items in _slices(benchmark):
         sent = docs.sparkSession.sparkContext.broadcast(Seeds(items))

@@ -299,6 +299,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     one document.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    common.small_batches(docs.sparkSession)
     hot = docs.sparkSession.sparkContext.broadcast(frequent_tokens(docs, size))
     rows = written(signatures(docs, size, hot), "signatures")
     keyed = rows.filter("doc_id IS NOT NULL AND k1 IS NOT NULL")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexivane.llm.common import sliced, third
+from lexivane.llm.common import sliced, small_batches, third
 
 NO_LANGUAGE = "und"
 DOCS_PER_LANGUAGE = 4_000  # labelled documents the model is fitted on, about
@@ -151,6 +151,7 @@ def identify(docs: DataFrame, model: tuple, keep: list[str], lang: str = "lang_p
     Null or letterless text gives `und` with score 0; ties go to the first language by name. Equal texts get equal
     answers. Rows stay where they are: no shuffle.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     fields = [f for f in docs.select(*keep).schema.fields]
     names = [f"_k{i}" for i in range(len(keep))]

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexivane.llm.common import sliced
+from lexivane.llm.common import sliced, small_batches
 from lexivane.session import new_path
 
 SEQUENCE = 2048
@@ -199,6 +199,7 @@ def pack(
     packed each on their own.
     """
     spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     tokens = tokenised(docs, end_id)
     parts = tokens.groupBy("queue", "task").agg(F.sum("n").alias("n"))
     totals = {r["queue"]: r["n"] for r in parts.groupBy("queue").agg(F.sum("n").alias("n")).orderBy("queue").collect()}

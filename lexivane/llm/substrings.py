@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexivane.llm import common, recurrence
+from lexivane.session import written
 
 WINDOW = 35
 
@@ -69,6 +70,7 @@ def removed(docs: DataFrame, keep: list[str], window: int = WINDOW) -> DataFrame
     in words; kept is the rest, joined by one space. Null or blank text: no words, kept is empty. Copies of a document
     are repeats of one another, so all of them go. Rows may repeat in every column.
     """
+    common.small_batches(docs.sparkSession)
     docs = docs.select(
         *[F.col(k).alias(f"_c{i}") for i, k in enumerate(keep)],
         "text",
@@ -77,9 +79,10 @@ def removed(docs: DataFrame, keep: list[str], window: int = WINDOW) -> DataFrame
     )
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = common.partitions_for(docs, total, recurrence.BYTES_PER_RANGE)
-    index = recurrence.build(docs.select("_k1", "_k2", "text"), parts, lambda texts: _windows(texts, window))
+    index = recurrence.build(docs.select("_k1", "_k2", "text"), parts, lambda texts: _windows(texts, window), named=False)
     found = recurrence.recurring(index, _starts, "_k1 long, _k2 long, starts binary")
-    answers = found.groupBy("_k1", "_k2").agg(F.collect_set("starts").alias("starts"))
+    answers = written(found.groupBy("_k1", "_k2").agg(F.collect_set("starts").alias("starts")), "starts")
+    del index, found  # Spark may drop the index's shuffle files
     joined = docs.join(answers, ["_k1", "_k2"], "left").drop("_k1", "_k2")
     kinds = {f.name: f.dataType.simpleString() for f in joined.schema.fields}
     names = [f"_c{i}" for i in range(len(keep))]
