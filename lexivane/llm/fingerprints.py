@@ -57,6 +57,7 @@ def signatures(texts: list[bytes], bins: int = BINS, bits: int = BITS, size: int
     if bins != 1 << width:
         raise ValueError("bins must be a power of two")
     top = np.uint64(0xFFFFFFFFFFFFFFFF)
+    salts = common.mix(np.arange(1, bins + 1, dtype=np.uint64))
     for lo, hi in common.text_slices(texts, 1 << 19):
         words = common.Words(texts[lo:hi])
         hashes, first = words.grams(size)
@@ -72,7 +73,9 @@ def signatures(texts: list[bytes], bins: int = BINS, bits: int = BITS, size: int
         full = table != top
         for i in range(hi - lo):
             if full[i].any():
-                out[lo + i] = (_densified(table[i], full[i]) & np.uint64((1 << bits) - 1)).astype(np.uint8)
+                # Scrambled with the bin, so that bins that borrow one value still differ by chance on their own.
+                scrambled = common.mix(_densified(table[i], full[i]) ^ salts)
+                out[lo + i] = (scrambled & np.uint64((1 << bits) - 1)).astype(np.uint8)
     return out
 
 

@@ -31,7 +31,7 @@ def labelled_urls(spark: SparkSession) -> DataFrame:
     """(url, label): label 1 is to be blocked."""
     rows = [
         (f"https://{front}{word}{end}/{path}", label)
-        for words, paths, label in ((_BAD, ("win/now", "buy?offer=1"), 1), (_GOOD, ("en/article", "index.html"), 0))
+        for words, paths, label in ((_BAD, ("win/now", "buy?offer=1"), 1.0), (_GOOD, ("en/article", "index.html"), 0.0))
         for word, front, end, path in product(words, _FRONTS, _ENDS, paths)
     ]
     return spark.createDataFrame(rows, "url string, label double")
