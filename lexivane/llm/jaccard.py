@@ -125,16 +125,16 @@ def _deciding_tokens(texts: list[bytes], size: int, percent: int, hot) -> tuple[
     return np.array([len(k) for k in kept]), flat, np.arange(len(flat))
 
 
-def _owners(k1: np.ndarray, k2: np.ndarray, counts: np.ndarray, places: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
-    owner = k1[np.searchsorted(np.cumsum(counts, dtype=np.int64), places, "right")]
+def _owners(keys: np.ndarray, counts: np.ndarray, places: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
+    owner = keys[np.searchsorted(np.cumsum(counts, dtype=np.int64), places, "right")]
     return pa.RecordBatch.from_arrays([pa.array(owner), pa.array(_signed(hashes))], names=["node", "token"])
 
 
 def shared_tokens(docs: DataFrame, size: int, percent: int, hot) -> DataFrame:
     """(node, token): each document's deciding tokens that another row decides by too."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = common.partitions_for(docs, total, 3 * recurrence.BYTES_PER_RANGE)
-    rows = docs.filter("doc_id IS NOT NULL").select("doc_id", F.lit(0).cast("long").alias("_k2"), "text")
+    parts = common.partitions_for(docs, total, 2 * recurrence.BYTES_PER_RANGE)
+    rows = docs.filter("doc_id IS NOT NULL").select("doc_id", "text")
     index = recurrence.build(rows, parts, lambda texts: _deciding_tokens(texts, size, percent, hot))
     return recurrence.recurring(index, _owners, "node long, token long")
 

@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 from lexivane.llm import common
 
 BLOCK_BYTES = 6 << 20
-BYTES_PER_RANGE = 12 << 20  # text whose hashes one task compares
-_BINARY = ("k1", "k2", "counts", "hashes", "places", "twice")
+BYTES_PER_RANGE = 20 << 20  # text whose hashes one task compares
+_BINARY = ("keys", "counts", "hashes", "places", "twice")
 _FIELDS = "part int, known boolean, " + ", ".join(f"{n} binary" for n in _BINARY)
 _SCHEMA = pa.schema([("part", pa.int32()), ("known", pa.bool_()), *[(n, pa.binary()) for n in _BINARY]])
 
@@ -41,7 +41,7 @@ def _placed(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
 
 
-def _block_rows(k1: list, k2: list, counts: np.ndarray, found: np.ndarray, places: np.ndarray, parts: int, named: bool) -> Iterator[dict]:
+def _block_rows(keys: list, counts: np.ndarray, found: np.ndarray, places: np.ndarray, parts: int, named: bool) -> Iterator[dict]:
     if not len(found):
         return
     order = np.argsort(found, kind="stable")
@@ -50,8 +50,7 @@ def _block_rows(k1: list, k2: list, counts: np.ndarray, found: np.ndarray, place
     size = np.diff(np.append(head, len(found)))
     single = np.repeat(size == 1, size)
     base = {
-        "k1": np.array(k1, np.int64).tobytes(),
-        "k2": np.array(k2, np.int64).tobytes(),
+        "keys": np.array(keys, np.int64).tobytes(),
         "counts": counts.astype(np.uint32).tobytes(),
     }
     if not single.all():
@@ -75,26 +74,25 @@ def _block_rows(k1: list, k2: list, counts: np.ndarray, found: np.ndarray, place
 
 
 def build(docs: DataFrame, parts: int, hashes_of: Callable, named: bool = True) -> DataFrame:
-    """Index rows of (k1, k2, text): hashes_of(texts) gives places per text, and all hashes with their place among those.
+    """Index rows of (key, text): hashes_of(texts) gives places per text, and all hashes with their place among those.
 
     With named, the answers need the hashes, else only their places.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k1: list = []
-        k2: list = []
+        keys: list = []
         texts: list[bytes] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            rows = list(_block_rows(k1, k2, *hashes_of(texts), parts, named))
-            k1.clear(), k2.clear(), texts.clear()
+            rows = list(_block_rows(keys, *hashes_of(texts), parts, named))
+            keys.clear(), texts.clear()
             for i in range(0, len(rows), 16):
                 yield pa.RecordBatch.from_pylist(rows[i : i + 16], _SCHEMA)
 
         for batch in common.sliced(batches):
-            for a, b, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), common.as_bytes(batch.column(2))):
-                k1.append(a), k2.append(b), texts.append(text)
+            for key, text in zip(batch.column(0).to_pylist(), common.as_bytes(batch.column(1))):
+                keys.append(key), texts.append(text)
                 size += len(text)
                 if size >= BLOCK_BYTES:
                     yield from flush()
@@ -106,11 +104,10 @@ def build(docs: DataFrame, parts: int, hashes_of: Callable, named: bool = True)
 
 
 def recurring(index: DataFrame, answer: Callable, schema: str) -> DataFrame:
-    """What answer(k1, k2, counts, places, hashes) makes of every block's places whose hash occurs again anywhere."""
+    """What answer(keys, counts, places, hashes) makes of every block's places whose hash occurs again anywhere."""
 
     def told(row: dict, places: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
-        numbers = [np.frombuffer(row[n], np.int64) for n in ("k1", "k2")]
-        return answer(*numbers, np.frombuffer(row["counts"], np.uint32), places, hashes)
+        return answer(np.frombuffer(row["keys"], np.int64), np.frombuffer(row["counts"], np.uint32), places, hashes)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[dict]] = {}

@@ -20,6 +20,7 @@ from lexivane.llm import common, recurrence
 from lexivane.session import written
 
 WINDOW = 35
+SPANS_BYTES = 32 << 20  # spans of all documents up to this size are sent to the texts, beyond it both are shuffled
 
 
 def _windows(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -34,7 +35,7 @@ def _windows(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, n
     return np.concatenate(counts), np.concatenate(hashes), np.concatenate(places)
 
 
-def _starts(k1: np.ndarray, k2: np.ndarray, counts: np.ndarray, places: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
+def _starts(keys: np.ndarray, counts: np.ndarray, places: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
     """Per document the word numbers at which a repeated window starts."""
     places = np.sort(places)
     ends = np.cumsum(counts, dtype=np.int64)
@@ -42,7 +43,7 @@ def _starts(k1: np.ndarray, k2: np.ndarray, counts: np.ndarray, places: np.ndarr
     begin = (ends - counts)[which]
     starts = [(p - s).astype(np.uint32).tobytes() for p, s in zip(np.split(places, head[1:]), begin)]
     return pa.RecordBatch.from_arrays(
-        [pa.array(k1[which]), pa.array(k2[which]), pa.array(starts, pa.binary())], names=["_k1", "_k2", "starts"]
+        [pa.array(keys[which]), pa.array(starts, pa.binary())], names=["_key", "starts"]
     )
 
 
@@ -62,6 +63,25 @@ def _mask(n_words: int, spans: list[tuple[int, int]]) -> np.ndarray:
     return np.cumsum(gone[:-1]) > 0
 
 
+def _spans(docs: DataFrame, window: int) -> DataFrame:
+    """Written table (_key, spans) of the documents with factors: pairs of first word and words, as 32-bit numbers."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = common.partitions_for(docs, total, recurrence.BYTES_PER_RANGE)
+    index = recurrence.build(docs, parts, lambda texts: _windows(texts, window), named=False)
+    found = recurrence.recurring(index, _starts, "_key long, starts binary")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.sliced(batches):
+            spans = []
+            for starts in batch.column(1).to_pylist():
+                places = np.unique(np.frombuffer(b"".join(starts), np.uint32)).astype(np.int64)
+                spans.append(np.array(factors(places, window), np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.binary())], names=["_key", "spans"])
+
+    grouped = found.groupBy("_key").agg(F.collect_set("starts").alias("starts"))
+    return written(grouped.mapInArrow(work, "_key long, spans binary"), "spans")
+
+
 def removed(docs: DataFrame, keep: list[str], window: int = WINDOW) -> DataFrame:
     """The columns in keep with n_words, n_removed, spans and kept of every row of (doc_id, text).
 
@@ -74,16 +94,11 @@ def removed(docs: DataFrame, keep: list[str], window: int = WINDOW) -> DataFrame
     docs = docs.select(
         *[F.col(k).alias(f"_c{i}") for i, k in enumerate(keep)],
         "text",
-        F.xxhash64("doc_id", "text").alias("_k1"),
-        F.xxhash64(F.lit(11), "text", "doc_id").alias("_k2"),
+        F.xxhash64("doc_id", "text").alias("_key"),
     )
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = common.partitions_for(docs, total, recurrence.BYTES_PER_RANGE)
-    index = recurrence.build(docs.select("_k1", "_k2", "text"), parts, lambda texts: _windows(texts, window), named=False)
-    found = recurrence.recurring(index, _starts, "_k1 long, _k2 long, starts binary")
-    answers = written(found.groupBy("_k1", "_k2").agg(F.collect_set("starts").alias("starts")), "starts")
-    del index, found  # Spark may drop the index's shuffle files
-    joined = docs.join(answers, ["_k1", "_k2"], "left").drop("_k1", "_k2")
+    spans_ = _spans(docs.select("_key", "text"), window)
+    size = spans_.agg(F.coalesce(F.sum(F.octet_length("spans") + 64), F.lit(0))).first()[0]
+    joined = docs.join(F.broadcast(spans_) if size <= SPANS_BYTES else spans_, "_key", "left").drop("_key")
     kinds = {f.name: f.dataType.simpleString() for f in joined.schema.fields}
     names = [f"_c{i}" for i in range(len(keep))]
     span = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
@@ -91,11 +106,9 @@ def removed(docs: DataFrame, keep: list[str], window: int = WINDOW) -> DataFrame
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.sliced(batches):
             n_words, n_removed, all_spans, kept = [], [], [], []
-            for text, starts in zip(common.as_bytes(batch.column("text")), batch.column("starts").to_pylist()):
+            for text, found in zip(common.as_bytes(batch.column("text")), batch.column("spans").to_pylist()):
                 words = text.split()
-                spans = []
-                if starts:
-                    spans = factors(np.unique(np.frombuffer(b"".join(starts), np.uint32)).astype(np.int64), window)
+                spans = np.frombuffer(found or b"", np.uint32).reshape(-1, 2).tolist()
                 gone = _mask(len(words), spans) if spans else None
                 left = words if gone is None else [w for w, g in zip(words, gone) if not g]
                 n_words.append(len(words))
