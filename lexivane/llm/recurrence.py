@@ -1,13 +1,17 @@
 """Which hashes occur more than once in a whole table: blocks of rows are indexed by hash range and meet range by range.
 
 A row of the index holds, for one block and one range, the sorted hashes with the places they come from, packed into a few bytes
-each. A hash that a block holds several times is known to recur: its places go to any task, and only the hash goes to the range,
-once per block, however often it occurs. So no range grows with a frequent hash.
+each. A hash that a block holds several times is known to recur: its places stay with the block's own row, and only the hash goes
+to the range, once per block, however often it occurs. So no range grows with a frequent hash. Answers go back
+to the blocks, where the rows' keys are.
+
+Blocks are named by the keys of their rows, so rows must come in the same order when a task runs again, as those of files do.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +22,8 @@ from lexivane.llm import common
 BLOCK_BYTES = 6 << 20
 BYTES_PER_RANGE = 20 << 20  # text whose hashes one task compares
 _BINARY = ("keys", "counts", "hashes", "places", "twice")
-_FIELDS = "part int, known boolean, " + ", ".join(f"{n} binary" for n in _BINARY)
-_SCHEMA = pa.schema([("part", pa.int32()), ("known", pa.bool_()), *[(n, pa.binary()) for n in _BINARY]])
+_FIELDS = "block long, part int, known boolean, " + ", ".join(f"{n} binary" for n in _BINARY)
+_SCHEMA = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("known", pa.bool_()), *[(n, pa.binary()) for n in _BINARY]])
 
 
 def _packed(sorted_hashes: np.ndarray) -> bytes:
@@ -49,13 +53,18 @@ def _block_rows(keys: list, counts: np.ndarray, found: np.ndarray, places: np.nd
     head = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
     size = np.diff(np.append(head, len(found)))
     single = np.repeat(size == 1, size)
-    base = {
+    name = np.array([len(found), *keys], np.int64).view(np.uint64)
+    block = int(common.mix(common.run_hashes(name, len(name))).view(np.int64)[0])
+    many, where = found[~single], places[~single]
+    yield {
+        "block": block,
+        "part": block % parts,
+        "known": True,
         "keys": np.array(keys, np.int64).tobytes(),
         "counts": counts.astype(np.uint32).tobytes(),
+        "hashes": _packed(many) if named else b"",
+        "places": _planes(where),
     }
-    if not single.all():
-        many, where = found[~single], places[~single]
-        yield base | {"part": int(found[0] % np.uint64(parts)), "known": True, "hashes": _packed(many) if named else b"", "places": _planes(where), "twice": b""}
     once, where, twice = found[single], places[single], found[head[size > 1]]
     width = (1 << 64) // parts + 1
     cuts = np.array([min(i * width, (1 << 64) - 1) for i in range(1, parts)], np.uint64)
@@ -64,7 +73,8 @@ def _block_rows(keys: list, counts: np.ndarray, found: np.ndarray, places: np.nd
     for part in range(parts):
         mine, repeated = slice(a[part], a[part + 1]), slice(b[part], b[part + 1])
         if mine.stop > mine.start or repeated.stop > repeated.start:
-            yield base | {
+            yield {
+                "block": block,
                 "part": part,
                 "known": False,
                 "hashes": _packed(once[mine]),
@@ -103,18 +113,17 @@ def build(docs: DataFrame, parts: int, hashes_of: Callable, named: bool = True)
     return docs.mapInArrow(work, _FIELDS).repartition(parts, "part")
 
 
-def recurring(index: DataFrame, answer: Callable, schema: str) -> DataFrame:
+def recurring(index: DataFrame, answer: Callable, schema: str, named: bool = True) -> DataFrame:
     """What answer(keys, counts, places, hashes) makes of every block's places whose hash occurs again anywhere."""
 
-    def told(row: dict, places: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
-        return answer(np.frombuffer(row["keys"], np.int64), np.frombuffer(row["counts"], np.uint32), places, hashes)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["block", "keys", "counts", "places", "hashes"]
+        kinds = [pa.int64()] + 4 * [pa.binary()]
         held: dict[int, list[dict]] = {}
         for batch in common.sliced(batches, 16):
             for row in batch.to_pylist():
                 if row["known"]:
-                    yield told(row, _placed(row["places"]), _unpacked(row["hashes"]))
+                    yield pa.RecordBatch.from_arrays([pa.array([row[n]], k) for n, k in zip(names, kinds)], names=names)
                 else:
                     held.setdefault(row["part"], []).append(row)
         while held:
@@ -129,6 +138,26 @@ def recurring(index: DataFrame, answer: Callable, schema: str) -> DataFrame:
                 at = np.minimum(np.searchsorted(repeated, hashes), len(repeated) - 1)
                 hit = repeated[at] == hashes
                 if hit.any():
-                    yield told(row, _placed(row["places"])[hit], hashes[hit])
+                    told = [row["block"], None, None, _planes(_placed(row["places"])[hit]), _packed(hashes[hit]) if named else b""]
+                    yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(told, kinds)], names=names)
 
-    return index.mapInArrow(work, schema)
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in common.sliced(batches, 16):
+            yield from batch.to_pylist()
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, group in groupby(rows_of(batches), key=lambda r: r["block"]):
+            rows = list(group)
+            own = [r for r in rows if r["keys"] is not None]
+            if not own:
+                raise RuntimeError(f"block {block} came without its keys: its rows changed order when a task was run again")
+            places = np.concatenate([_placed(r["places"]) for r in rows])
+            hashes = np.concatenate([_unpacked(r["hashes"]) for r in rows])
+            # Tasks that read the very same rows give blocks of one name; the answers hold for each of them.
+            for r in own:
+                if len(places):
+                    yield answer(np.frombuffer(r["keys"], np.int64), np.frombuffer(r["counts"], np.uint32), places, hashes)
+
+    answers = index.mapInArrow(compare, "block long, keys binary, counts binary, places binary, hashes binary")
+    dealt = answers.repartition("block").sortWithinPartitions("block")
+    return dealt.mapInArrow(gather, schema)

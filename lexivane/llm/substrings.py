@@ -35,18 +35,6 @@ def _windows(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, n
     return np.concatenate(counts), np.concatenate(hashes), np.concatenate(places)
 
 
-def _starts(keys: np.ndarray, counts: np.ndarray, places: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
-    """Per document the word numbers at which a repeated window starts."""
-    places = np.sort(places)
-    ends = np.cumsum(counts, dtype=np.int64)
-    which, head = np.unique(np.searchsorted(ends, places, "right"), return_index=True)
-    begin = (ends - counts)[which]
-    starts = [(p - s).astype(np.uint32).tobytes() for p, s in zip(np.split(places, head[1:]), begin)]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(keys[which]), pa.array(starts, pa.binary())], names=["_key", "starts"]
-    )
-
-
 def factors(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
     """Greedy factors (first word, words) from the sorted numbers of words at which a known step starts."""
     if not len(starts):
@@ -55,6 +43,19 @@ def factors(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
     return [(int(run[0]), len(run) + window - 1) for run in np.split(starts, cut)]
 
 
+def _factored(keys: np.ndarray, counts: np.ndarray, places: np.ndarray, hashes: np.ndarray, window: int) -> pa.RecordBatch:
+    """The factors of a block's documents, from the places at which a step known elsewhere starts."""
+    places = np.unique(places)
+    ends = np.cumsum(counts, dtype=np.int64)
+    which, head = np.unique(np.searchsorted(ends, places, "right"), return_index=True)
+    begin = (ends - counts)[which]
+    spans = [
+        np.array(factors(mine.astype(np.int64) - start, window), np.uint32).tobytes()
+        for mine, start in zip(np.split(places, head[1:]), begin)
+    ]
+    return pa.RecordBatch.from_arrays([pa.array(keys[which]), pa.array(spans, pa.binary())], names=["_key", "spans"])
+
+
 def _mask(n_words: int, spans: list[tuple[int, int]]) -> np.ndarray:
     gone = np.zeros(n_words + 1, np.int64)
     for start, length in spans:
@@ -68,18 +69,7 @@ def _spans(docs: DataFrame, window: int) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = common.partitions_for(docs, total, recurrence.BYTES_PER_RANGE)
     index = recurrence.build(docs, parts, lambda texts: _windows(texts, window), named=False)
-    found = recurrence.recurring(index, _starts, "_key long, starts binary")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.sliced(batches):
-            spans = []
-            for starts in batch.column(1).to_pylist():
-                places = np.unique(np.frombuffer(b"".join(starts), np.uint32)).astype(np.int64)
-                spans.append(np.array(factors(places, window), np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.binary())], names=["_key", "spans"])
-
-    grouped = found.groupBy("_key").agg(F.collect_set("starts").alias("starts"))
-    return written(grouped.mapInArrow(work, "_key long, spans binary"), "spans")
+    return written(recurrence.recurring(index, lambda *found: _factored(*found, window), "_key long, spans binary", named=False), "spans")
 
 
 def removed(docs: DataFrame, keep: list[str], window: int = WINDOW) -> DataFrame:
@@ -96,7 +86,7 @@ def removed(docs: DataFrame, keep: list[str], window: int = WINDOW) -> DataFrame
         "text",
         F.xxhash64("doc_id", "text").alias("_key"),
     )
-    spans_ = _spans(docs.select("_key", "text"), window)
+    spans_ = _spans(docs.select("_key", "text"), window).dropDuplicates(["_key"])  # rows that repeat have equal spans
     size = spans_.agg(F.coalesce(F.sum(F.octet_length("spans") + 64), F.lit(0))).first()[0]
     joined = docs.join(F.broadcast(spans_) if size <= SPANS_BYTES else spans_, "_key", "left").drop("_key")
     kinds = {f.name: f.dataType.simpleString() for f in joined.schema.fields}
