@@ -24,6 +24,7 @@ GROUP_MEMBERS = 128
 QUERIES_PER_TASK = 256
 SAMPLE_DOCS = 5_000  # documents that tell which tokens are frequent; it orders tokens and changes no result
 HOT_TOKENS = 200_000
+SENT_BYTES = 32 << 20  # candidates up to this size are sent to the texts, beyond it both are shuffled
 SPARE_PERCENT = 5  # tokens beyond the shortest prefix: more are joined, but partners must share that many
 
 
@@ -150,7 +151,10 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
                 names=["node", "least", "tokens"],
             )
 
-    texts = docs.withColumnRenamed("doc_id", "node").join(nodes.select("node", "least"), "node")
+    wanted = nodes.select("node", "least")
+    if wanted.count() * 64 <= SENT_BYTES:
+        wanted = F.broadcast(wanted)
+    texts = docs.withColumnRenamed("doc_id", "node").join(wanted, "node")
     return texts.select("node", "text", "least").mapInArrow(work, "node long, least long, tokens binary")
 
 
@@ -251,15 +255,29 @@ def _links(docs: DataFrame, reps: DataFrame, size: int, percent: int, hot) -> Da
     pairs = sets.join(center_sets, "least").filter("node <> center").select("node", "tokens", "center", "center_tokens")
     star = written(_star_edges(pairs, percent).groupBy("node").agg(F.min("center").alias("center")), "star")
 
-    placed = nodes.join(star, "node", "left").withColumn("label", F.coalesce("center", "node"))
-    family = F.when(F.col("label") != F.col("node"), F.xxhash64("label", F.lit(1))).otherwise(F.xxhash64("least", F.lit(2)))
-    placed = written(placed.select("node", "n", "label", family.alias("family")), "placed")
+    # Then those that stand for the rest are joined with one another, and at last everything that is still apart.
+    labels = nodes.join(star, "node", "left").select("node", "n", "least", F.coalesce("center", "node").alias("label"))
+    labels = written(labels, "labels")
+    heads = _joined_groups(tokens, labels.filter("node = label"), sets, percent)
+    apart = written(components(heads), "heads").select(F.col("node").alias("label"), "component")
+    labels = labels.join(apart, "label", "left").withColumn("label", F.coalesce("component", "label")).drop("component")
+    labels = written(labels, "joined-labels")
+    rest = _joined_groups(tokens, labels, sets, percent)
+    return labels.filter("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")).union(rest)
+
+
+def _joined_groups(tokens: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that join differently labelled (node, n, least, label), found group by group."""
+    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("same"))
+    family = F.when(F.col("same") > 1, F.xxhash64("label", F.lit(1))).otherwise(F.xxhash64("least", F.lit(2)))
+    placed = labels.join(sizes, "label").select("node", "n", "label", family.alias("family"))
+    placed = written(placed, "placed")
     sizes = written(placed.groupBy("family").agg(F.count(F.lit(1)).alias("size")), "families")
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / GROUP_MEMBERS))
     groups = placed.join(sizes, "family").select("node", "n", "label", F.xxhash64("family", part).alias("grp"))
     groups = written(groups, "groups")
 
-    mine = written(tokens.select("token", "node").join(groups, "node"), "placed-tokens")
+    mine = written(tokens.join(groups, "node").select("token", "node", "n", "label", "grp"), "placed-tokens")
     matrix = written(
         mine.groupBy("token", "grp").agg(
             F.min("n").alias("low"), F.max("n").alias("high"), F.min("label").alias("one"), F.max("label").alias("other")
@@ -278,15 +296,13 @@ def _links(docs: DataFrame, reps: DataFrame, size: int, percent: int, hot) -> Da
     mixed = mixed.filter("one <> other").select("grp")
     opened = asked.join(mixed.withColumn("mixed", F.lit(1)), "grp", "full").select("grp", F.coalesce("parts", F.lit(1)).alias("parts"))
     opened = written(opened, "opened")
-    members = groups.join(opened, "grp").select(
-        "node", "label", "grp", F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))).alias("part"), F.lit(0).alias("is_query")
-    )
-    queries = met.join(opened, "grp").select(
-        "node", "label", "grp", F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("is_query")
-    )
+    numbers = F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))
+    members = groups.join(opened, "grp").select("node", "label", "grp", F.explode(numbers).alias("part"), F.lit(0).alias("is_query"))
+    part = F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")).cast("int")
+    queries = met.join(opened, "grp").select("node", "label", "grp", part.alias("part"), F.lit(1).alias("is_query"))
     rows = members.unionByName(queries).join(sets.select("node", "tokens"), "node")
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return star.select(F.col("node").alias("a"), F.col("center").alias("b")).union(_verified(rows, percent, tasks))
+    tasks = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(_verified(rows, percent, tasks), "links")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
