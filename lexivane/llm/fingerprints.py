@@ -104,7 +104,7 @@ def _ranges(docs: DataFrame) -> tuple[list, list]:
     parts = common.partitions_for(docs, total or 0, BYTES_PER_TASK)
     marks = [i / parts for i in range(1, parts)]
     cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", marks, 10_000)).first()[0] or [])) if rows else []
-    return cuts, [tuple(r) for r in docs.groupBy(_range(cuts).alias("r")).agg(F.min("doc_id")).orderBy("r").collect()]
+    return cuts, [tuple(r) for r in docs.groupBy(_range(cuts).alias("r")).agg(F.min(F.struct("doc_id")).alias("f")).select("r", "f.doc_id").orderBy("r").collect()]
 
 
 def _range(cuts: list):
