@@ -131,12 +131,11 @@ def edited_fingerprints(docs: DataFrame, bins: int = BINS, bits: int = BITS, siz
     if not firsts:
         return docs.sparkSession.createDataFrame([], schema)
     # The first document of a range follows the last one of the range before; the very first follows the very last.
-    before = {first: (firsts[i - 1][0], 1 if i else 2) for i, (_, first) in enumerate(firsts)}
-    copies = F.array(F.struct(_range(cuts).alias("r"), F.lit(0).alias("after")))
-    for first, (place, after) in before.items():
-        same = F.col("doc_id").isNull() if first is None else F.col("doc_id") == first
-        copies = F.when(F.coalesce(same, F.lit(False)), F.concat(copies, F.array(F.struct(F.lit(place).alias("r"), F.lit(after).alias("after"))))).otherwise(copies)
-    dealt = docs.select("doc_id", "text", F.explode(copies).alias("c")).select("doc_id", "text", "c.r", "c.after")
+    following = [(first, firsts[i - 1][0], 1 if i else 2) for i, (_, first) in enumerate(firsts)]
+    # One row for each range: as many as there are tasks.
+    heads = F.broadcast(docs.sparkSession.createDataFrame(following, "first long, r int, after int"))
+    copies = docs.join(heads, F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "text", "r", "after")
+    dealt = docs.select("doc_id", "text", _range(cuts).alias("r"), F.lit(0).alias("after")).unionByName(copies)
     dealt = dealt.repartition(len(firsts), "r").sortWithinPartitions("r", "after", "doc_id", "text")
     names = ["doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
