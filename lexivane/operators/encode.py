@@ -16,14 +16,19 @@ from pyspark.sql import types as T
 from lexivane import config
 from lexivane.functions import text, vectors
 from lexivane.operators.knn import matrix
+from lexivane.session import written
 
 _CELLS = 8_000_000
 
 
 def model_bytes(model: DataFrame) -> tuple[int, int]:
-    """Size in bytes and vector width of a model (token, vector)."""
+    """Size in bytes and vector width of a model (token, vector), with numbers as wide as its own."""
     rows, width = model.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
-    return rows * (8 * (width or 0) + 40), width or 0
+    return rows * (_number(model).itemsize * (width or 0) + 40), width or 0
+
+
+def _number(model: DataFrame) -> np.dtype:
+    return np.dtype(np.float32 if model.schema["vector"].dataType.elementType == T.FloatType() else np.float64)
 
 
 def _mean_vectors(lists: pa.Array, tokens: pa.Array, table: np.ndarray, normalize: bool) -> pa.Array:
@@ -57,7 +62,6 @@ Specs = dict[str, tuple[str, DataFrame]]
 def encode_columns(
     df: DataFrame,
     specs: Specs,
-    key: str = "idx",
     normalize: bool = False,
     tokenize: Callable[[Column], Column] = text.words,
     model_limit: int = config.BROADCAST_BYTES,
@@ -65,27 +69,38 @@ def encode_columns(
     """Add the mean token vector of text columns.
 
     specs maps each new column to (text column, model); a model holds
-    (token, vector). Models that fit in model_limit go to every task, and rows
-    are encoded where they are, without a shuffle. A larger model is joined.
-    key must tell rows apart.
+    (token, vector). Models that together fit in model_limit go to every task,
+    and rows are encoded where they are, without a shuffle. The others are
+    joined; rows then carry a number of their own, so they may repeat. Both
+    ways give the same vectors.
     """
     models: dict[int, tuple] = {}
     small: Specs = {}
+    large: Specs = {}
+    free = model_limit
     for out, (source, model) in specs.items():
         if id(model) not in models:
             size, width = model_bytes(model)
             sent = None
-            if size <= model_limit:
-                rows = model.select("token", vectors.doubles(F.col("vector")).alias("vector")).toArrow()
-                pair = (rows["token"].combine_chunks(), matrix(rows["vector"]))
+            if size <= free:
+                free -= size
+                rows = model.select("token", "vector").toArrow()
+                pair = (rows["token"].combine_chunks(), matrix(rows["vector"], _number(model)))
                 sent = df.sparkSession.sparkContext.broadcast(pair)
             models[id(model)] = (sent, width)
         sent, width = models[id(model)]
         if sent is None:
-            df = _encode_by_join(df, out, source, model, width, key, normalize, tokenize)
+            large[out] = (source, model, width)
         else:
             small[out] = (source, sent)
-    return _encode_in_place(df, small, normalize, tokenize) if small else df
+    names = [*df.columns, *specs]
+    if large:
+        # Written, so that a task that is run again gives its rows the same numbers.
+        df = written(df.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    for out, (source, model, width) in large.items():
+        df = _encode_by_join(df, out, source, model, width, "_row", normalize, tokenize)
+    df = df.drop("_row") if large else df
+    return (_encode_in_place(df, small, normalize, tokenize) if small else df).select(*names)
 
 
 def _encode_in_place(df: DataFrame, specs: dict, normalize: bool, tokenize) -> DataFrame:

@@ -55,8 +55,11 @@ def instruct_queries(triplets: DataFrame) -> DataFrame:
 
 
 def _counts(predictions: DataFrame, by: Sequence[str], prediction: str, truth: str | None) -> DataFrame:
-    actual = F.lit(True) if truth is None else F.col(truth) == 1
-    positive = F.col(prediction) == 1
+    """A missing prediction counts as the wrong one; a missing truth is an error."""
+    actual = F.lit(True)
+    if truth is not None:
+        actual = F.coalesce(F.col(truth) == 1, F.raise_error(F.lit(f"{truth} is null")).cast("boolean"))
+    positive = F.coalesce(F.col(prediction) == 1, ~actual)
     return predictions.groupBy(*by).agg(
         F.count_if(~actual & ~positive).alias("_00"),
         F.count_if(~actual & positive).alias("_01"),

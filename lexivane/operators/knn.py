@@ -20,12 +20,14 @@ _BLOCK = 4_000_000
 _TILE_BYTES = 64 << 20
 
 
-def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """A column of equally long lists as a matrix of doubles."""
+def matrix(column: pa.Array | pa.ChunkedArray, number: type = np.float64) -> np.ndarray:
+    """A column of equally long lists as a matrix; no rows give a 0 x 0 one."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    if not len(column):
+        return np.zeros((0, 0), number)
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.astype(np.float64).reshape(len(column), -1)
+    return flat.astype(number).reshape(len(column), -1)
 
 
 def _prepare(queries: pa.Table) -> tuple[np.ndarray, tuple]:
@@ -39,9 +41,9 @@ def _score_distance(state: tuple, batch: pa.RecordBatch, best: Best) -> None:
     A matrix product bounds the distances; the few pairs that can still enter
     a top k are then measured exactly, rounded, and ranked.
     """
-    if batch.num_rows == 0:
-        return
     queries, query_sq = state
+    if batch.num_rows == 0 or not len(queries):
+        return
     ids = batch.column("corpus_idx").to_numpy(zero_copy_only=False)
     vectors = matrix(batch.column("vector"))
     step = max(1, _BLOCK // len(queries))
@@ -63,12 +65,12 @@ def _score_distance(state: tuple, batch: pa.RecordBatch, best: Best) -> None:
 
 
 def _sides(queries: DataFrame, corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return queries.select("query_idx", "vector"), corpus.select("corpus_idx", "vector")
+    there = F.col("vector").isNotNull()
+    return queries.select("query_idx", "vector").filter(there), corpus.select("corpus_idx", "vector").filter(there)
 
 
 def _width(vectors: DataFrame) -> int:
-    first = vectors.select(F.size("vector")).first()
-    return first[0] if first else 0
+    return vectors.agg(F.max(F.size("vector"))).first()[0] or 0
 
 
 def nearest(
@@ -81,7 +83,8 @@ def nearest(
     """(query_idx, rank, corpus_idx, score): the k nearest documents, exactly.
 
     queries (query_idx, vector) and corpus (corpus_idx, vector); score is the
-    distance. Queries that fit in query_bytes go to every task, which scans its
+    distance. Rows without a vector, as a failed encoding leaves them, neither
+    ask nor are found. Queries that fit in query_bytes go to every task, which scans its
     share of the corpus in place; more of them are met in a grid of tiles.
     """
     queries, docs = _sides(queries, corpus)
@@ -133,12 +136,15 @@ def nearest_by_cells(
 ) -> DataFrame:
     """Approximate nearest documents: exact within the probed k-means cells.
 
+    A query whose cells hold fewer than k documents searches all of them.
     A cell that holds many documents is split into tiles of about tile_rows,
     and its queries are sent to each, so a crowded cell is no single task.
     With probes = cells the result is exact.
     """
     queries, docs = _sides(queries, corpus)
-    docs = written(docs, "docs")
+    queries, docs = written(queries, "queries"), written(docs, "docs")
+    if docs.isEmpty() or queries.isEmpty():
+        return nearest(queries, docs, k)
     fitted = KMeans(k=cells, seed=seed, featuresCol="features", maxIter=10).fit(
         docs.select(array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
     )
@@ -166,4 +172,9 @@ def nearest_by_cells(
         _score_distance,
         k,
     )
-    return rank_hits(hits.withColumn("score", F.abs("score")), k, ascending=True)
+    ranked = written(rank_hits(hits.withColumn("score", F.abs("score")), k, ascending=True), "ranked")
+    served = written(ranked.filter(F.col("rank") == k).select("query_idx"), "served")
+    short = written(queries.join(served, "query_idx", "left_anti"), "short")
+    if short.isEmpty():
+        return ranked
+    return ranked.join(served, "query_idx", "left_semi").unionByName(nearest(short, docs, k))

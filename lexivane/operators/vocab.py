@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,9 +13,10 @@ from lexivane.functions import text
 from lexivane.session import written
 from lexivane.sources.ordering import dense_index
 
-# (text order, word position) in one BIGINT, so that the first sight of a word
-# is a plain min of a fixed-width value: the order takes the upper bits.
-_POSITIONS = 1 << 27
+# (text order, word position) in one DECIMAL, so that the first sight of a word
+# is a plain min of a fixed-width value. It holds every position in a text, and
+# an order of any BIGINT or of a decimal up to 2^95.
+_POSITIONS = Decimal(1 << 31)
 _HEAP = 20_000
 
 
@@ -67,8 +69,13 @@ def create_vocabulary(
     return ranked.filter(F.col("token_id") < vocab_size).select("token_id", "token", "n")
 
 
+def _by_count() -> Column:
+    """A number that never falls from frequent to rare words, first seen ones first."""
+    return F.log2(F.greatest(F.col("first").cast("double"), F.lit(0.0)) + 1) / 128 - F.col("n").cast("double")
+
+
 def _ranked(counts: DataFrame, name: str, rows_per_bucket: int | None = None) -> DataFrame:
-    key = F.col("first").cast("double") / F.lit(2.0**63) - F.col("n").cast("double")
+    key = _by_count()
     return dense_index(counts, [F.desc("n"), F.asc("first")], name, key, rows_per_bucket)
 
 
@@ -138,8 +145,7 @@ def sort_by_frequency(vocab: DataFrame, counts: DataFrame, rows_per_bucket: int
     """(position, token_id, token, n): seen tokens by count, then the rest by id."""
     joined = with_unknown(vocab).join(counts, "token_id", "left")
     order = [F.col("n").isNull(), F.desc("n"), F.asc("first"), F.asc("token_id")]
-    seen = F.col("first").cast("double") / F.lit(2.0**63) - F.col("n").cast("double")
-    key = F.coalesce(seen, F.col("token_id").cast("double") + 1)
+    key = F.coalesce(F.when(F.col("n").isNotNull(), _by_count()), F.col("token_id").cast("double") + 1)
     return dense_index(joined, order, "position", key, rows_per_bucket).select(
         "position", "token_id", "token", "n"
     )

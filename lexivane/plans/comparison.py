@@ -14,9 +14,9 @@ from lexivane.sources import tables
 
 
 def _other(spark, sf_dir):
-    """The French vocabulary with vectors by rank: the second model's tokens."""
+    """The French vocabulary with vectors by rank, counted round: the second model's tokens."""
     embeddings = views.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    tokens = views.vocabulary(spark, sf_dir, "fr").withColumn("vec_id", F.col("token_id"))
+    tokens = views.vocabulary(spark, sf_dir, "fr").withColumn("vec_id", F.col("token_id") % embeddings.agg(F.count(F.lit(1))).scalar())
     return tokens.join(embeddings, "vec_id").drop("vec_id")
 
 
@@ -70,7 +70,7 @@ def token_arrows(spark, sf_dir):
 
 def _projected(spark, sf_dir):
     turns, model, shares = _shares(spark, sf_dir)
-    means = encode_columns(turns, {"vector": ("text", model)}, "conv_id").drop("text")
+    means = encode_columns(turns, {"vector": ("text", model)}).drop("text")
     return compare.project_contributions(written(shares, "shares"), means)
 
 
@@ -160,7 +160,7 @@ QUERIES = {
     "runs_selected": runs_selected,
 }
 
-_OTHER = "(select v.token, e.embedding as vector from vocab_fr v join embeddings e on e.vec_id = v.token_id)"
+_OTHER = "(select v.token, e.embedding as vector from vocab_fr v join embeddings e on e.vec_id = v.token_id % (select count(*) from embeddings))"
 _RUNS = """(select *, 'dim' || output_dim || case when vocab_size <> 150000 then '_vocab' || vocab_size else '' end
         || case when sif_coefficient <> 0.001 then '_sif0.005' else '' end
         || case when normalize_embeddings then '_normalize_embeddings' else '' end as run_name

@@ -41,7 +41,7 @@ def _vocabulary(lang: str) -> str:
               from (select doc_id, unnest(w) as token, generate_subscripts(w, 1) as pos
                     from (select doc_id, {words('text')} as w from documents where lang = '{lang}'))
               group by token)
-        order by n desc, first limit 500"""
+        order by n desc, first limit {config.VOCAB_SIZE}"""
 
 
 def mean_vectors(texts: str, key: str, model: str = "token_vectors") -> str:
@@ -60,7 +60,7 @@ def mean_vectors(texts: str, key: str, model: str = "token_vectors") -> str:
 
 VIEWS = {
     "triplets": """select row_number() over (order by d.doc_id) - 1 as idx, d.doc_id, d.lang as language,
-        substr(d.text, 1, 80) as query,
+        split_part(d.text, '.', 1) as query,
         case when l.quality = 0 then null else d.text end as positive,
         case when l.toxic = 1 then null else lead(d.text) over (order by d.doc_id) end as negative
         from documents d left join labels l on d.doc_id = l.doc_id where d.lang = 'en'""",
@@ -86,8 +86,8 @@ VIEWS = {
         from triplets t left join gold g on g.query_idx = t.idx""",
     "vocab_en": _vocabulary("en"),
     "vocab_fr": _vocabulary("fr"),
-    "token_vectors": _model("v.token_id"),
-    "token_vectors_2": _model("(v.token_id * 7 + 3) % 500"),
+    "token_vectors": _model("v.token_id % (select count(*) from embeddings)"),
+    "token_vectors_2": _model("(v.token_id * 7 + 3) % (select count(*) from embeddings)"),
     "internal_tokens": f"select distinct unnest({words('text')}) as token from benchmark",
     "raw_tokens": r"""select distinct token from (
         select unnest(string_split_regex(text, '[ \t\n\r\f]+')) as token

@@ -48,7 +48,7 @@ class Retrieval:
         return self._parts[1]
 
     def _encode(self, rows: DataFrame, key: str, source: str, model: DataFrame) -> DataFrame:
-        coded = encode_columns(rows.select(key, source), {"vector": (source, model)}, key, self.normalize)
+        coded = encode_columns(rows.select(key, source), {"vector": (source, model)}, self.normalize)
         return coded.select(key, "vector")
 
     def dense(self, k: int) -> DataFrame:
@@ -95,13 +95,13 @@ def long_vectors(df: DataFrame, key: str, column: str = "vector") -> DataFrame:
 def doc_vectors(spark, sf_dir):
     docs = views.table(spark, sf_dir, "documents").select("doc_id", "text")
     model = views.token_vectors(spark, sf_dir)
-    return long_vectors(encode_columns(docs, {"vector": ("text", model)}, "doc_id"), "doc_id")
+    return long_vectors(encode_columns(docs, {"vector": ("text", model)}), "doc_id")
 
 
 def doc_vectors_unit(spark, sf_dir):
     docs = views.table(spark, sf_dir, "documents").select("doc_id", "text")
     model = views.token_vectors(spark, sf_dir)
-    coded = encode_columns(docs, {"vector": ("text", model)}, "doc_id", normalize=True)
+    coded = encode_columns(docs, {"vector": ("text", model)}, normalize=True)
     return long_vectors(coded, "doc_id")
 
 

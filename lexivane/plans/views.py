@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexivane import config
 from lexivane.functions import text
 from lexivane.operators import corpus as corpora
 from lexivane.operators import vocab
@@ -12,7 +13,6 @@ from lexivane.session import spread, written
 from lexivane.sources.ordering import dense_index
 from lexivane.sources.triplets import flag_triplets
 
-VOCABULARY = 500
 TEXT_TABLES = ("documents", "conversations", "pages")
 
 
@@ -28,7 +28,7 @@ def _next(rows: DataFrame, column: str, out: str) -> DataFrame:
 
 
 def triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """English documents as triplets; the negative is the next document.
+    """English documents as triplets: the first sentence asks, the negative is the next document.
 
     Written once: most plans read it several times.
     """
@@ -40,7 +40,7 @@ def triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "idx",
         "doc_id",
         F.col("lang").alias("language"),
-        F.substring("text", 1, 80).alias("query"),
+        F.substring_index("text", ".", 1).alias("query"),
         F.when(F.coalesce(F.col("quality") != 0, F.lit(True)), F.col("text")).alias("positive"),
         F.when(F.coalesce(F.col("toxic") != 1, F.lit(True)), F.col("_next")).alias("negative"),
     )
@@ -55,7 +55,8 @@ def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("positive")
     )
     pairs = asked.join(answers, ["conv_id", "turn"], "left")
-    key = F.col("conv_id") + F.col("turn") / F.lit(float(1 << 22))
+    # Later turns of a conversation share one key and are ordered inside it.
+    key = F.col("conv_id") + F.least(F.col("turn"), F.lit((1 << 22) - 1)) / F.lit(float(1 << 22))
     rows = dense_index(pairs, ["conv_id", "turn"], "idx", key)
     return written(flag_triplets(_next(rows, "positive", "negative")), "turns")
 
@@ -64,15 +65,16 @@ def corpus(rows: DataFrame) -> DataFrame:
     return corpora.index_corpus(corpora.create_corpus(rows))
 
 
-def vocabulary(spark: SparkSession, sf_dir: str, lang: str = "en", size: int = VOCABULARY) -> DataFrame:
+def vocabulary(spark: SparkSession, sf_dir: str, lang: str = "en", size: int = config.VOCAB_SIZE) -> DataFrame:
     docs = table(spark, sf_dir, "documents").filter(F.col("lang") == lang)
     return vocab.create_vocabulary(docs, size, "text", "doc_id")
 
 
 def token_vectors(spark: SparkSession, sf_dir: str, second: bool = False) -> DataFrame:
-    """A static model: the vector of a token is the embedding at its rank."""
+    """A static model: the vector of a token is the embedding at its rank, counted round."""
     embeddings = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    at = F.col("token_id") if not second else (F.col("token_id") * 7 + 3) % VOCABULARY
+    place = F.col("token_id") if not second else F.col("token_id") * 7 + 3
+    at = place % embeddings.agg(F.count(F.lit(1))).scalar()
     tokens = vocabulary(spark, sf_dir).withColumn("vec_id", at)
     return written(tokens.join(embeddings, "vec_id").drop("vec_id"), "model")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from lexivane import config
@@ -58,7 +60,7 @@ def token_frequencies(spark, sf_dir):
 def tokens_by_frequency(spark, sf_dir):
     vocabulary = written(views.vocabulary(spark, sf_dir), "vocabulary")
     counts = vocab.token_frequencies(vocabulary, views.table(spark, sf_dir, "conversations").select(
-        (F.col("conv_id") * 4096 + F.col("turn")).alias("ord"), "text"))
+        (F.col("conv_id") * F.lit(Decimal(1 << 32)) + F.col("turn")).alias("ord"), "text"))
     return vocab.sort_by_frequency(vocabulary, written(counts, "frequencies"))
 
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexivane.operators.encode import Encoder, encode_column
+from lexivane.session import written
 
 MODEL_SCHEMA = (
     T.StructType()
@@ -53,29 +55,45 @@ def encode_and_save(
     key: str = "corpus_idx",
     batch_size: int = 32,
     chunk_size: int = 5000,
+    waves: int = 4,
 ) -> DataFrame:
     """Encode what path does not hold yet, append it, and read all of it.
 
-    Rows already there are left out by key, so a run that was cut short is
-    simply run again. Rows a batch encoder could not take are not kept and are
-    tried again then.
+    Rows are encoded and committed in waves, chosen by a hash of the key. A run
+    that was cut short keeps the waves it finished; run again, it leaves their
+    rows out. Rows the encoder could not take are kept with its message under
+    `<path>-errors` and are tried again then; failed_rows reads them.
     """
     spark = df.sparkSession
     schema = T.StructType(df.schema.fields[:]).add("embedding", T.ArrayType(T.FloatType()))
     schema = schema.add("chunk", T.LongType())
     done = _existing(spark, path, schema)
     todo = df if done is None else df.join(done.select(key), key, "left_anti").select(*df.columns)
-    coded = encode_column(todo, in_col, "embedding", encoder_factory, batch_size)
-    rows = coded.filter(F.col("embedding").isNotNull()).drop("embedding_error")
-    rows = rows.withColumn("chunk", F.floor(F.col(key) / chunk_size).cast("bigint"))
-    rows.write.mode("append").option("maxRecordsPerFile", chunk_size).parquet(path)
+    todo = written(todo, "todo")
+    there = F.col("embedding").isNotNull()
+    for wave in range(waves):
+        rows = todo.filter(F.pmod(F.xxhash64(key), F.lit(waves)) == wave)
+        coded = written(encode_column(rows, in_col, "embedding", encoder_factory, batch_size), "encoded")
+        kept = coded.filter(there).drop("embedding_error")
+        kept = kept.withColumn("chunk", F.floor(F.col(key) / chunk_size).cast("bigint"))
+        coded.filter(~there).select(*df.columns, "embedding_error").write.mode("append").parquet(f"{path}-errors")
+        kept.write.mode("append").option("maxRecordsPerFile", chunk_size).parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def failed_rows(spark: SparkSession, path: str, key: str = "corpus_idx") -> DataFrame:
+    """Rows that encode_and_save could not encode so far, once each, with the encoder's message."""
+    failed = spark.read.parquet(f"{path}-errors").dropDuplicates([key])
+    return failed.join(spark.read.parquet(path).select(key), key, "left_anti")
+
+
 def _existing(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    return spark.read.schema(schema).parquet(path) if files.exists(folder) else None
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 TOKEN_MAP = ["index", "text", "projection_x", "projection_y"]

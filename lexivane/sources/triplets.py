@@ -35,5 +35,8 @@ def complete_pairs(triplets: DataFrame) -> DataFrame:
 
 
 def first_rows(triplets: DataFrame, limit: int | None) -> DataFrame:
-    """The first rows by dense index."""
-    return triplets if limit is None else triplets.filter(F.col("idx") < limit)
+    """The first rows by index, also where a filter has left gaps in it."""
+    if limit is None:
+        return triplets
+    last = triplets.select("idx").orderBy("idx").limit(limit).agg(F.max("idx"))
+    return triplets.filter(F.col("idx") <= last.scalar())
