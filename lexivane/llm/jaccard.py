@@ -22,8 +22,8 @@ from lexivane.session import written
 
 GROUP_MEMBERS = 128
 QUERIES_PER_TASK = 256
-SAMPLE_DOCS = 5_000  # documents that tell which tokens are frequent; it orders tokens and changes no result
-HOT_TOKENS = 200_000
+CELLS = 1 << 22  # counters of token frequency over all documents, 8 MB when sent; a power of two
+CELLS_PER_ROW = 1 << 16
 SENT_BYTES = 32 << 20  # candidates up to this size are sent to the texts, beyond it both are shuffled
 SPARE_PERCENT = 5  # tokens beyond the shortest prefix: more are joined, but partners must share that many
 
@@ -52,32 +52,51 @@ def least_overlap(n, percent: int):
     return -(-n * percent // 100)
 
 
-def frequent_tokens(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens that recur in a bounded sample of documents, with their counts, at most HOT_TOKENS."""
-    total = docs.count()
-    drawn = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 20)) < SAMPLE_DOCS / max(total, 1) * (1 << 20))
+def _log(counts: np.ndarray) -> np.ndarray:
+    return np.round(1024 * np.log2(1.0 + counts)).astype(np.uint16)
 
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def token_weights(docs: DataFrame, size: int) -> tuple[np.ndarray, int]:
+    """How often the tokens of each of CELLS cells occur in all documents, as 1024 * log2(1 + count), and the weight
+    above which a token counts as frequent: twice the mean of the cells.
+
+    The table has one size for any input; tokens that share a cell share its weight. It orders tokens and changes no result.
+    """
+    cell_bits = np.uint64(64 - CELLS.bit_length() + 1)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(CELLS, np.uint32)
         for batch in common.sliced(batches):
-            sets = text_sets(common.as_bytes(batch.column(0)), size)
-            for lo in range(0, len(sets), 512):
-                flat = np.concatenate([*sets[lo : lo + 512], np.zeros(0, np.uint64)])
-                token, n = np.unique(flat, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(token)), pa.array(n.astype(np.int64))], names=["token", "n"])
+            for tokens in text_sets(common.as_bytes(batch.column(0)), size):
+                np.add.at(table, tokens >> cell_bits, 1)
+        table = np.minimum(table, 255).astype(np.uint8)
+        for i in np.flatnonzero(table.reshape(-1, CELLS_PER_ROW).any(axis=1)):
+            cells = table[i * CELLS_PER_ROW : (i + 1) * CELLS_PER_ROW].tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([cells], pa.binary())], names=["part", "cells"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in common.sliced(batches, 16):
+            for i, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sums.setdefault(i, np.zeros(CELLS_PER_ROW, np.int64))[:] += np.frombuffer(cells, np.uint8)
+        for i, n in sums.items():
+            row = [pa.array([i], pa.int32()), pa.array([int(n.sum())], pa.int64()), pa.array([_log(n).tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(row, names=["part", "n", "cells"])
+
+    dealt = docs.select("text").mapInArrow(count, "part int, cells binary").repartition("part")
+    weights, total = np.zeros(CELLS, np.uint16), 0
+    for i, n, cells in dealt.mapInArrow(add, "part int, n long, cells binary").collect():
+        weights[i * CELLS_PER_ROW : (i + 1) * CELLS_PER_ROW] = np.frombuffer(cells, np.uint16)
+        total += n
+    return weights, int(_log(np.array([max(2 * total / CELLS, 1)]))[0])
+
 
-    counted = drawn.select("text").mapInArrow(tokens, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counted.filter("n > 2").orderBy(F.desc("n"), "token").limit(HOT_TOKENS).toArrow()
-    token, n = top["token"].to_numpy().view(np.uint64), top["n"].to_numpy()
-    order = np.argsort(token)
-    return token[order], n[order]
+def _weight(tokens: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return weights[tokens >> np.uint64(64 - len(weights).bit_length() + 1)]
 
 
-def _rarest_first(tokens: np.ndarray, hot: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    if not len(hot) or not len(tokens):
-        return tokens
-    at = np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)
-    weight = np.where(hot[at] == tokens, counts[at], 0)
-    return tokens[np.argsort(weight, kind="stable")]
+def _rarest_first(tokens: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return tokens[np.argsort(_weight(tokens, weights), kind="stable")]
 
 
 def signatures(docs: DataFrame, size: int, hot) -> DataFrame:
@@ -85,11 +104,11 @@ def signatures(docs: DataFrame, size: int, hot) -> DataFrame:
     frequent tokens it has. Empty sets have null keys."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, _ = hot.value
+        weights, frequent = hot.value
         for batch in common.sliced(batches):
             sets = text_sets(common.as_bytes(batch.column(1)), size)
             empty = np.array([not len(s) for s in sets], bool)
-            heat = [int(np.isin(s, tokens, assume_unique=True).sum()) for s in sets]
+            heat = [int((_weight(s, weights) > frequent).sum()) for s in sets]
 
             def key(salt: int) -> pa.Array:
                 found = [common.mix(s ^ np.uint64(salt)).sum(dtype=np.uint64) for s in sets]
@@ -119,7 +138,7 @@ def _need(n: str, percent: int) -> str:
 def _deciding_tokens(texts: list[bytes], size: int, percent: int, hot) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     kept = []
     for tokens in text_sets(texts, size):
-        ordered = _rarest_first(tokens, *hot.value)
+        ordered = _rarest_first(tokens, hot.value[0])
         n = len(ordered)
         kept.append(ordered[: n - least_overlap(n, percent) + 1 + n * SPARE_PERCENT // 100])
     flat = np.concatenate([*kept, np.zeros(0, np.uint64)])
@@ -316,7 +335,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     common.small_batches(docs.sparkSession)
-    hot = docs.sparkSession.sparkContext.broadcast(frequent_tokens(docs, size))
+    hot = docs.sparkSession.sparkContext.broadcast(token_weights(docs, size))
     rows = written(signatures(docs, size, hot), "signatures")
     keyed = rows.filter("doc_id IS NOT NULL AND k1 IS NOT NULL")
     first = written(keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("node")), "first")
