@@ -100,15 +100,18 @@ def _rarest_first(tokens: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, size: int, hot) -> DataFrame:
-    """Per row (doc_id, n, k1, k2, least, heat): set size, key of the whole set, its smallest token, and how many of the
-    frequent tokens it has. Empty sets have null keys."""
+    """Per row (doc_id, n, k1, k2, least, common, heat): set size, key of the whole set, its smallest token, the smallest of
+    its frequent ones (of all where none is), and how many are frequent. Empty sets have null keys."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, frequent = hot.value
         for batch in common.sliced(batches):
             sets = text_sets(common.as_bytes(batch.column(1)), size)
             empty = np.array([not len(s) for s in sets], bool)
-            heat = [int((_weight(s, weights) > frequent).sum()) for s in sets]
+            known = [s[_weight(s, weights) > frequent] for s in sets]
+
+            def least(sets: list[np.ndarray]) -> pa.Array:
+                return pa.array([int(_signed(s[:1])[0]) if len(s) else None for s in sets], pa.int64())
 
             def key(salt: int) -> pa.Array:
                 found = [common.mix(s ^ np.uint64(salt)).sum(dtype=np.uint64) for s in sets]
@@ -120,13 +123,14 @@ def signatures(docs: DataFrame, size: int, hot) -> DataFrame:
                     pa.array([len(s) for s in sets], pa.int64()),
                     key(0x51ED270B),
                     key(0x2545F4914F6CDD1D),
-                    pa.array([int(_signed(s[:1])[0]) if len(s) else None for s in sets], pa.int64()),
-                    pa.array(heat, pa.int64()),
+                    least(sets),
+                    least([k if len(k) else s for k, s in zip(known, sets)]),
+                    pa.array([len(k) for k in known], pa.int64()),
                 ],
-                names=["doc_id", "n", "k1", "k2", "least", "heat"],
+                names=["doc_id", "n", "k1", "k2", "least", "common", "heat"],
             )
 
-    schema = "doc_id long, n long, k1 long, k2 long, least long, heat long"
+    schema = "doc_id long, n long, k1 long, k2 long, least long, common long, heat long"
     return docs.select("doc_id", "text").mapInArrow(work, schema)
 
 
@@ -275,7 +279,7 @@ def _links(docs: DataFrame, reps: DataFrame, size: int, percent: int, hot) -> Da
     star = written(_star_edges(pairs, percent).groupBy("node").agg(F.min("center").alias("center")), "star")
 
     # Then those that stand for the rest are joined with one another, and at last everything that is still apart.
-    labels = nodes.join(star, "node", "left").select("node", "n", "least", F.coalesce("center", "node").alias("label"))
+    labels = nodes.join(star, "node", "left").select("node", "n", "common", F.coalesce("center", "node").alias("label"))
     labels = written(labels, "labels")
     heads = _joined_groups(tokens, labels.filter("node = label"), sets, percent)
     apart = written(components(heads), "heads").select(F.col("node").alias("label"), "component")
@@ -286,9 +290,13 @@ def _links(docs: DataFrame, reps: DataFrame, size: int, percent: int, hot) -> Da
 
 
 def _joined_groups(tokens: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links that join differently labelled (node, n, least, label), found group by group."""
+    """Links that join differently labelled (node, n, common, label), found group by group.
+
+    Those of one label share groups, the others go by their smallest frequent token: near copies keep most of these, whatever
+    each has of its own, so that a large family fills few groups.
+    """
     sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("same"))
-    family = F.when(F.col("same") > 1, F.xxhash64("label", F.lit(1))).otherwise(F.xxhash64("least", F.lit(2)))
+    family = F.when(F.col("same") > 1, F.xxhash64("label", F.lit(1))).otherwise(F.xxhash64("common", F.lit(2)))
     placed = labels.join(sizes, "label").select("node", "n", "label", family.alias("family"))
     placed = written(placed, "placed")
     sizes = written(placed.groupBy("family").agg(F.count(F.lit(1)).alias("size")), "families")
@@ -311,8 +319,9 @@ def _joined_groups(tokens: DataFrame, labels: DataFrame, sets: DataFrame, percen
     met = written(met.filter(F.col("shared") >= F.expr(_need("n", percent))).select("node", "label", "grp"), "met")
 
     asked = met.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / QUERIES_PER_TASK).alias("parts"))
-    mixed = groups.groupBy("grp").agg(F.min("label").alias("one"), F.max("label").alias("other"))
-    mixed = mixed.filter("one <> other").select("grp")
+    # A link inside a group takes as many tokens that differently labelled members share.
+    mixed = matrix.filter("one <> other").groupBy("grp").agg(F.count(F.lit(1)).alias("shared"), F.min("low").alias("low"))
+    mixed = mixed.filter(F.col("shared") >= F.expr(_need("low", percent))).select("grp")
     opened = asked.join(mixed.withColumn("mixed", F.lit(1)), "grp", "full").select("grp", F.coalesce("parts", F.lit(1)).alias("parts"))
     opened = written(opened, "opened")
     numbers = F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))
@@ -340,7 +349,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     keyed = rows.filter("doc_id IS NOT NULL AND k1 IS NOT NULL")
     first = written(keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("node")), "first")
     reps = keyed.join(first.select("k1", "k2", F.col("node").alias("doc_id")), ["doc_id", "k1", "k2"])
-    reps = reps.groupBy(F.col("doc_id").alias("node")).agg(*[F.max(c).alias(c) for c in ("n", "least", "heat")])
+    reps = reps.groupBy(F.col("doc_id").alias("node")).agg(*[F.max(c).alias(c) for c in ("n", "least", "common", "heat")])
     found = components(_links(docs, written(reps, "reps"), size, percent, hot))
     classes = first.join(found, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("class"))
     classes = written(classes, "classes")
