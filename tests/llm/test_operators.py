@@ -264,6 +264,29 @@ def test_html_suffix_array(spark):
     assert found[9] == "" and found[10].startswith("Head & line\n")
 
 
+def test_html_runs_of_a_host_in_several_chunks(spark):
+    shared, rare = "all rights reserved by the owner of this site", "only two of the pages say this much"
+    extra = {i: shared for i in range(0, 1200, 200)} | {7: rare, 900: rare}
+    rows = [(i, f"http://big.org/{i}", f"<div>own words {i}</div><div>{extra.get(i, '')}</div>") for i in range(1200)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(4)
+    found = {r["page_id"]: r["text"] for r in html.main_text(pages, ["page_id"]).collect()}
+    assert found == {i: f"own words {i}" + (f"\n{rare}" if i in (7, 900) else "") for i in range(1200)}
+
+
+def test_html_run_counts_equal_brute_force():
+    rng = random.Random(5)
+    streams = [[" ".join(rng.choice("abc") for _ in range(rng.randrange(1, 12))) for _ in range(rng.randrange(4))] for _ in range(30)]
+    plain = Counter(g for s in streams for g in {tuple(w[i : i + 6]) for w in [" ".join(s).split()] for i in range(len(w) - 5)})
+    words = html.words_of(streams)
+    runs, counts = html.run_counts(words)
+    assert sorted(counts) == sorted(plain.values()) and len(set(runs)) == len(plain)
+    covered = html.covered_by(words, runs[counts >= 3])
+    for stream, hit in zip(streams, covered):
+        w = " ".join(stream).split()
+        wanted = {j for i in range(len(w) - 5) if plain[tuple(w[i : i + 6])] >= 3 for j in range(i, i + 6)}
+        assert set(np.flatnonzero(hit)) == wanted and len(hit) == len(w)
+
+
 def test_empty_tables(spark, empty):
     assert jaccard.near_duplicates(empty).count() == 0
     assert substrings.removed(empty, ["doc_id"]).count() == 0
