@@ -273,6 +273,17 @@ def test_html_runs_of_a_host_in_several_chunks(spark):
     assert found == {i: f"own words {i}" + (f"\n{rare}" if i in (7, 900) else "") for i in range(1200)}
 
 
+def test_html_copies_are_one_page(spark):
+    copied, shared = "<div>one two three four five six seven</div>", "all rights reserved by the owner of this site"
+    rows = [(i, f"http://c.org/{i}", copied) for i in range(3)] + [(3, "http://c.org/3", copied)] * 3
+    rows += [(i, f"http://d.org/{i}", f"<article>text {i}</article><div>{shared}</div>") for i in (4, 5)]
+    rows += [(6, "http://d.org/6", f"<div>own</div><div>{shared}</div>")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    found = Counter((r["page_id"], r["text"]) for r in html.main_text(pages, ["page_id"]).collect())
+    wanted = {(i, "one two three four five six seven"): 1 for i in range(3)} | {(3, "one two three four five six seven"): 3}
+    assert found == wanted | {(4, "text 4"): 1, (5, "text 5"): 1, (6, "own"): 1}
+
+
 def test_html_run_counts_equal_brute_force():
     rng = random.Random(5)
     streams = [[" ".join(rng.choice("abc") for _ in range(rng.randrange(1, 12))) for _ in range(rng.randrange(4))] for _ in range(30)]
