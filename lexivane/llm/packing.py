@@ -27,6 +27,7 @@ WINDOW_SEQUENCES = 64
 END_ID = 1
 QUEUES = 256  # further sources share queues by hash
 STARTS_BYTES = 32 << 20  # queue offsets of the tasks up to this size are sent, beyond it they are joined
+END_OF_TEXT, END_OF_TEXT_ID = "<|endoftext|>", 50_256  # the added token of byte_bpe_50k.json
 _PIECE_CACHE = 200_000
 _CHARS = 1 << 20
 # Text without these characters is cut by the standard library just as by the tokenizer's own pattern.
@@ -56,9 +57,15 @@ class Tokenizer:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.encoding = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.pieces = _Pieces(self.encoding)
+        self.end_of_text = np.array([END_OF_TEXT_ID], np.uint16).tobytes()
 
     def encode(self, text: str) -> bytes:
-        """Ids as unsigned 16-bit numbers."""
+        """Ids as unsigned 16-bit numbers. The added token is one id wherever it stands, and divides the text."""
+        if END_OF_TEXT in text:
+            return self.end_of_text.join(map(self._plain, text.split(END_OF_TEXT)))
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         if _UNUSUAL.search(text):
             return np.array(self.encoding.encode_ordinary(text), np.uint16).tobytes()
         if len(text) <= _CHARS:

@@ -130,6 +130,15 @@ def test_tokenizer_agrees_on_odd_texts():
         assert np.frombuffer(ours.encode(text), np.uint16).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_tokenizer_agrees_on_the_added_token():
+    tokenizers = pytest.importorskip("tokenizers")
+    public = pytest.importorskip("public_tokenizers")
+    tokenizer, ours = tokenizers.Tokenizer.from_file(public.path("byte_bpe_50k.json")), packing.Tokenizer()
+    end = "<|endoftext|>"
+    for text in (end, f"one {end} two", f"{end}{end} a", f"日本 {end}\n\n²", f"a  {end}  b", "<|endoftext|", "<|<|endoftext|>|>", "a  b"):
+        assert np.frombuffer(ours.encode(text), np.uint16).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_chat_round_trip(spark):
     odd = ["<|im_end|>", "<\\|im_end|>\\", "a<|", "<", None, "", "<|im_start|>user\nhi<|im_end|>\n", "plain\ntext", "<\\\\|x"]
     rows = [(c, t, role, odd[(c + t) % len(odd)]) for c in range(5) for t, role in enumerate(["system", "user", "assistant", "a\nb\\n<|", None])]
