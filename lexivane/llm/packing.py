@@ -4,7 +4,9 @@ Each source is a queue of tokens. Every window of the output gives each queue a
 carries from the windows before. Quotas are whole tokens and a queue's documents are cut where its quota ends.
 A queue's running credit at any window follows in closed form from the shares, so tasks need not take turns: token j of a
 queue of weight w is due at (2j + 1) / w, and windows take tokens in that order. A queue that runs dry leaves
-its part to the others. All comparisons are in whole numbers, so every task finds the same cuts.
+its part to the others. A window's cut is bracketed by the sum of all shares, which bends only where a queue runs dry, and the few tokens
+between are put in order; so its cost grows with the number of queues and not with its square. All comparisons that decide are in whole
+numbers, so every task finds the same cuts.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ from lexivane.session import new_path
 SEQUENCE = 2048
 WINDOW_SEQUENCES = 64
 END_ID = 1
-QUEUES = 256  # further sources share queues by hash
+WEIGHT = (1 << 31) - 1  # of the largest share
+CUTS_BYTES = 32 << 20  # window cuts a task keeps
 STARTS_BYTES = 32 << 20  # queue offsets of the tasks up to this size are sent, beyond it they are joined
 END_OF_TEXT, END_OF_TEXT_ID = "<|endoftext|>", 50_256  # the added token of byte_bpe_50k.json
 _PIECE_CACHE = 200_000
@@ -77,8 +80,6 @@ def tokenised(docs: DataFrame, end_id: int = END_ID) -> DataFrame:
     """Written table (doc_id, queue, n, ids, task, within): each document's ids with end_id, and where it starts in
     its task's part of its queue. Null text gives end_id alone; a null source is a queue like any other."""
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("source"), F.lit("")).alias("queue"))
-    if named.select("queue").distinct().limit(QUEUES + 1).count() > QUEUES:
-        named = named.withColumn("queue", F.pmod(F.xxhash64("queue"), F.lit(QUEUES)).cast("string"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, end = Tokenizer(), np.array([end_id], np.uint16).tobytes()
@@ -108,40 +109,60 @@ def tokenised(docs: DataFrame, end_id: int = END_ID) -> DataFrame:
 
 
 class Schedule:
-    """Which tokens of which queue fill which window."""
+    """Which tokens of which queue fill which window. Weights are below 2 ** 31."""
 
     def __init__(self, sizes: list[int], weights: list[int], window: int):
         self.sizes, self.weights, self.window = np.array(sizes, np.int64), np.array(weights, np.int64), window
         self.total = int(self.sizes.sum())
         self.held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.most_held = max(8, min(4096, CUTS_BYTES // (16 * max(1, len(sizes)))))
+        # Tokens that are due by a time, but for half a token a queue: straight lines between the times at which queues run dry.
+        dry = 2 * self.sizes / self.weights
+        order = np.argsort(dry)
+        speed = np.cumsum(self.weights[order][::-1])[::-1] / 2
+        self.times = np.concatenate([[0.0], dry[order]])
+        self.filled = np.concatenate([[0.0], np.cumsum(np.diff(self.times) * speed)])
+        self.slack = len(sizes) + 2  # more than those halves and the rounding of the lines
 
     def rank(self, queue: np.ndarray, place: np.ndarray) -> np.ndarray:
         """How many tokens come before the given ones; rows: (queue, place), both may be arrays."""
-        due = (2 * place + 1)[:, None] * self.weights[None, :]
-        mine = self.weights[queue][:, None]
-        other = np.arange(len(self.sizes))[None, :]
-        before = (np.where(other < queue[:, None], due, due - 1) // mine + 1) // 2
+        mine = self.weights[queue]
+        whole, rest = np.divmod(2 * place + 1, mine)
+        later = np.arange(len(self.sizes))[None, :] >= queue[:, None]
+        whole = np.minimum(whole[:, None], (2 * self.sizes // self.weights + 1)[None, :])  # a queue is dry by then
+        before = (whole * self.weights + (rest[:, None] * self.weights - later) // mine[:, None] + 1) // 2
         return np.minimum(before, self.sizes[None, :]).sum(axis=1)
 
+    def window_of(self, queue: int, place: int) -> int:
+        """The window of a token."""
+        about = float(np.interp((2 * place + 1) / self.weights[queue], self.times, self.filled))
+        window = int((about - self.slack) // self.window)
+        if window == (about + self.slack) // self.window:
+            return window
+        return int(self.rank(np.array([queue]), np.array([place]))[0]) // self.window
+
     def cut(self, window: int) -> tuple[np.ndarray, np.ndarray]:
         """Per queue the tokens used up before the window, and where its quota starts in the output."""
         if window not in self.held:
-            if len(self.held) > 4096:
+            if len(self.held) >= self.most_held:
                 self.held.clear()
             self.held[window] = (used := self._used(window)), self._starts(window, used)
         return self.held[window]
 
     def _used(self, window: int) -> np.ndarray:
         goal = min(window * self.window, self.total)
-        low, high = np.zeros_like(self.sizes), self.sizes.copy()
-        queues = np.arange(len(self.sizes))
-        while (low < high).any():
-            middle = (low + high) // 2
-            late = self.rank(queues, middle) >= goal
-            open_ = low < high
-            high = np.where(late & open_, middle, high)
-            low = np.where(~late & open_, middle + 1, low)
-        return low
+        early, late = np.interp([goal - self.slack, goal + self.slack], self.filled, self.times)
+        used = np.clip((early * self.weights + 1) // 2 - 1, 0, self.sizes).astype(np.int64)
+        most = np.clip((late * self.weights + 1) // 2 + 1, 0, self.sizes).astype(np.int64)
+        open_ = most - used
+        queue = np.repeat(np.arange(len(open_)), open_)
+        place = np.arange(len(queue)) + np.repeat(used - np.cumsum(open_) + open_, open_)
+        # When each is due: whole part, and the fraction to 62 bits, which tells any two apart.
+        weight = self.weights[queue]
+        whole, rest = np.divmod(2 * place + 1, weight)
+        upper, rest = np.divmod(rest << 31, weight)
+        first = np.lexsort((queue, upper << 31 | (rest << 31) // weight, whole))[: goal - int(used.sum())]
+        return used + np.bincount(queue[first], minlength=len(used))
 
     def _starts(self, window: int, used: np.ndarray) -> np.ndarray:
         quota = self._used(window + 1) - used
@@ -151,7 +172,7 @@ class Schedule:
         """(start in the document, tokens, place in the output) of tokens begin.. of a queue."""
         at = begin
         while at < begin + length:
-            window = int(self.rank(np.array([queue]), np.array([at]))[0]) // self.window
+            window = self.window_of(queue, at)
             used, starts = self.cut(window)
             stop = min(begin + length, int(self.cut(window + 1)[0][queue]))
             yield at - begin, stop - at, int(starts[queue] + at - used[queue])
@@ -187,7 +208,7 @@ class Sequences:
 def _weights(totals: dict[str, int], targets: dict[str, float] | None) -> list[int]:
     share = totals if targets is None else {q: targets.get(q, 0.0) for q in totals}
     most = max(share.values()) or 1
-    return [max(1, round(share[q] / most * 65_535)) for q in totals]
+    return [max(1, round(share[q] / most * WEIGHT)) for q in totals]
 
 
 def pack(

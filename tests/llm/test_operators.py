@@ -4,6 +4,7 @@ import hashlib
 import random
 
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -130,6 +131,43 @@ def test_tokenizer_agrees_on_odd_texts():
         assert np.frombuffer(ours.encode(text), np.uint16).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_schedule_equals_brute_force():
+    rng = random.Random(2)
+    for queues, most in ((1, 9), (40, 5), (300, 2**31 - 1), (700, 1000)):
+        sizes = [rng.choice([1, 3, rng.randrange(1, 200)]) for _ in range(queues)]
+        weights = [rng.choice([1, most, rng.randrange(1, most + 1)]) for _ in sizes]
+        order = sorted((Fraction(2 * j + 1, w), q, j) for q, (n, w) in enumerate(zip(sizes, weights)) for j in range(n))
+        schedule = packing.Schedule(sizes, weights, 64)
+        assert schedule.rank(*np.array([(q, j) for _, q, j in order[::7]]).T).tolist() == list(range(len(order)))[::7]
+        assert all(schedule.window_of(q, j) == i // 64 for i, (_, q, j) in enumerate(order))
+        for window in range(len(order) // 64 + 2):
+            wanted = np.bincount([q for _, q, _ in order[: window * 64]], minlength=queues) if window else np.zeros(queues)
+            assert schedule.cut(window)[0].tolist() == wanted.tolist()
+
+
+def test_schedule_of_large_sizes():
+    rng = random.Random(6)
+    sizes = [rng.randrange(1, 10**12) for _ in range(500)] + [10**12] * 3
+    schedule = packing.Schedule(sizes, [max(1, round(n / 10**12 * packing.WEIGHT)) for n in sizes[:-1]] + [1], 1 << 17)
+    for window in [0, 1, *(rng.randrange(schedule.total >> 17) for _ in range(50)), schedule.total >> 17, (schedule.total >> 17) + 1]:
+        goal, used = min(window << 17, schedule.total), schedule.cut(window)[0]
+        assert used.sum() == goal
+        queues = np.arange(len(sizes))
+        assert (schedule.rank(queues, np.maximum(used - 1, 0)) < goal)[used > 0].all()
+        assert (schedule.rank(queues, used) >= goal)[used < sizes].all()
+
+
+def test_packing_keeps_many_sources_apart(spark):
+    rows = [(i, "word " * 40, f"s{i % 300}") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    found = packing.pack(docs, {"s7": 0.5, "s8": 0.5}, size=64, window_sequences=4).collect()
+    assert all(r["source"] == f"s{r['doc_id'] % 300}" for r in found)
+    first = Counter()
+    for r in found:
+        first[r["source"]] += r["length"] if r["window_id"] == 0 else 0
+    assert abs(first["s7"] - first["s8"]) <= 1 and first["s7"] + first["s8"] > 200
+
+
 def test_tokenizer_agrees_on_the_added_token():
     tokenizers = pytest.importorskip("tokenizers")
     public = pytest.importorskip("public_tokenizers")
