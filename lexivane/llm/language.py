@@ -110,8 +110,6 @@ class _Scores(dict):
             if found:
                 score = self.logs[found].mean(axis=0)
                 break
-        if self.used == len(self.rows):
-            return -1
         self.rows[self.used] = score
         self[word] = self.used
         self.used += 1
@@ -133,9 +131,9 @@ def _judge(text: str | None, langs: list[str], scores: _Scores) -> tuple[str, fl
     for chunk in _chunks((text or "").lower()):
         words = _LETTERS.findall(chunk)
         letters = letters or any(w.isalpha() or any(map(str.isalpha, w)) for w in words)
-        if scores.used > scores.base + _CACHE // 2:
-            scores.reset()
         for i in range(0, len(words), _CACHE // 4):
+            if scores.used > scores.base + _CACHE // 2:  # what is left has room for all words of a part
+                scores.reset()
             part = list(map(scores.__getitem__, words[i : i + _CACHE // 4]))
             total += scores.rows[part].sum(axis=0)
     if not letters or not langs:

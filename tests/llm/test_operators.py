@@ -5,6 +5,7 @@ import random
 
 from collections import Counter, defaultdict
 from fractions import Fraction
+from itertools import islice, product
 
 import numpy as np
 import pytest
@@ -265,6 +266,22 @@ def test_language(docs, spark):
     assert kept.filter("doc_id in (0, 1, 2)").count() == 0
 
 
+def test_language_of_more_unseen_words_than_the_cache_holds():
+    def words(letters, n):
+        return ["".join(w) for w in islice(product(letters, repeat=5), n)]
+
+    early, late = words("abcdefghijklm", 70_000), words("nopqrstuvwxyz", 50_000)
+    text = " ".join(early[:50_000] + late + early[50_000:])
+    assert len(text) < language._CHUNK
+    at = {(1, c): i for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")}
+    logs = np.array([[0, -1e-5]] * 13 + [[-1e-5, 0]] * 13, np.float32)
+    scores = language._Scores(at, logs)
+    for _ in range(2):
+        lang, score = language._judge(text, ["one", "two"], scores)
+        assert lang == "one" and abs(score - 1 / (1 + np.exp(-0.2))) < 1e-3
+        language._judge(" ".join(words("acegikmoqsuwy", 45_000)), ["one", "two"], scores)
+
+
 def test_quality(spark):
     random.seed(4)
     good = [" ".join(random.choice(["calm", "river", "stone", "walks"]) for _ in range(50)) + "." for _ in range(150)]
