@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexivane.llm import chat, decontamination, fingerprints, html, jaccard, language, packing, quality, substrings, urls
+from lexivane.llm import chat, decontamination, fingerprints, html, jaccard, language, lines, packing, quality, substrings, urls
 from lexivane.llm.common import table, third
 
 
@@ -65,6 +65,12 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = lines.deduped(table(spark, sf_dir, "documents"), ["doc_id"])
+    n_dropped = F.size("dropped").cast("long").alias("n_dropped")
+    return cut.select("doc_id", "n_lines", n_dropped, F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -78,6 +84,7 @@ QUERIES = {
         op8_substring_dedup,
         op9_benchmark_decontamination,
         op10_html_extraction,
+        op13_line_dedup,
     )
 }
 
@@ -126,5 +133,19 @@ WITH words AS (
   FROM words LEFT JOIN lists USING (doc_id)
 )
 SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(n - len(k) AS BIGINT) AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
+""",
+    "op13_line_dedup": r"""
+WITH lines AS (
+  SELECT doc_id, i, s[i] AS line FROM (
+    SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents))
+), keyed AS (
+  SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines
+), repeated AS (
+  SELECT k, min(doc_id) AS first FROM keyed WHERE length(k) >= 10 GROUP BY k HAVING count(DISTINCT doc_id) > 1
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (doc_id > first) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (first IS NULL OR doc_id <= first), '')) AS kept_sha256
+FROM keyed LEFT JOIN repeated USING (k) GROUP BY doc_id
 """,
 }
