@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexivane.llm import chat, decontamination, fingerprints, html, jaccard, language, lines, packing, quality, substrings, urls
+from lexivane.llm import chat, decontamination, fingerprints, html, jaccard, language, lines, packing, quality, substrings, urls, whitening
 from lexivane.llm.common import table, third
 
 
@@ -65,6 +65,11 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.components(table(spark, sf_dir, "embeddings"), ["vec_id"])
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = lines.deduped(table(spark, sf_dir, "documents"), ["doc_id"])
     n_dropped = F.size("dropped").cast("long").alias("n_dropped")
@@ -84,6 +89,7 @@ QUERIES = {
         op8_substring_dedup,
         op9_benchmark_decontamination,
         op10_html_extraction,
+        op11_embedding_whitening,
         op13_line_dedup,
     )
 }
