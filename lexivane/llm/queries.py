@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexivane.llm import chat, decontamination, fingerprints, html, jaccard, language, lines, packing, quality, substrings, urls, whitening
+from lexivane.llm import chat, decontamination, fingerprints, html, jaccard, language, lines, negatives, packing, quality, substrings, urls, whitening
 from lexivane.llm.common import table, third
 
 
@@ -70,6 +70,13 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("deviation", F.col("deviation").try_cast("long"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table_ = table(spark, sf_dir, "embeddings")
+    changed = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = negatives.integer_rows(table_.withColumn("label", changed))
+    return negatives.mine(rows, rows.filter("id % 100 = 0"))
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = lines.deduped(table(spark, sf_dir, "documents"), ["doc_id"])
     n_dropped = F.size("dropped").cast("long").alias("n_dropped")
@@ -90,6 +97,7 @@ QUERIES = {
         op9_benchmark_decontamination,
         op10_html_extraction,
         op11_embedding_whitening,
+        op12_hard_negatives,
         op13_line_dedup,
     )
 }
@@ -139,6 +147,24 @@ WITH words AS (
   FROM words LEFT JOIN lists USING (doc_id)
 )
 SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(n - len(k) AS BIGINT) AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
+""",
+    "op12_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), scored AS (
+  SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS alike, CAST(list_dot_product(a.x, b.x) AS BIGINT) AS s
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+  SELECT a, b AS p, s AS ps FROM scored WHERE alike QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5
+)
+SELECT q.a AS anchor_id, q.p AS positive_id,
+  CAST(row_number() OVER (PARTITION BY q.a, q.p ORDER BY n.s DESC, n.b) AS INTEGER) AS rank,
+  n.b AS negative_id, q.ps AS positive_score, n.s AS negative_score
+FROM positives q JOIN scored n ON n.a = q.a AND NOT n.alike AND 80 * q.ps <= 100 * n.s AND n.s <= q.ps
+QUALIFY row_number() OVER (PARTITION BY q.a, q.p ORDER BY n.s DESC, n.b) <= 5
 """,
     "op13_line_dedup": r"""
 WITH lines AS (
