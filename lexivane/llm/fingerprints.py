@@ -8,7 +8,6 @@ BITS are kept; equal bits by chance are taken out of the likeness again.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +23,16 @@ BYTES_PER_TASK = 32 << 20
 _STEPS = (16, 256, 8192)
 
 
-@lru_cache(maxsize=4)
+_held: dict[tuple[int, int], np.ndarray] = {}
+
+
 def _probes(bins: int, attempts: int) -> np.ndarray:
+    """Which bins an empty one asks in turn; made once per task."""
+    if (bins, attempts) in _held:
+        return _held[bins, attempts]
     numbers = np.arange(attempts, dtype=np.uint64)[:, None] * np.uint64(bins) + np.arange(bins, dtype=np.uint64)[None, :]
-    return (common.mix(numbers + np.uint64(1)) % np.uint64(bins)).astype(np.int32)
+    _held[bins, attempts] = (common.mix(numbers + np.uint64(1)) % np.uint64(bins)).astype(np.int32)
+    return _held[bins, attempts]
 
 
 def _densified(values: np.ndarray, full: np.ndarray) -> np.ndarray:
