@@ -12,7 +12,6 @@ numbers, so every task finds the same cuts.
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,26 +30,10 @@ WEIGHT = (1 << 31) - 1  # of the largest share
 CUTS_BYTES = 32 << 20  # window cuts a task keeps
 STARTS_BYTES = 32 << 20  # queue offsets of the tasks up to this size are sent, beyond it they are joined
 END_OF_TEXT, END_OF_TEXT_ID = "<|endoftext|>", 50_256  # the added token of byte_bpe_50k.json
-_PIECE_CACHE = 200_000
-_CHARS = 1 << 20
-# Text without these characters is cut by the standard library just as by the tokenizer's own pattern.
-_UNUSUAL = re.compile("[^\x00-\x1b\x20-ɏḀ-ỿ‐-‧]|[\xb2\xb3\xb9\xbc-\xbe]")
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-
-
-class _Pieces(dict):
-    def __init__(self, encoding):
-        self.encoding = encoding
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.encoding.encode_ordinary(piece), np.uint16).tobytes()
-        if len(self) < _PIECE_CACHE:
-            self[piece] = ids
-        return ids
 
 
 class Tokenizer:
-    """Ids of the byte-level BPE of 50,257 ids; each distinct piece is merged once per task while the cache lasts."""
+    """Ids of the byte-level BPE of 50,257 ids."""
 
     def __init__(self):
         import public_tokenizers as public
@@ -59,7 +42,6 @@ class Tokenizer:
         lines = open(public.path("byte_bpe_50k.tiktoken"), "rb")
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.encoding = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.pieces = _Pieces(self.encoding)
         self.end_of_text = np.array([END_OF_TEXT_ID], np.uint16).tobytes()
 
     def encode(self, text: str) -> bytes:
@@ -69,11 +51,7 @@ class Tokenizer:
         return self._plain(text)
 
     def _plain(self, text: str) -> bytes:
-        if _UNUSUAL.search(text):
-            return np.array(self.encoding.encode_ordinary(text), np.uint16).tobytes()
-        if len(text) <= _CHARS:
-            return b"".join(map(self.pieces.__getitem__, _PIECES.findall(text)))
-        return b"".join(self.pieces[m.group()] for m in _PIECES.finditer(text))
+        return np.array(self.encoding.encode_ordinary(text), np.uint16).tobytes()
 
 
 def tokenised(docs: DataFrame, end_id: int = END_ID) -> DataFrame:
