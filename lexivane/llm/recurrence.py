@@ -11,16 +11,17 @@ Blocks are named by the keys of their rows, so rows must come in the same order
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import groupby
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lexivane.llm import common
 
 BLOCK_BYTES = 6 << 20
-BYTES_PER_RANGE = 20 << 20  # text whose hashes one task compares
+BYTES_PER_RANGE = 10 << 20  # text whose hashes one task compares
 _BINARY = ("keys", "counts", "hashes", "places", "twice")
 _FIELDS = "block long, part int, known boolean, " + ", ".join(f"{n} binary" for n in _BINARY)
 _SCHEMA = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("known", pa.bool_()), *[(n, pa.binary()) for n in _BINARY]])
@@ -95,10 +96,10 @@ def build(docs: DataFrame, parts: int, hashes_of: Callable, named: bool = True)
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            rows = list(_block_rows(keys, *hashes_of(texts), parts, named))
+            rows = _block_rows(keys, *hashes_of(texts), parts, named)
+            while some := list(islice(rows, 16)):
+                yield pa.RecordBatch.from_pylist(some, _SCHEMA)
             keys.clear(), texts.clear()
-            for i in range(0, len(rows), 16):
-                yield pa.RecordBatch.from_pylist(rows[i : i + 16], _SCHEMA)
 
         for batch in common.sliced(batches):
             for key, text in zip(batch.column(0).to_pylist(), common.as_bytes(batch.column(1))):
@@ -110,7 +111,7 @@ def build(docs: DataFrame, parts: int, hashes_of: Callable, named: bool = True)
         if texts:
             yield from flush()
 
-    return docs.mapInArrow(work, _FIELDS).repartition(parts, "part")
+    return docs.mapInArrow(work, _FIELDS).repartitionById(parts, F.col("part"))
 
 
 def recurring(index: DataFrame, answer: Callable, schema: str, named: bool = True) -> DataFrame:
@@ -119,27 +120,34 @@ def recurring(index: DataFrame, answer: Callable, schema: str, named: bool = Tru
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["block", "keys", "counts", "places", "hashes"]
         kinds = [pa.int64()] + 4 * [pa.binary()]
-        held: dict[int, list[dict]] = {}
+        blocks: list[int] = []
+        once: list[np.ndarray] = []
+        twice: list[np.ndarray] = []
+        places: list[bytes] = []
         for batch in common.sliced(batches, 16):
             for row in batch.to_pylist():
                 if row["known"]:
                     yield pa.RecordBatch.from_arrays([pa.array([row[n]], k) for n, k in zip(names, kinds)], names=names)
-                else:
-                    held.setdefault(row["part"], []).append(row)
-        while held:
-            _, rows = held.popitem()
-            once = [_unpacked(r["hashes"]) for r in rows]
-            twice = [_unpacked(r["twice"]) for r in rows]
-            every = np.sort(np.concatenate([*once, *twice, *twice]))
-            repeated = np.unique(every[1:][every[1:] == every[:-1]])
-            if not len(repeated):
-                continue
-            for row, hashes in zip(rows, once):
-                at = np.minimum(np.searchsorted(repeated, hashes), len(repeated) - 1)
-                hit = repeated[at] == hashes
-                if hit.any():
-                    told = [row["block"], None, None, _planes(_placed(row["places"])[hit]), _packed(hashes[hit]) if named else b""]
-                    yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(told, kinds)], names=names)
+                    continue
+                blocks.append(row["block"])
+                once.append(_unpacked(row["hashes"]))
+                twice.append(_unpacked(row["twice"]))
+                places.append(row["places"])
+        if not blocks:
+            return
+        every = np.concatenate([*once, *twice, *twice])
+        twice.clear()
+        every.sort()
+        repeated = np.unique(every[1:][every[1:] == every[:-1]])
+        del every
+        if not len(repeated):
+            return
+        for block, hashes, where in zip(blocks, once, places):
+            at = np.minimum(np.searchsorted(repeated, hashes), len(repeated) - 1)
+            hit = repeated[at] == hashes
+            if hit.any():
+                told = [block, None, None, _planes(_placed(where)[hit]), _packed(hashes[hit]) if named else b""]
+                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(told, kinds)], names=names)
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in common.sliced(batches, 16):
