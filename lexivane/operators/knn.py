@@ -1,16 +1,11 @@
-"""Nearest neighbours by Euclidean distance, exact and by cells."""
+"""Nearest neighbours by Euclidean distance, every pair measured."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lexivane import config
 from lexivane.operators.topk import KEPT_BYTES, PLACES, Best, add_tiles, rank_hits, scan_in_tiles, scan_with_queries
@@ -35,33 +30,39 @@ def _prepare(queries: pa.Table) -> tuple[np.ndarray, tuple]:
     return queries["query_idx"].to_numpy(), (vectors, np.einsum("ij,ij->i", vectors, vectors))
 
 
-def _score_distance(state: tuple, batch: pa.RecordBatch, best: Best) -> None:
-    """Offer the documents of a batch to every query, scored by -distance.
+def offer(
+    queries: np.ndarray, query_sq: np.ndarray, which: np.ndarray, ids: np.ndarray, vectors: np.ndarray, best: Best
+) -> None:
+    """Offer documents to some of the queries, scored by -distance.
 
     A matrix product bounds the distances; the few pairs that can still enter
     a top k are then measured exactly, rounded, and ranked.
     """
-    queries, query_sq = state
-    if batch.num_rows == 0 or not len(queries):
-        return
-    ids = batch.column("corpus_idx").to_numpy(zero_copy_only=False)
-    vectors = matrix(batch.column("vector"))
-    step = max(1, _BLOCK // len(queries))
+    asked, asked_sq = queries[which], query_sq[which]
+    step = max(1, _BLOCK // len(which))
     for at in range(0, len(ids), step):
         docs = vectors[at : at + step]
         doc_sq = np.einsum("ij,ij->i", docs, docs)
-        square = query_sq[:, None] + doc_sq[None, :] - 2.0 * (queries @ docs.T)
-        worst = -best.floor
+        square = asked_sq[:, None] + doc_sq[None, :] - 2.0 * (asked @ docs.T)
+        worst = -best.floor[which]
         if len(docs) > best.k:
             kth = np.partition(square, best.k - 1, axis=1)[:, best.k - 1]
             worst = np.minimum(worst, np.sqrt(np.maximum(kth, 0.0)))
-        slack = 1e-12 * (query_sq + doc_sq.max())
+        slack = 1e-12 * (asked_sq + doc_sq.max())
         bound = (worst + 10.0**-PLACES) ** 2 + slack
         query, doc = np.nonzero(square <= bound[:, None])
         for part in range(0, len(query), 200_000):
             q, d = query[part : part + 200_000], doc[part : part + 200_000]
-            exact = np.sqrt(((queries[q] - docs[d]) ** 2).sum(axis=1))
-            best.add(q, ids[at + d], -np.round(exact, PLACES))
+            exact = np.sqrt(((asked[q] - docs[d]) ** 2).sum(axis=1))
+            best.add(which[q], ids[at + d], -np.round(exact, PLACES))
+
+
+def _score_distance(state: tuple, batch: pa.RecordBatch, best: Best) -> None:
+    queries, query_sq = state
+    if batch.num_rows == 0 or not len(queries):
+        return
+    ids = batch.column("corpus_idx").to_numpy(zero_copy_only=False)
+    offer(queries, query_sq, np.arange(len(queries)), ids, matrix(batch.column("vector")), best)
 
 
 def _sides(queries: DataFrame, corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -103,78 +104,28 @@ def nearest(
     return rank_hits(hits.withColumn("score", F.abs("score")), k, ascending=True)
 
 
-def _nearest_cells(vectors: DataFrame, centers: np.ndarray, probes: int) -> DataFrame:
-    """Add `cell`, one row per probed cell, nearest first."""
-    sent = vectors.sparkSession.sparkContext.broadcast(centers)
-    names = vectors.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centers = sent.value
-        center_sq = (centers**2).sum(axis=1)
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            near = center_sq[None, :] - 2.0 * (matrix(batch.column("vector")) @ centers.T)
-            cells = np.argsort(near, axis=1, kind="stable")[:, :probes]
-            rows = pa.array(np.repeat(np.arange(batch.num_rows), cells.shape[1]))
-            columns = [batch.column(name).take(rows) for name in names]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(cells.ravel().astype(np.int32))], names=[*names, "cell"]
-            )
-
-    return vectors.mapInArrow(run, T.StructType(vectors.schema.fields[:]).add("cell", T.IntegerType()))
-
-
 def nearest_by_cells(
     queries: DataFrame,
     corpus: DataFrame,
     k: int = config.TOP_K,
-    cells: int = 16,
-    probes: int = 4,
+    cells: int | None = None,
+    probes: int | None = None,
     seed: int = config.RANDOM_STATE,
-    tile_rows: int = 50_000,
+    tile_rows: int = 2048,
+    recall: float = 0.95,
 ) -> DataFrame:
-    """Approximate nearest documents: exact within the probed k-means cells.
+    """Approximate nearest documents: exact within the cells of the nearest pivots.
 
-    A query whose cells hold fewer than k documents searches all of them.
-    A cell that holds many documents is split into tiles of about tile_rows,
-    and its queries are sent to each, so a crowded cell is no single task.
-    With probes = cells the result is exact.
+    Without a number of cells there are as many as the root of the number of
+    documents; without a number of probes a sample of the queries decides how
+    many cells reach the recall. A query always gets k documents where there
+    are as many. With probes = cells the result is exact. tile_rows documents
+    of a cell are measured at once.
     """
+    from lexivane.operators import cells as around  # which builds on this module
+
     queries, docs = _sides(queries, corpus)
-    queries, docs = written(queries, "queries"), written(docs, "docs")
-    if docs.isEmpty() or queries.isEmpty():
-        return nearest(queries, docs, k)
-    fitted = KMeans(k=cells, seed=seed, featuresCol="features", maxIter=10).fit(
-        docs.select(array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
-    )
-    centers = np.array(fitted.clusterCenters())
-    probed = written(_nearest_cells(queries, centers, min(probes, len(centers))), "probes")
-    placed = written(_nearest_cells(docs, centers, 1), "cells")
-
-    def tiles(rows: DataFrame, name: str) -> DataFrame:
-        n = F.ceil(F.count(F.lit(1)) / tile_rows).cast("bigint")
-        return rows.groupBy("cell").agg(n.alias(name))
-
-    # One row per cell.
-    sizes = F.broadcast(tiles(placed, "_dt").join(tiles(probed, "_qt"), "cell"))
-    q_tile = F.pmod(F.xxhash64("query_idx"), F.col("_qt"))
-    d_tile = F.pmod(F.xxhash64("corpus_idx"), F.col("_dt"))
-    tile = F.concat_ws(":", "cell", "_q", "_d").alias("tile")
-    down = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_dt") - 1))
-    across = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_qt") - 1))
-    left = probed.join(sizes, "cell").withColumn("_q", q_tile).withColumn("_d", down)
-    right = placed.join(sizes, "cell").withColumn("_d", d_tile).withColumn("_q", across)
-    hits = scan_in_tiles(
-        right.select("corpus_idx", "vector", tile),
-        left.select("query_idx", "vector", tile),
-        _prepare,
-        _score_distance,
-        k,
-    )
-    ranked = written(rank_hits(hits.withColumn("score", F.abs("score")), k, ascending=True), "ranked")
-    served = written(ranked.filter(F.col("rank") == k).select("query_idx"), "served")
-    short = written(queries.join(served, "query_idx", "left_anti"), "short")
-    if short.isEmpty():
-        return ranked
-    return ranked.join(served, "query_idx", "left_semi").unionByName(nearest(short, docs, k))
+    queries, placed = written(queries, "queries"), around.place(docs, cells, seed)
+    if probes is None:
+        probes = around.probes_for(queries, placed, k, recall, seed)
+    return around.nearest_probed(queries, placed, probes, k, tile_rows)

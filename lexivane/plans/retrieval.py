@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lexivane import config
 from lexivane.functions import text, vectors
-from lexivane.operators import bm25, fusion, knn
+from lexivane.operators import bm25, cells, fusion, knn
 from lexivane.operators import corpus as corpora
 from lexivane.operators.encode import encode_column, encode_columns
 from lexivane.plans import views
@@ -140,6 +140,34 @@ def knn_cells_all(spark, sf_dir):
     return knn.nearest_by_cells(queries, corpus, cells=8, probes=8)
 
 
+def knn_pivots(spark, sf_dir):
+    """The dense search of knn_docs, with most pairs left out by the triangle inequality."""
+    run = _run(spark, sf_dir)
+    queries = run._encode(run.triplets.withColumnRenamed("idx", "query_idx"), "query_idx", "query", run.model)
+    return cells.nearest(queries, cells.place(run._encode(run.corpus, "corpus_idx", "document", run.model)))
+
+
+def knn_cells_quality(spark, sf_dir):
+    """Per query of the approximate search: what it found, in which order, and how much of the exact result."""
+    rows = views.table(spark, sf_dir, "embeddings")
+    queries = rows.select(F.col("vec_id").alias("query_idx"), F.col("embedding").alias("vector"))
+    corpus = queries.withColumnRenamed("query_idx", "corpus_idx")
+    found = written(knn.nearest_by_cells(queries, corpus), "found")
+    exact = written(knn.nearest(queries, corpus), "exact")
+    # A document that both lists hold has one score; one that only the approximate list holds is farther away.
+    both = found.join(exact.select("query_idx", "corpus_idx", F.col("score").alias("true")), ["query_idx", "corpus_idx"], "left")
+    worst = exact.groupBy("query_idx").agg(F.max("score").alias("worst"))
+    both = both.join(worst, "query_idx").withColumn("fits", F.coalesce(F.col("score") == F.col("true"), F.col("score") >= F.col("worst")))
+    by = both.groupBy("query_idx").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min(F.when(F.col("rank") == 1, F.col("score"))).alias("nearest"),
+        (F.count_if(~F.col("fits")) + F.count(F.lit(1)) - F.max("rank")).alias("faults"),
+        F.count("true").alias("true"),
+    )
+    share = by.agg(F.sum("true") / F.sum("n"))
+    return by.select("query_idx", "n", "nearest", "faults", (share.scalar() >= 0.9).alias("recall_reached"))
+
+
 def rrf(spark, sf_dir):
     fused, _, _ = _run(spark, sf_dir).hybrid(config.TOP_K)
     return fused
@@ -263,6 +291,8 @@ QUERIES = {
     "knn_columns": knn_columns,
     "knn_cells": knn_cells,
     "knn_cells_all": knn_cells_all,
+    "knn_cells_quality": knn_cells_quality,
+    "knn_pivots": knn_pivots,
     "rrf": rrf,
     "hybrid_overlap": hybrid_overlap,
     "hybrid_overlap_mean": hybrid_overlap_mean,
@@ -352,6 +382,9 @@ ORACLES = {
         join corpus c on c.corpus_idx = k.corpus_idx where k.rank <= 30 group by 1"""
     ),
     "knn_cells_all": _KNN_EMBEDDINGS,
+    "knn_cells_quality": f"""select query_idx, count(*) as n, min(score) as nearest,
+        cast(0 as bigint) as faults, true as recall_reached from ({_KNN_EMBEDDINGS}) group by 1""",
+    "knn_pivots": sql("select query_idx, rank, corpus_idx, score from knn_list where rank <= 30"),
     "rrf": sql("select query_idx, rank, corpus_idx, score from fused where rank <= 30"),
     "hybrid_overlap": sql(f"select query_idx, {_ROUNDED} from ({_OVERLAP})"),
     "hybrid_overlap_mean": sql(f"select {_MEANS} from ({_OVERLAP})"),
