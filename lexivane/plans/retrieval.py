@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lexivane import config
 from lexivane.functions import text, vectors
-from lexivane.operators import bm25, cells, fusion, knn
+from lexivane.operators import bm25, cells, fusion, knn, postings
 from lexivane.operators import corpus as corpora
 from lexivane.operators.encode import encode_column, encode_columns
 from lexivane.plans import views
@@ -109,6 +109,13 @@ def bm25_topk(spark, sf_dir):
     return Retrieval(views.triplets(spark, sf_dir)).lexical(config.TOP_K)
 
 
+def bm25_postings(spark, sf_dir):
+    """The search of bm25_topk over a written postings table, opening only blocks that can still hold a better document."""
+    run = Retrieval(views.triplets(spark, sf_dir))
+    made = postings.build(bm25.tokenised(run.corpus, "corpus_idx", "document", "corpus_idx"))
+    return postings.search(bm25.tokenised(run.triplets, "idx", "query", "query_idx"), made)
+
+
 def knn_topk(spark, sf_dir):
     rows = views.table(spark, sf_dir, "embeddings")
     queries = rows.select(F.col("vec_id").alias("query_idx"), F.col("embedding").alias("vector"))
@@ -286,6 +293,7 @@ QUERIES = {
     "doc_vectors": doc_vectors,
     "doc_vectors_unit": doc_vectors_unit,
     "bm25_topk": bm25_topk,
+    "bm25_postings": bm25_postings,
     "knn_topk": knn_topk,
     "knn_docs": knn_docs,
     "knn_columns": knn_columns,
@@ -375,6 +383,7 @@ ORACLES = {
         )
     ),
     "bm25_topk": sql("select query_idx, rank, corpus_idx, score from bm25_list where rank <= 30"),
+    "bm25_postings": sql("select query_idx, rank, corpus_idx, score from bm25_list where rank <= 30"),
     "knn_topk": _KNN_EMBEDDINGS,
     "knn_docs": sql("select query_idx, rank, corpus_idx, score from knn_list where rank <= 30"),
     "knn_columns": sql(
