@@ -8,15 +8,17 @@ large, is sorted in one task.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexivane import config
 from lexivane.session import written
-from lexivane.sources.ordering import keys_at_ranks
+from lexivane.sources.ordering import dense_index, keys_at_ranks, sums_before
 
 _LAST = "~"
-_FEW_STRATA = 100_000
+_FEW_STRATA = 10_000
 
 
 def draw(idx: str | Column, seed: int) -> Column:
@@ -42,24 +44,27 @@ def sample_rows(df: DataFrame, n: int, seed: int = config.RANDOM_STATE, idx: str
     return hashed.filter(F.col("_draw") <= F.coalesce(last.scalar(), F.lit(_LAST))).drop("_draw")
 
 
-def _quotas(sizes: DataFrame, size: str, share: float, name: str) -> DataFrame:
-    """Split ceil(share * all) over the strata by largest remainder."""
-    every = Window.partitionBy()
+def _quotas(sizes: DataFrame, size: str, share: float, name: str, few: bool) -> DataFrame:
+    """Split ceil(share * all) over the strata by largest remainder.
+
+    Base quotas need only the total. What they leave goes to the strata with
+    the largest remainders, found by their place in that order: a window where
+    the strata are few, dense numbers from range partitions where they are not.
+    """
+    every = sizes.agg(F.sum(size)).first()[0] or 0
+    drawn = math.ceil(float(every) * float(share))
     wide = "decimal(38,0)"
-    all_rows = F.sum(size).over(every)
-    drawn = F.ceil(F.col("_all").cast("double") * F.lit(float(share))).cast("bigint")
-    exact = F.col("_drawn").cast(wide) * F.col(size).cast(wide)
-    by_rest = Window.orderBy(F.desc("_rest"), F.asc("stratum"))
-    return (
-        sizes.withColumn("_all", all_rows)
-        .withColumn("_drawn", drawn)
-        .withColumn("_rest", (exact % F.col("_all").cast(wide)).cast("bigint"))
-        .withColumn("_base", ((exact - F.col("_rest").cast(wide)) / F.col("_all").cast(wide)).cast("bigint"))
-        .withColumn("_left", F.col("_drawn") - F.sum("_base").over(every))
-        .withColumn("_place", F.row_number().over(by_rest))
-        .withColumn(name, F.col("_base") + (F.col("_place") <= F.col("_left")).cast("bigint"))
-        .drop("_all", "_drawn", "_rest", "_base", "_left", "_place")
-    )
+    exact = F.lit(drawn).cast(wide) * F.col(size).cast(wide)
+    rest = (exact % F.lit(max(1, every)).cast(wide)).cast("bigint")
+    base = ((exact - F.col("_rest").cast(wide)) / F.lit(max(1, every)).cast(wide)).cast("bigint")
+    based = sizes.withColumn("_rest", rest).withColumn("_base", base)
+    left = drawn - (based.agg(F.sum("_base")).first()[0] or 0)
+    order = [F.desc("_rest"), F.asc("stratum")]
+    if few:
+        placed = based.withColumn("_place", F.row_number().over(Window.orderBy(*order)) - 1)
+    else:
+        placed = dense_index(based, order, "_place")
+    return placed.withColumn(name, F.col("_base") + (F.col("_place") < left).cast("bigint")).drop("_rest", "_base", "_place")
 
 
 def _strata(df: DataFrame, stratify: str, idx: str, seed: int) -> DataFrame:
@@ -108,7 +113,7 @@ def stratified_split(
     if test_size is None:
         return df.withColumn("split", F.lit("all"))
     sizes, few = _sizes(_strata(df, stratify, idx, seed))
-    cuts = _quotas(sizes, "_n", test_size, "rank").select("stratum", F.lit("test").alias("cut"), "rank")
+    cuts = _quotas(sizes, "_n", test_size, "rank", few).select("stratum", F.lit("test").alias("cut"), "rank")
     return _label(df, stratify, idx, seed, cuts, ["test"], few)
 
 
@@ -122,8 +127,8 @@ def add_splits(
 ) -> DataFrame:
     """Add split: test first, then val out of the rest, else train."""
     sizes, few = _sizes(_strata(df, stratify, idx, seed))
-    quotas = _quotas(sizes, "_n", test_size, "_test").withColumn("_rows", F.col("_n") - F.col("_test"))
-    quotas = _quotas(quotas, "_rows", val_size, "_val")
+    quotas = _quotas(sizes, "_n", test_size, "_test", few).withColumn("_rows", F.col("_n") - F.col("_test"))
+    quotas = _quotas(quotas, "_rows", val_size, "_val", few)
     ranks = F.array(
         F.struct(F.lit("test").alias("cut"), F.col("_test").alias("rank")),
         F.struct(F.lit("val").alias("cut"), (F.col("_test") + F.col("_val")).alias("rank")),
@@ -144,9 +149,12 @@ def stratified_k_fold(
     takes from a stratum as many rows as it has positions p with p % k = i.
     """
     keyed = df.select(F.col(stratify).cast("string").alias("stratum"), F.col(idx).alias("_key"))
-    ahead = Window.orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
     strata, few = _sizes(keyed, F.min("_key").alias("_first"))
-    sizes = strata.withColumn("_start", F.coalesce(F.sum("_n").over(ahead), F.lit(0)))
+    if few:
+        ahead = Window.orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
+        sizes = strata.withColumn("_start", F.coalesce(F.sum("_n").over(ahead), F.lit(0)))
+    else:
+        sizes = sums_before(strata, ["_first", "stratum"], "_n", "_start")
     n_below = "cast(floor(({} - cut + {k} - 1) / {k}) as bigint)"
     share = F.expr(f"{n_below.format('(_start + _n)', k=k)} - {n_below.format('_start', k=k)}")
     upto = Window.partitionBy("stratum").orderBy("cut").rowsBetween(Window.unboundedPreceding, 0)

@@ -10,6 +10,7 @@ from lexivane.operators import corpus as corpora
 from lexivane.operators import splits
 from lexivane.plans import views
 from lexivane.plans.oracle import literal, sql, words
+from lexivane.session import new_path
 from lexivane.sources import triplets as sources
 
 DOC_MAX_LENGTH = 400
@@ -21,6 +22,21 @@ def triplets_flagged(spark, sf_dir):
     return views.triplets(spark, sf_dir).select("idx", "doc_id", "language", "query", sources.COMPLETE)
 
 
+def triplets_loaded(spark, sf_dir):
+    """Triplets of every language in files without a number, read back in one language by their place in the files."""
+    docs = views.table(spark, sf_dir, "documents")
+    shaped = docs.select(
+        "doc_id",
+        F.col("lang").alias("language"),
+        F.substring_index("text", ".", 1).alias("query"),
+        F.col("text").alias("positive"),
+        F.when(F.col("n_chars") > DOC_MAX_LENGTH, F.col("source")).alias("negative"),
+    )
+    path = new_path(spark, "raw-triplets")
+    shaped.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.parquet(path)
+    return sources.load_triplets(spark, path, "en").select("idx", "doc_id", "query", "query_instruct", sources.COMPLETE)
+
+
 def complete_pairs(spark, sf_dir):
     rows = sources.complete_pairs(views.triplets(spark, sf_dir))
     return rows.select("idx", "query", "positive", "negative")
@@ -105,6 +121,12 @@ def first_rows(spark, sf_dir):
     return rows.select("idx", "doc_id")
 
 
+def first_test_rows(spark, sf_dir):
+    """A limit after the split filter, which leaves gaps in the index."""
+    held_out = splits.add_splits(views.triplets(spark, sf_dir)).filter(F.col("split") == "test")
+    return sources.first_rows(held_out, LIMIT).select("idx", "doc_id")
+
+
 def length_filter(spark, sf_dir):
     checked = corpora.add_lengths(_features(spark, sf_dir), config.MAX_LENGTH, DOC_MAX_LENGTH)
     return checked.select("corpus_idx", "n_tokens", "fits_length")
@@ -133,6 +155,7 @@ def _token_filter(**switches):
 
 QUERIES = {
     "triplets_flagged": triplets_flagged,
+    "triplets_loaded": triplets_loaded,
     "complete_pairs": complete_pairs,
     "prompts": prompts,
     "corpus_prompts": corpus_prompts,
@@ -146,6 +169,7 @@ QUERIES = {
     "fold_sizes": fold_sizes,
     "sample_seeded": sample_seeded,
     "first_rows": first_rows,
+    "first_test_rows": first_test_rows,
     "length_filter": length_filter,
     "length_report": length_report,
     "normalised_text": normalised_text,
@@ -181,6 +205,10 @@ ORACLES = {
     "triplets_flagged": sql(
         "select idx, doc_id, language, query, complete as has_positive_and_negative from flagged"
     ),
+    "triplets_loaded": f"""select row_number() over (order by doc_id) - 1 as idx, doc_id, query, '''' || {_INSTRUCT} || '''' as query_instruct,
+        has_positive and n_chars > {DOC_MAX_LENGTH} and has_source as has_positive_and_negative
+        from (select doc_id, n_chars, split_part(text, '.', 1) as query, text is not null as has_positive,
+              source is not null as has_source from documents where lang = 'en')""",
     "complete_pairs": sql("select idx, query, positive, negative from complete_pairs"),
     "prompts": sql(
         f"""select idx, '''' || {_INSTRUCT} || '''' as query_instruct, {_DANISH} || query as query_danish,
@@ -213,6 +241,9 @@ ORACLES = {
     ),
     "sample_seeded": f"""select doc_id, lang, n_chars from documents
         order by md5('{config.RANDOM_STATE}:' || doc_id) limit {SAMPLE}""",
+    "first_test_rows": sql(
+        f"""select idx, doc_id from triplets join splits using (idx) where split = 'test' order by idx limit {LIMIT}"""
+    ),
     "first_rows": sql(f"select idx, doc_id from triplets order by idx limit {LIMIT}"),
     "length_filter": sql(_LENGTHS),
     "length_report": sql(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexivane.functions import text
-from lexivane.sources.ordering import dense_index
+from lexivane.sources.ordering import dense_index, source_index
 
 COMPLETE = "has_positive_and_negative"
 
@@ -22,12 +22,12 @@ def flag_triplets(triplets: DataFrame) -> DataFrame:
     )
 
 
-def load_triplets(
-    spark: SparkSession, path: str, language: str, order: list[str], range_key: Column | None = None
-) -> DataFrame:
-    """Rows of one language, numbered 0..n-1 in the given order and flagged."""
-    rows = spark.read.parquet(path).filter(F.col("language") == language)
-    return flag_triplets(dense_index(rows, order, "idx", range_key))
+def load_triplets(spark: SparkSession, path: str, language: str, order: list[str | Column] | None = None) -> DataFrame:
+    """Rows of one language, flagged and numbered 0..n-1: as they stand in the files, or in a given order."""
+    spoken = F.col("language") == language
+    if order is None:
+        return flag_triplets(source_index(spark, path, spoken))
+    return flag_triplets(dense_index(spark.read.parquet(path).filter(spoken), order))
 
 
 def complete_pairs(triplets: DataFrame) -> DataFrame:
