@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import sys
+import types
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+from pyspark.core.broadcast import Broadcast
+from pyspark.resource import ResourceProfile
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,8 +20,10 @@ from lexivane import config
 from lexivane.functions import text, vectors
 from lexivane.operators.knn import matrix
 from lexivane.session import written
+from lexivane.sources.ordering import free_names
 
 _CELLS = 8_000_000
+_LEAST_PART = 1 << 20  # bytes of a model that are sent at once, also where nothing should be
 
 
 def model_bytes(model: DataFrame) -> tuple[int, int]:
@@ -31,8 +36,8 @@ def _number(model: DataFrame) -> np.dtype:
     return np.dtype(np.float32 if model.schema["vector"].dataType.elementType == T.FloatType() else np.float64)
 
 
-def _mean_vectors(lists: pa.Array, tokens: pa.Array, table: np.ndarray, normalize: bool) -> pa.Array:
-    """Mean of the known tokens' vectors for each list; zero where none is."""
+def _sum_vectors(lists: pa.Array, tokens: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of the known tokens' vectors for each list, and how many tokens were known."""
     n, (n_tokens, width) = len(lists), table.shape
     lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
     found = pc.index_in(lists.flatten(), value_set=tokens)
@@ -40,7 +45,7 @@ def _mean_vectors(lists: pa.Array, tokens: pa.Array, table: np.ndarray, normaliz
     row = np.repeat(np.arange(n), lengths)[known]
     token = found.drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
     pair, times = np.unique(row * n_tokens + token, return_counts=True)
-    row_of, token_of = pair // n_tokens, pair % n_tokens
+    row_of, token_of = pair // max(1, n_tokens), pair % max(1, n_tokens)
     sums = np.zeros((n, width))
     step = max(1, _CELLS // max(1, width))
     for at in range(0, len(pair), step):
@@ -49,11 +54,21 @@ def _mean_vectors(lists: pa.Array, tokens: pa.Array, table: np.ndarray, normaliz
         starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
         weighted = table[token_of[part]] * times[part, None]
         sums[rows[starts]] += np.add.reduceat(weighted, starts, axis=0)
-    means = sums / np.maximum(np.bincount(row, minlength=n), 1)[:, None]
+    return sums, np.bincount(row, minlength=n)
+
+
+def _lists(values: np.ndarray) -> pa.Array:
+    n, width = values.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(values.ravel(), pa.float64()))
+
+
+def _mean_vectors(lists: pa.Array, tokens: pa.Array, table: np.ndarray, normalize: bool) -> pa.Array:
+    """Mean of the known tokens' vectors for each list; zero where none is."""
+    sums, known = _sum_vectors(lists, tokens, table)
+    means = sums / np.maximum(known, 1)[:, None]
     if normalize:
         means /= np.linalg.norm(means, axis=1, keepdims=True) + config.L2_EPSILON
-    flat = pa.array(means.ravel(), pa.float64())
-    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), flat)
+    return _lists(means)
 
 
 Specs = dict[str, tuple[str, DataFrame]]
@@ -69,14 +84,13 @@ def encode_columns(
     """Add the mean token vector of text columns.
 
     specs maps each new column to (text column, model); a model holds
-    (token, vector). Models that together fit in model_limit go to every task,
-    and rows are encoded where they are, without a shuffle. The others are
-    joined; rows then carry a number of their own, so they may repeat. Both
-    ways give the same vectors.
+    (token, vector). Models that together fit in model_limit go to every task;
+    the others go there in parts of that size, one after another. Either way
+    rows are encoded where they are, without a shuffle, and get the same vectors.
     """
     models: dict[int, tuple] = {}
     small: Specs = {}
-    large: Specs = {}
+    large: dict = {}
     free = model_limit
     for out, (source, model) in specs.items():
         if id(model) not in models:
@@ -84,25 +98,25 @@ def encode_columns(
             sent = None
             if size <= free:
                 free -= size
-                rows = model.select("token", "vector").toArrow()
-                pair = (rows["token"].combine_chunks(), matrix(rows["vector"], _number(model)))
-                sent = df.sparkSession.sparkContext.broadcast(pair)
-            models[id(model)] = (sent, width)
-        sent, width = models[id(model)]
+                sent = _send(df, model)
+            models[id(model)] = (sent, width, size)
+        sent, width, size = models[id(model)]
         if sent is None:
-            large[out] = (source, model, width)
+            large[out] = (source, model, width, max(2, -(-size // max(_LEAST_PART, model_limit))))
         else:
             small[out] = (source, sent)
     names = [*df.columns, *specs]
-    if large:
-        # Written, so that a task that is run again gives its rows the same numbers.
-        df = written(df.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    for out, (source, model, width) in large.items():
-        df = _encode_by_join(df, out, source, model, width, "_row", normalize, tokenize)
-    df = df.drop("_row") if large else df
+    for out, (source, model, width, parts) in large.items():
+        df = _encode_by_parts(df, out, source, model, width, parts, normalize, tokenize)
     return (_encode_in_place(df, small, normalize, tokenize) if small else df).select(*names)
 
 
+def _send(df: DataFrame, model: DataFrame) -> Broadcast:
+    rows = model.select("token", "vector").toArrow()
+    pair = (rows["token"].combine_chunks(), matrix(rows["vector"], _number(model)))
+    return df.sparkSession.sparkContext.broadcast(pair)
+
+
 def _encode_in_place(df: DataFrame, specs: dict, normalize: bool, tokenize) -> DataFrame:
     sources = sorted({source for source, _ in specs.values()})
     keep = [c for c in df.columns]
@@ -122,53 +136,86 @@ def _encode_in_place(df: DataFrame, specs: dict, normalize: bool, tokenize) -> D
     return fed.mapInArrow(run, schema)
 
 
-def _encode_by_join(
-    df: DataFrame, out: str, source: str, model: DataFrame, width: int, key: str, normalize: bool, tokenize
+def _encode_by_parts(
+    df: DataFrame, out: str, source: str, model: DataFrame, width: int, parts: int, normalize: bool, tokenize
 ) -> DataFrame:
-    """Mean by join: repeats are counted per row first, so a frequent token
-    costs one joined row per text and AQE can split its group."""
-    counts = (
-        df.select(key, F.explode(tokenize(F.col(source))).alias("token"))
-        .groupBy(key, "token")
-        .agg(F.count(F.lit(1)).cast("double").alias("_times"))
-    )
-    dense = array_to_vector(vectors.doubles(F.col("vector")))
-    mean = Summarizer.mean(F.col("_dense"), F.col("_times"))
-    means = (
-        counts.join(model.select("token", dense.alias("_dense")), "token")
-        .groupBy(key)
-        .agg(vector_to_array(mean).alias("_mean"))
-    )
+    """Mean over a model that is too large to send, one part of its tokens at a time.
+
+    Rows stay where they are. Each pass sends one part of the model, adds the vectors of the tokens it holds to the
+    rows' sums, and is written; so a token that nearly all rows hold costs no more than any other.
+    """
+    total, known, tokens = free_names([*df.columns, out], "sum", "known", "tokens")
     zero = F.array_repeat(F.lit(0.0), width)
-    value = F.coalesce(F.col("_mean"), zero)
-    joined = df.join(means, key, "left")
-    return joined.withColumn(out, vectors.unit(value) if normalize else value).drop("_mean")
+    df = df.withColumns({total: zero, known: F.lit(0).cast("bigint")})
+    model = written(model.select("token", "vector"), "large-model")
+    names = df.columns
+    for part in range(parts):
+        sent = _send(df, model.filter(F.pmod(F.xxhash64("token"), F.lit(parts)) == part))
+
+        def add(batches: Iterator[pa.RecordBatch], sent: Broadcast = sent) -> Iterator[pa.RecordBatch]:
+            value_set, table = sent.value
+            table = table.reshape(len(value_set), width)
+            for batch in batches:
+                columns = {name: batch.column(name) for name in names}
+                sums, n = _sum_vectors(batch.column(tokens), value_set, table)
+                before = matrix(columns[total]).reshape(sums.shape) if width else sums
+                columns[total] = _lists(before + sums)
+                columns[known] = pa.array(columns[known].to_numpy() + n)
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
+
+        df = written(df.withColumn(tokens, tokenize(F.col(source))).mapInArrow(add, df.schema), "partly-encoded")
+    value = F.transform(total, lambda x: x / F.greatest(F.col(known), F.lit(1)))
+    return df.withColumn(out, vectors.unit(value) if normalize else value).drop(total, known)
 
 
 Encoder = Callable[[list], Sequence]
 
 
+def _kept_encoder(key: str, factory: Callable[[], Encoder]) -> Encoder:
+    """The worker's encoder of that key, made when a task first asks for it. A worker holds one; another key replaces it."""
+    # The package's own modules come anew with every task; this one stays in the worker.
+    home = sys.modules.setdefault("lexivane_kept", types.ModuleType("lexivane_kept"))
+    held = home.__dict__.setdefault("encoders", {})
+    if key not in held:
+        held.clear()
+        held[key] = factory()
+    return held[key]
+
+
+def _float_lists(made: list) -> pa.Array:
+    """Vectors, or None, as lists of single precision in one buffer."""
+    none = np.array([v is None for v in made], bool)
+    ends = np.cumsum([0 if v is None else len(v) for v in made])
+    offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
+    flat = np.concatenate([v for v in made if v is not None]) if not none.all() else np.zeros(0, np.float32)
+    return pa.ListArray.from_arrays(offsets, pa.array(flat, pa.float32()), mask=pa.array(none))
+
+
 def encode_column(
     df: DataFrame,
     in_col: str,
     out_col: str,
     encoder_factory: Callable[[], Encoder],
     batch_size: int = 1000,
+    encoder_key: str | None = None,
+    profile: ResourceProfile | None = None,
 ) -> DataFrame:
     """Run a batch encoder over a text column, or a column of pairs.
 
-    The factory is called once per task and returns a function from a list of
-    texts (or [instruction, text] pairs) to as many vectors. A batch that fails
-    is retried row by row; a row that fails gets a null vector and its message
-    in `<out_col>_error`.
+    The factory is called once per Python worker, which keeps the encoder for all its tasks, and returns a function from a list
+    of texts (or [instruction, text] pairs) to as many vectors. Calls with one encoder_key share the encoder; by
+    default each call has its own. profile asks for executors with the resources that the encoder needs, such as
+    accelerators. A batch that fails is retried row by row; a row that fails gets a null vector and its message in
+    `<out_col>_error`.
     """
     keep = df.columns
+    key = encoder_key or uuid.uuid4().hex
     error_col = f"{out_col}_error"
     schema = T.StructType(df.schema.fields[:]).add(out_col, T.ArrayType(T.FloatType())).add(error_col, T.StringType())
 
     def attempt(encode: Encoder, items: list) -> tuple[list, list]:
         try:
-            made = [np.asarray(v, np.float32).tolist() for v in encode(items)]
+            made = [np.asarray(v, np.float32) for v in encode(items)]
             if len(made) != len(items):
                 raise ValueError("the encoder must return one vector per text")
             return made, [None] * len(items)
@@ -179,7 +226,7 @@ def encode_column(
             return [p[0][0] for p in parts], [p[1][0] for p in parts]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder_factory()
+        encode = _kept_encoder(key, encoder_factory)
         for batch in batches:
             for at in range(0, batch.num_rows, batch_size):
                 part = batch.slice(at, batch_size)
@@ -189,11 +236,10 @@ def encode_column(
                 made, errors = attempt(encode, items)
                 columns = [part.column(name) for name in keep]
                 yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(made, pa.list_(pa.float32())), pa.array(errors, pa.string())],
-                    names=[*keep, out_col, error_col],
+                    [*columns, _float_lists(made), pa.array(errors, pa.string())], names=[*keep, out_col, error_col]
                 )
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, schema, profile=profile)
 
 
 def explode_tokens(df: DataFrame, key: Sequence[str], source: str, model: DataFrame, tokenize=text.words) -> DataFrame:

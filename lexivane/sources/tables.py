@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
@@ -10,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexivane.operators.encode import Encoder, encode_column
-from lexivane.session import written
 
 MODEL_SCHEMA = (
     T.StructType()
@@ -55,35 +55,51 @@ def encode_and_save(
     key: str = "corpus_idx",
     batch_size: int = 32,
     chunk_size: int = 5000,
-    waves: int = 4,
+    files_per_commit: int = 64,
+    encoder_key: str | None = None,
 ) -> DataFrame:
-    """Encode what path does not hold yet, append it, and read all of it.
+    """Encode what path does not hold yet, add it, and read all of it.
 
-    Rows are encoded and committed in waves, chosen by a hash of the key. A run
-    that was cut short keeps the waves it finished; run again, it leaves their
-    rows out. Rows the encoder could not take are kept with its message under
-    `<path>-errors` and are tried again then; failed_rows reads them.
+    Rows to encode are first laid down as files of chunk_size rows under `<path>-todo`, which a stream takes up,
+    files_per_commit at a time. Each such step is one commit: a folder of path by the step's number, and one of
+    `<path>-errors` with the rows the encoder could not take and its message. A run that was cut short, in a step
+    too, goes on with the first step that was not committed and encodes nothing twice; the stream's progress
+    lies under `<path>-progress` and belongs to the table. Rows that failed are tried again by the next call.
     """
     spark = df.sparkSession
     schema = T.StructType(df.schema.fields[:]).add("embedding", T.ArrayType(T.FloatType()))
     schema = schema.add("chunk", T.LongType())
-    done = _existing(spark, path, schema)
-    todo = df if done is None else df.join(done.select(key), key, "left_anti").select(*df.columns)
-    todo = written(todo, "todo")
-    there = F.col("embedding").isNotNull()
-    for wave in range(waves):
-        rows = todo.filter(F.pmod(F.xxhash64(key), F.lit(waves)) == wave)
-        coded = written(encode_column(rows, in_col, "embedding", encoder_factory, batch_size), "encoded")
+    encoder_key = encoder_key or uuid.uuid4().hex
+    todo = f"{path}-todo"
+
+    def commit(rows: DataFrame, step: int) -> None:
+        coded = encode_column(rows, in_col, "embedding", encoder_factory, batch_size, encoder_key).persist()
+        there = F.col("embedding").isNotNull()
         kept = coded.filter(there).drop("embedding_error")
         kept = kept.withColumn("chunk", F.floor(F.col(key) / chunk_size).cast("bigint"))
-        coded.filter(~there).select(*df.columns, "embedding_error").write.mode("append").parquet(f"{path}-errors")
-        kept.write.mode("append").option("maxRecordsPerFile", chunk_size).parquet(path)
-    return spark.read.schema(schema).parquet(path)
+        failed = coded.filter(~there).select(*df.columns, "embedding_error")
+        failed.write.mode("overwrite").parquet(f"{path}-errors/commit={step}")
+        kept.write.mode("overwrite").option("maxRecordsPerFile", chunk_size).parquet(f"{path}/commit={step}")
+        coded.unpersist()
+
+    def drain() -> None:
+        staged = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files_per_commit).parquet(todo)
+        stream = staged.writeStream.foreachBatch(commit).option("checkpointLocation", f"{path}-progress")
+        stream.trigger(availableNow=True).start().awaitTermination()
+
+    if _existing(spark, todo, df.schema) is not None:
+        drain()
+    done = _existing(spark, path, schema)
+    fresh = df if done is None else df.join(done.select(key), key, "left_anti").select(*df.columns)
+    fresh.write.mode("append").option("maxRecordsPerFile", chunk_size).parquet(todo)
+    drain()
+    saved = _existing(spark, path, schema)
+    return (spark.createDataFrame([], schema) if saved is None else saved).select(*schema.names)
 
 
 def failed_rows(spark: SparkSession, path: str, key: str = "corpus_idx") -> DataFrame:
     """Rows that encode_and_save could not encode so far, once each, with the encoder's message."""
-    failed = spark.read.parquet(f"{path}-errors").dropDuplicates([key])
+    failed = spark.read.parquet(f"{path}-errors").drop("commit").dropDuplicates([key])
     return failed.join(spark.read.parquet(path).select(key), key, "left_anti")
 
 
