@@ -25,6 +25,8 @@ QUERIES_PER_TASK = 256
 CELLS = 1 << 22  # counters of token frequency over all documents, 8 MB when sent; a power of two
 CELLS_PER_ROW = 1 << 16
 SENT_BYTES = 32 << 20  # candidates up to this size are sent to the texts, beyond it both are shuffled
+STAR_SALTS = (0x9E6C63D0876A9A47, 0xC2B2AE3D27D4EB4F)  # further orders of tokens by which near copies are brought together
+_MORE = [f"least{i + 1}" for i in range(len(STAR_SALTS))]
 SPARE_PERCENT = 5  # tokens beyond the shortest prefix: more are joined, but partners must share that many
 
 
@@ -100,8 +102,9 @@ def _rarest_first(tokens: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, size: int, hot) -> DataFrame:
-    """Per row (doc_id, n, k1, k2, least, common, heat): set size, key of the whole set, its smallest token, the smallest of
-    its frequent ones (of all where none is), and how many are frequent. Empty sets have null keys."""
+    """Per row (doc_id, n, k1, k2, least, least1, ..., common, heat): set size, key of the whole set, its smallest token, and
+    its smallest ones in other orders, the smallest of its frequent ones (of all where none is), and how many are frequent.
+    Empty sets have null keys."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, frequent = hot.value
@@ -124,13 +127,15 @@ def signatures(docs: DataFrame, size: int, hot) -> DataFrame:
                     key(0x51ED270B),
                     key(0x2545F4914F6CDD1D),
                     least(sets),
+                    *(least([common.mix(s ^ np.uint64(salt)).min(keepdims=True) if len(s) else s for s in sets]) for salt in STAR_SALTS),
                     least([k if len(k) else s for k, s in zip(known, sets)]),
                     pa.array([len(k) for k in known], pa.int64()),
                 ],
-                names=["doc_id", "n", "k1", "k2", "least", "common", "heat"],
+                names=["doc_id", "n", "k1", "k2", "least", *_MORE, "common", "heat"],
             )
 
-    schema = "doc_id long, n long, k1 long, k2 long, least long, common long, heat long"
+    more = "".join(f"{c} long, " for c in _MORE)
+    schema = f"doc_id long, n long, k1 long, k2 long, least long, {more}common long, heat long"
     return docs.select("doc_id", "text").mapInArrow(work, schema)
 
 
@@ -278,8 +283,12 @@ def _links(docs: DataFrame, reps: DataFrame, size: int, percent: int, hot) -> Da
     pairs = sets.join(center_sets, "least").filter("node <> center").select("node", "tokens", "center", "center_tokens")
     star = written(_star_edges(pairs, percent).groupBy("node").agg(F.min("center").alias("center")), "star")
 
+    labels = nodes.join(star, "node", "left").select("node", "n", "common", "heat", *_MORE, F.coalesce("center", "node").alias("label"))
+    for key in _MORE:
+        labels = _starred(written(labels, "labels"), sets, key, percent)
+
     # Then those that stand for the rest are joined with one another, and at last everything that is still apart.
-    labels = nodes.join(star, "node", "left").select("node", "n", "common", F.coalesce("center", "node").alias("label"))
+    labels = labels.select("node", "n", "common", "label")
     labels = written(labels, "labels")
     heads = _joined_groups(tokens, labels.filter("node = label"), sets, percent)
     apart = written(components(heads), "heads").select(F.col("node").alias("label"), "component")
@@ -289,6 +298,21 @@ def _links(docs: DataFrame, reps: DataFrame, size: int, percent: int, hot) -> Da
     return labels.filter("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")).union(rest)
 
 
+def _starred(labels: DataFrame, sets: DataFrame, key: str, percent: int) -> DataFrame:
+    """labels with those that stand for others held against one that has the same smallest token in another order, and
+    replaced by it, with all that they stand for, where they link."""
+    heads = labels.filter("node = label").select("node", key, "heat")
+    best = F.max(F.struct("heat", (-F.col("node")).alias("minus"))).alias("best")
+    centers = heads.groupBy(key).agg(best, F.count(F.lit(1)).alias("size")).filter("size > 1")
+    centers = written(centers.select(key, (-F.col("best.minus")).alias("center")), "centers")
+    plain = sets.select("node", "tokens")
+    center_sets = centers.join(plain.select(F.col("node").alias("center"), F.col("tokens").alias("center_tokens")), "center")
+    mine = heads.join(centers, key).filter("node <> center").select("node", key).join(plain, "node")
+    pairs = mine.join(center_sets, key).select("node", "tokens", "center", "center_tokens")
+    star = written(_star_edges(pairs, percent), "star").select(F.col("node").alias("label"), "center")
+    return labels.join(star, "label", "left").withColumn("label", F.coalesce("center", "label")).drop("center")
+
+
 def _joined_groups(tokens: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links that join differently labelled (node, n, common, label), found group by group.
 
@@ -301,20 +325,23 @@ def _joined_groups(tokens: DataFrame, labels: DataFrame, sets: DataFrame, percen
     placed = written(placed, "placed")
     sizes = written(placed.groupBy("family").agg(F.count(F.lit(1)).alias("size")), "families")
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / GROUP_MEMBERS))
-    groups = placed.join(sizes, "family").select("node", "n", "label", F.xxhash64("family", part).alias("grp"))
+    groups = placed.join(sizes, "family").select("node", "n", "label", "size", F.xxhash64("family", part).alias("grp"))
     groups = written(groups, "groups")
 
-    mine = written(tokens.join(groups, "node").select("token", "node", "n", "label", "grp"), "placed-tokens")
+    mine = written(tokens.join(groups, "node").select("token", "node", "n", "label", "size", "grp"), "placed-tokens")
     matrix = written(
-        mine.groupBy("token", "grp").agg(
+        mine.groupBy("token", "grp", "size").agg(
             F.min("n").alias("low"), F.max("n").alias("high"), F.min("label").alias("one"), F.max("label").alias("other")
         ),
         "matrix",
     )
-    other = matrix.select("token", F.col("grp").alias("to"), "low", "high", "one", "other")
+    other = matrix.select("token", F.col("grp").alias("to"), F.col("size").alias("as_many"), "low", "high", "one", "other")
+    # Of two groups the members of the smaller family ask: a large family is asked once by each other document, and not
+    # each of its members by every small group.
+    asks = (F.col("size") < F.col("as_many")) | (F.col("size") == F.col("as_many")) & (F.col("grp") < F.col("to"))
     reach = (F.col("n") * 100 >= F.col("low") * percent) & (F.col("high") * 100 >= F.col("n") * percent)
     apart = (F.col("one") != F.col("label")) | (F.col("other") != F.col("label"))
-    met = mine.join(other, "token").filter((F.col("grp") < F.col("to")) & reach & apart)
+    met = mine.join(other, "token").filter(asks & reach & apart)
     met = met.groupBy("node", "label", "n", F.col("to").alias("grp")).agg(F.count(F.lit(1)).alias("shared"))
     met = written(met.filter(F.col("shared") >= F.expr(_need("n", percent))).select("node", "label", "grp"), "met")
 
@@ -349,7 +376,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     keyed = rows.filter("doc_id IS NOT NULL AND k1 IS NOT NULL")
     first = written(keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("node")), "first")
     reps = keyed.join(first.select("k1", "k2", F.col("node").alias("doc_id")), ["doc_id", "k1", "k2"])
-    reps = reps.groupBy(F.col("doc_id").alias("node")).agg(*[F.max(c).alias(c) for c in ("n", "least", "common", "heat")])
+    reps = reps.groupBy(F.col("doc_id").alias("node")).agg(*[F.max(c).alias(c) for c in ("n", "least", *_MORE, "common", "heat")])
     found = components(_links(docs, written(reps, "reps"), size, percent, hot))
     classes = first.join(found, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("class"))
     classes = written(classes, "classes")
