@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexivane import config
 from lexivane.functions import text, vectors
 from lexivane.operators.pca import Projection
+from lexivane.session import written
 
 
 def compare_models(first: DataFrame, other: DataFrame) -> DataFrame:
@@ -158,3 +160,81 @@ def sort_runs(runs: DataFrame, column: str) -> DataFrame:
 
 def named_runs(runs: DataFrame, output_dim: str = "output_dim") -> DataFrame:
     return runs.withColumn("run_name", text.run_label(F.col(output_dim), runs.columns))
+
+
+def text_points(
+    texts: DataFrame,
+    key: Sequence[str],
+    source: str,
+    model: DataFrame,
+    axes: Sequence[Column] | None = None,
+    send_bytes: int = config.BROADCAST_BYTES,
+) -> DataFrame:
+    """Written (key, position, token, x, y, l2_norm): a text's known tokens on two axes of the model, by default its first two.
+
+    The model is cut down to three numbers a token before it meets the texts.
+    Up to send_bytes it is sent to them, so that tokens stay where they are.
+    """
+    vector = vectors.doubles(F.col("vector"))
+    x, y = axes or (vector[0], vector[1])
+    narrow = model.select("token", x.alias("x"), y.alias("y"), vectors.l2_norm(vector).alias("l2_norm"))
+    narrow = written(narrow, "narrow-model")
+    size = narrow.agg(F.sum(F.octet_length("token") + 64)).first()[0] or 0
+    tokens = texts.select(*key, F.posexplode(text.words(F.col(source))).alias("position", "token"))
+    return written(tokens.join(F.broadcast(narrow) if size <= send_bytes else narrow, "token"), "points")
+
+
+def point_weights(points: DataFrame, key: Sequence[str]) -> DataFrame:
+    """(token, n, share, square): how often a token occurs, and the sums of 1 / (tokens of its text) and of its square."""
+    sizes = points.groupBy(*key).agg(F.count(F.lit(1)).cast("double").alias("_n"))
+    held = points.groupBy(*key, "token").agg(F.count(F.lit(1)).cast("double").alias("_times")).join(sizes, list(key))
+    share = F.col("_times") / F.col("_n")
+    return held.groupBy("token").agg(F.sum("_times").alias("n"), F.sum(share).alias("share"), F.sum(share / F.col("_n")).alias("square"))
+
+
+def chain_arrows(
+    points: DataFrame, key: Sequence[str], offset: Sequence[float] = (0.0, 0.0), block_tokens: int = 1024
+) -> DataFrame:
+    """The arrows of token_arrows from text_points.
+
+    A token contributes (x, y) over the number of its text's known tokens, less
+    the offset. Positions are added up in two steps, inside blocks of positions
+    and over the blocks of a text, so that a very long text is many tasks.
+    """
+    keys = list(key)
+    blocked = points.withColumn("_block", F.floor(F.col("position") / block_tokens))
+    sums = [F.sum(c).alias(f"_{c}") for c in ("x", "y")]
+    blocks = blocked.groupBy(*keys, "_block").agg(*sums, F.count(F.lit(1)).alias("_held"))
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select(
+        *keys,
+        "_block",
+        *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0.0)).alias(f"_before_{c}") for c in ("x", "y")],
+        F.coalesce(F.sum("_held").over(before), F.lit(0)).alias("_before"),
+        F.sum("_held").over(Window.partitionBy(*keys)).cast("double").alias("_n"),
+    )
+    inside = Window.partitionBy(*keys, "_block").orderBy("position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    place = F.col("_before") + F.count(F.lit(1)).over(inside)
+    joined = blocked.join(starts, [*keys, "_block"]).withColumn("_place", place)
+    for c, o in zip(("x", "y"), offset):
+        joined = joined.withColumn(f"end_{c}", (F.col(f"_before_{c}") + F.sum(c).over(inside)) / F.col("_n") - F.col("_place") * float(o))
+    width = F.greatest(F.lit(1.0), F.least(F.lit(20.0), F.col("l2_norm")))
+    start_x, start_y = (F.col(f"end_{c}") - (F.col(c) / F.col("_n") - float(o)) for c, o in zip(("x", "y"), offset))
+    return joined.select(
+        *keys,
+        "position",
+        "token",
+        start_x.alias("start_x"),
+        start_y.alias("start_y"),
+        "end_x",
+        "end_y",
+        ((start_x + F.col("end_x")) / 2).alias("mid_x"),
+        ((start_y + F.col("end_y")) / 2).alias("mid_y"),
+        width.alias("line_width"),
+    )
+
+
+def weighted_plane(model: DataFrame, weights: DataFrame) -> Projection:
+    """The plane of the contributions' two largest components, fitted on tokens by weight instead of on every occurrence."""
+    rows = written(model.select("token", "vector").join(weights, "token"), "weighted-tokens")
+    return Projection(rows, "vector", 2, ("n", "share", "square"))

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexivane.functions import text
+from lexivane.functions import text, vectors
 from lexivane.operators import compare, pca
-from lexivane.operators.encode import encode_columns, explode_tokens
+from lexivane.operators.encode import encode_columns
 from lexivane.plans import views
 from lexivane.plans.oracle import sql, words
-from lexivane.session import new_path, written
+from lexivane.session import new_path
 from lexivane.sources import tables
 
 
@@ -48,15 +48,14 @@ def vocab_diff(spark, sf_dir):
     return compare.vocabulary_difference(views.vocabulary(spark, sf_dir), views.vocabulary(spark, sf_dir, "fr"))
 
 
-def _shares(spark, sf_dir):
-    turns = views.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    model = views.token_vectors(spark, sf_dir)
-    tokens = explode_tokens(turns, ["conv_id", "turn"], "text", model)
-    return turns, model, compare.contributions(tokens, ["conv_id", "turn"])
+_TURN = ["conv_id", "turn"]
+
+
+def _turns(spark, sf_dir):
+    return views.table(spark, sf_dir, "conversations").select(*_TURN, "text"), views.token_vectors(spark, sf_dir)
 
 
-def _arrows(shares):
-    arrows = compare.token_arrows(shares, ["conv_id", "turn"])
+def _arrows(arrows):
     numbers = [c for c in arrows.columns if c.endswith(("_x", "_y"))]
     arrows = arrows.withColumn("position", F.col("position").cast("bigint"))
     return _rounded(arrows, [*numbers, "line_width"])
@@ -64,24 +63,29 @@ def _arrows(shares):
 
 def token_arrows(spark, sf_dir):
     """Arrows over all conversation turns, in the first two dims."""
-    _, _, shares = _shares(spark, sf_dir)
-    return _arrows(shares.withColumn("x", F.col("share")[0]).withColumn("y", F.col("share")[1]))
+    turns, model = _turns(spark, sf_dir)
+    return _arrows(compare.chain_arrows(compare.text_points(turns, _TURN, "text", model), _TURN))
 
 
-def _projected(spark, sf_dir):
-    turns, model, shares = _shares(spark, sf_dir)
-    means = encode_columns(turns, {"vector": ("text", model)}).drop("text")
-    return compare.project_contributions(written(shares, "shares"), means)
+def _plane(spark, sf_dir):
+    turns, model = _turns(spark, sf_dir)
+    weights = compare.point_weights(compare.text_points(turns, _TURN, "text", model), _TURN)
+    return turns, model, compare.weighted_plane(model, weights)
 
 
 def token_arrows_pca(spark, sf_dir):
     """Arrows in the plane of the two largest components of the contributions."""
-    return _arrows(_projected(spark, sf_dir)[0])
+    turns, model, plane = _plane(spark, sf_dir)
+    vector = vectors.doubles(F.col("vector"))
+    axes = [vectors.dot(vector, F.array(*[F.lit(float(x)) for x in axis])) for axis in plane.axes.T]
+    return _arrows(compare.chain_arrows(compare.text_points(turns, _TURN, "text", model, axes), _TURN, plane.offset))
 
 
 def mean_points_pca(spark, sf_dir):
     """The mean vector of every turn in that plane."""
-    return _rounded(_projected(spark, sf_dir)[1].select("conv_id", "turn", "x", "y"), ["x", "y"])
+    turns, model, plane = _plane(spark, sf_dir)
+    means = plane.apply(encode_columns(turns, {"vector": ("text", model)}).drop("text"), "vector")
+    return _rounded(means.select(*_TURN, F.col("vector")[0].alias("x"), F.col("vector")[1].alias("y")), ["x", "y"])
 
 
 def legend_labels(spark, sf_dir):
