@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexivane import config
 from lexivane.functions import vectors
-from lexivane.operators import bm25, evaluation, pca, splits, vocab
-from lexivane.operators.encode import encode_columns
+from lexivane.operators import bm25, evaluation, pca, splits, sweep, vocab
 from lexivane.plans import views
-from lexivane.plans.oracle import mean_vectors, sql
+from lexivane.plans.oracle import mean_vectors, sql, words
 from lexivane.plans.vocabulary import SIFS
 from lexivane.session import written
 from lexivane.sources.triplets import complete_pairs
@@ -123,28 +123,29 @@ def fold_metrics(spark, sf_dir):
     return evaluation.classification_metrics(predicted, ["fold"])
 
 
-def sweep_accuracy(spark, sf_dir):
-    """Accuracy for every SIF coefficient, weighted and scored in one job."""
-    triplets = views.triplets(spark, sf_dir)
+SWEEP_DIMS = (16, 32, 64)
+SWEEP_SIZES = (1000, config.VOCAB_SIZE)
+
+
+def _swept(spark, sf_dir, dims, sizes, normalize):
+    pairs = complete_pairs(views.triplets(spark, sf_dir)).select("idx", "query", "positive", "negative")
     model = views.token_vectors(spark, sf_dir)
     vocabulary = model.select("token_id", "token")
     texts = views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), "text")
     counts = written(vocab.token_frequencies(vocabulary, texts), "frequencies")
     weights = vocab.sif_weights(vocabulary, counts, SIFS)
-    scaled = vectors.scale(vectors.doubles(F.col("vector")), F.col("weight")).alias("vector")
-    swept = written(model.join(weights, "token_id").select("sif", "token", scaled), "sweep")
-    specs = {}
-    for place, sif in enumerate(SIFS):
-        one = swept.filter(F.col("sif") == sif)
-        specs |= {f"{side}{place}": (name, one) for side, name in (("q", "query"), ("p", "positive"), ("n", "negative"))}
-    rows = complete_pairs(triplets).select("idx", "query", "positive", "negative")
-    coded = encode_columns(rows, specs)
-    runs = []
-    for place, sif in enumerate(SIFS):
-        near = [F.round(vectors.euclidean(F.col(f"q{place}"), F.col(f"{side}{place}")), 6) for side in "pn"]
-        runs.append(F.struct(F.lit(float(sif)).alias("sif"), evaluation.nearer(*near).alias("prediction")))
-    long = coded.select("idx", F.inline(F.array(*runs)))
-    return evaluation.classification_metrics(long, ["sif"])
+    return sweep.sweep(pairs, model, weights, dims, sizes, normalize)
+
+
+def sweep_accuracy(spark, sf_dir):
+    """Accuracy for every SIF coefficient, weighted and scored in one pass."""
+    return evaluation.classification_metrics(_swept(spark, sf_dir, [64], [config.VOCAB_SIZE], [False]), ["sif"])
+
+
+def sweep_grid(spark, sf_dir):
+    """Accuracy for every width, SIF coefficient, vocabulary size and normalisation, in one pass."""
+    settings = ["output_dim", "sif", "vocab_size", "normalize"]
+    return evaluation.classification_metrics(_swept(spark, sf_dir, SWEEP_DIMS, SWEEP_SIZES, [False, True]), settings)
 
 
 def _embeddings(spark, sf_dir):
@@ -230,6 +231,7 @@ QUERIES = {
     "ensemble_metrics": ensemble_metrics,
     "fold_metrics": fold_metrics,
     "sweep_accuracy": sweep_accuracy,
+    "sweep_grid": sweep_grid,
     "pca_all": pca_all,
     "pca_focus": pca_focus,
     "pca_unit": pca_unit,
@@ -311,6 +313,38 @@ def _sweep() -> str:
     return whole[:cut] + ",\n" + ",\n".join(heads) + whole[cut:]
 
 
+def _grid() -> str:
+    dims, sizes, sifs = (", ".join(map(str, x)) for x in (SWEEP_DIMS, SWEEP_SIZES, [f"{s}::double" for s in SIFS]))
+    unit = "list_transform({0}, lambda x: x / (sqrt(list_inner_product({0}, {0})) + 1e-12::double))"
+    rows = f"""(with counted as (
+        select k, token, count(*) as times from (select k, unnest({words('text')}) as token from pair_keys) group by all
+      ), weighted as (
+        select t.token, t.token_id, s.sif, s.sif / (s.sif + {_SHARE}) as weight, cast(t.vector as double[]) as vector
+        from token_vectors t cross join (select unnest([{sifs}]) as sif) s left join token_counts c on c.token_id = t.token_id
+      ), summed as (
+        select c.k, w.sif, z.vocab_size, unnest(range(64)) as dim, c.times, c.times * w.weight * unnest(w.vector) as value
+        from counted c join weighted w on w.token = c.token
+          join (select unnest([{sizes}]) as vocab_size) z on w.token_id < z.vocab_size
+      ), means as (
+        select k, sif, vocab_size, list(value order by dim) as vector from (
+          select k, sif, vocab_size, dim, sum(value) / sum(times) as value from summed group by all) group by all
+      ), every as (
+        select x.idx, x.side, s.sif, z.vocab_size, coalesce(m.vector, list_transform(range(64), lambda i: 0.0::double)) as v
+        from pair_keys x cross join (select unnest([{sifs}]) as sif) s cross join (select unnest([{sizes}]) as vocab_size) z
+          left join means m on m.k = x.k and m.sif = s.sif and m.vocab_size = z.vocab_size
+      ), sides as (
+        select idx, sif, vocab_size, any_value(v) filter (side = 'q') as q, any_value(v) filter (side = 'p') as p,
+          any_value(v) filter (side = 'n') as n from every group by all
+      ), cut as (
+        select idx, sif, vocab_size, output_dim, q[1:output_dim] as q, p[1:output_dim] as p, n[1:output_dim] as n
+        from sides cross join (select unnest([{dims}]) as output_dim)
+      ), either as (
+        select idx, sif, vocab_size, output_dim, false as normalize, q, p, n from cut
+        union all select idx, sif, vocab_size, output_dim, true, {unit.format("q")}, {unit.format("p")}, {unit.format("n")} from cut)
+      select *, cast(round(list_distance(q, p), 6) < round(list_distance(q, n), 6) as int) as prediction from either)"""
+    return sql(_metrics(rows, "output_dim, sif, vocab_size, normalize"))
+
+
 _CONFUSION_ROWS = """select model, 0 as actual, 0 as predicted, cast(0 as bigint) as n from counts4
     union all select model, 0, 1, 0 from counts4 union all select model, 1, 0, n10 from counts4
     union all select model, 1, 1, n11 from counts4"""
@@ -373,6 +407,7 @@ ORACLES = {
     ),
     "fold_metrics": sql(_metrics("(select f.fold, p.prediction from pair_distance p join folds f on f.idx = p.idx)", "fold")),
     "sweep_accuracy": _sweep(),
+    "sweep_grid": _grid(),
     "pca_all": """select max(n) as n_rows, round(sum(v), 6) as total_variance from (
         select dim, count(*) as n, var_samp(value) as v from (
           select unnest(range(64)) as dim, unnest(cast(embedding as double[])) as value from embeddings)
