@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -156,28 +158,60 @@ def tokenised(df: DataFrame, id_col: str, text_col: str, name: str, tokenize=tex
     return df.select(F.col(id_col).alias(name), tokenize(F.col(text_col)).alias("tokens"))
 
 
-def _pair_terms(triplets: DataFrame, tokenize) -> DataFrame:
-    """(idx, token, q, p, n): count of a token in query, positive and negative.
+_SIDES = ("query", "positive", "negative")
 
-    Rows are spread by idx once; both groupings that follow keep that layout.
-    """
+
+def _pair_terms(triplets: DataFrame, tokenize) -> DataFrame:
+    """(idx, token, q, p, n): count of a token in query, positive and negative."""
     sides = F.explode(
-        F.array(*[F.struct(F.lit(c).alias("side"), tokenize(F.col(c)).alias("tokens")) for c in ("query", "positive", "negative")])
+        F.array(*[F.struct(F.lit(c).alias("side"), tokenize(F.col(c)).alias("tokens")) for c in _SIDES])
     )
 
     def times(side: str):
         return F.sum((F.col("side") == side).cast("bigint"))
 
     return (
-        triplets.select("idx", "query", "positive", "negative")
-        .repartition("idx")
-        .select("idx", sides.alias("_s"))
+        triplets.select("idx", sides.alias("_s"))
         .select("idx", "_s.side", F.explode("_s.tokens").alias("token"))
         .groupBy("idx", "token")
         .agg(times("query").alias("q"), times("positive").alias("p"), times("negative").alias("n"))
     )
 
 
+def _row_terms(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """(row, token code, q, p, n) of a batch, and the tokens by code."""
+    lists = [batch.column(s) for s in _SIDES]
+    coded = pa.chunked_array([x.flatten() for x in lists], pa.string()).combine_chunks().dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    row = [
+        np.repeat(np.arange(len(x)), pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False)) for x in lists
+    ]
+    side = np.repeat(np.arange(3), [len(r) for r in row])
+    key, place = np.unique(np.concatenate(row) * max(1, len(coded.dictionary)) + codes, return_inverse=True)
+    times = np.bincount(place * 3 + side, minlength=3 * len(key)).reshape(-1, 3)
+    return key // max(1, len(coded.dictionary)), key % max(1, len(coded.dictionary)), *times.T, coded.dictionary
+
+
+def _score_rows(triplets: DataFrame, tokenize, score) -> DataFrame:
+    """(idx, pos_score, neg_score, prediction): score(batch) gives both scores of rows of tokens, where the rows are.
+
+    No text leaves its task. Scores are null and the prediction is -1 where a text is missing.
+    """
+    there = F.col("positive").isNotNull() & F.col("negative").isNotNull()
+    sides = [F.when(there, tokenize(F.col(s))).alias(s) for s in _SIDES]
+    kind = triplets.schema["idx"].dataType.simpleString()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pos, neg = (pa.array(np.asarray(x, np.float64)) for x in score(batch))
+            yield pa.RecordBatch.from_arrays([batch.column("idx"), batch.column("there"), pos, neg], names=["idx", "there", "pos", "neg"])
+
+    scored = triplets.select("idx", there.alias("there"), *sides).mapInArrow(work, f"idx {kind}, there boolean, pos double, neg double")
+    pos, neg = (F.when(F.col("there"), F.round(c, 6)) for c in ("pos", "neg"))
+    won = F.when(F.col("there"), (F.round("pos", 6) > F.round("neg", 6)).cast("int")).otherwise(-1)
+    return scored.select("idx", pos.alias("pos_score"), neg.alias("neg_score"), won.alias("prediction"))
+
+
 def _missing(triplets: DataFrame, scored: DataFrame) -> DataFrame:
     """(idx, prediction, scores): -1 where a text is missing."""
     there = F.col("positive").isNotNull() & F.col("negative").isNotNull()
@@ -210,36 +244,25 @@ def predict_pairs(
     That corpus is the negative, the positive and a dummy document of five
     terms. 1 if the positive scores higher, 0 if not, -1 if a text is missing.
     """
-    terms = _pair_terms(triplets.filter(F.col("positive").isNotNull() & F.col("negative").isNotNull()), tokenize)
-    held = (F.col("p") > 0).cast("int") + (F.col("n") > 0).cast("int")
     idf_of = {df: float(np.log(3 - df + 0.5) - np.log(df + 0.5)) for df in (1, 2)}
-    single, double = F.count_if(held == 1), F.count_if(held == 2)
     dummies = config.OKAPI_DUMMY_TERMS
-    base = terms.groupBy("idx").agg(
-        F.sum("p").alias("_pl"),
-        F.sum("n").alias("_nl"),
-        ((single + dummies) * idf_of[1] + double * idf_of[2]).alias("_idf_sum"),
-        (single + dummies + double).alias("_terms"),
-        F.collect_list(F.when((F.col("q") > 0) & (held > 0), F.struct("q", "p", "n"))).alias("_hits"),
-    )
-    mean_length = (F.col("_pl") + F.col("_nl") + dummies) / 3.0
-    common = F.col("_idf_sum") / F.col("_terms") * epsilon
 
-    def score(tf: str, length: str):
-        norm = k1 * (1 - b + b * F.col(length) / F.col("_avgdl"))
+    def score(batch: pa.RecordBatch) -> list[np.ndarray]:
+        rows = batch.num_rows
+        row, _, q, p, n, _ = _row_terms(batch)
+        held = (p > 0).astype(int) + (n > 0)
+        single, double = (np.bincount(row[held == h], minlength=rows) for h in (1, 2))
+        lengths = [np.bincount(row, times, rows) for times in (p, n)]
+        common = ((single + dummies) * idf_of[1] + double * idf_of[2]) / (single + dummies + double) * epsilon
+        mean = (lengths[0] + lengths[1] + dummies) / 3.0
+        idf = np.where(held == 2, common[row], idf_of[1])
+        out = []
+        for tf, length in zip((p, n), lengths):
+            norm = k1 * (1 - b + b * length / mean)
+            out.append(np.bincount(row, np.where(held > 0, q * idf * tf * (k1 + 1) / np.where(tf > 0, tf + norm[row], 1.0), 0.0), rows))
+        return out
 
-        def one(hit):
-            idf = F.when((hit["p"] > 0) & (hit["n"] > 0), F.col("_common")).otherwise(idf_of[1])
-            return hit["q"] * idf * hit[tf] * (k1 + 1) / (hit[tf] + norm)
-
-        return F.aggregate("_hits", F.lit(0.0), lambda done, hit: done + one(hit))
-
-    scored = (
-        base.withColumn("_avgdl", mean_length)
-        .withColumn("_common", common)
-        .select("idx", score("p", "_pl").alias("pos_score"), score("n", "_nl").alias("neg_score"))
-    )
-    return _missing(triplets, scored)
+    return _score_rows(triplets, tokenize, score)
 
 
 def predict_pairs_global(
@@ -248,17 +271,46 @@ def predict_pairs_global(
     tokenize=text.words,
     k1: float = config.BM25_K1,
     b: float = config.BM25_B,
+    send_bytes: int = config.BROADCAST_BYTES,
 ) -> DataFrame:
-    """The same prediction with document frequencies of the whole corpus."""
+    """The same prediction with document frequencies of the whole corpus.
+
+    Frequencies of the words that queries hold are sent to the rows up to
+    send_bytes; beyond that the rows' words are joined with them.
+    """
     frequency, size = corpus_statistics(docs)
-    n_docs, avgdl = size.select("n_docs").scalar(), size.select("avgdl").scalar()
+    found = size.first()
+    n_docs, mean = found["n_docs"], found["avgdl"] or 1.0
+    asked = triplets.select(F.explode(tokenize(F.col("query"))).alias("token")).distinct()
+    idf = inverse_frequency(F.lit(n_docs), F.col("df"))
+    known = written(frequency.join(asked, "token", "left_semi").select("token", idf.alias("idf")), "asked-frequencies")
+    if (known.agg(F.sum(F.octet_length("token") + 48)).first()[0] or 0) > send_bytes:
+        return _predict_by_join(triplets, known, mean, tokenize, k1, b)
+    table = known.toArrow()
+    sent = triplets.sparkSession.sparkContext.broadcast((table["token"].combine_chunks(), table["idf"].to_numpy()))
+
+    def score(batch: pa.RecordBatch) -> list[np.ndarray]:
+        tokens, idf = sent.value
+        row, code, q, p, n, words = _row_terms(batch)
+        at = pc.fill_null(pc.index_in(words, value_set=tokens), -1).to_numpy(zero_copy_only=False)[code]
+        weight = np.where(at >= 0, np.append(idf, 0.0)[at], 0.0) * q
+        out = []
+        for tf in (p, n):
+            norm = k1 * (1 - b + b * np.bincount(row, tf, batch.num_rows) / mean)
+            out.append(np.bincount(row, weight * tf / np.where(tf > 0, tf + norm[row], 1.0), batch.num_rows))
+        return out
+
+    return _score_rows(triplets, tokenize, score)
+
+
+def _predict_by_join(triplets: DataFrame, known: DataFrame, mean: float, tokenize, k1: float, b: float) -> DataFrame:
     terms = _pair_terms(triplets.filter(F.col("positive").isNotNull() & F.col("negative").isNotNull()), tokenize)
     lengths = terms.groupBy("idx").agg(F.sum("p").alias("_pl"), F.sum("n").alias("_nl"))
-    matched = terms.filter((F.col("q") > 0) & (F.col("p") + F.col("n") > 0)).join(frequency, "token")
+    matched = terms.filter((F.col("q") > 0) & (F.col("p") + F.col("n") > 0)).join(known, "token")
 
     def part(tf: str, length: str):
-        norm = k1 * (1 - b + b * F.col(length) / avgdl)
-        return F.col("q") * inverse_frequency(n_docs, F.col("df")) * F.col(tf) / (F.col(tf) + norm)
+        norm = k1 * (1 - b + b * F.col(length) / mean)
+        return F.col("q") * F.col("idf") * F.col(tf) / (F.col(tf) + norm)
 
     scored = (
         matched.join(lengths, "idx")

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from lexivane.operators import postings
+from lexivane.operators import bm25, postings
 from test_retrieval import brute_bm25, collection, lists, tokens  # noqa: F401
 
 
@@ -39,3 +39,17 @@ def test_saved_and_empty(spark, tmp_path):
     assert {q: [d for d, _ in found] for q, found in lists(postings.search(asked, made)).items()} == {1: [1, 4], 4: [4, 1]}
     none = postings.build(rows.limit(0))
     assert postings.search(asked, none).count() == 0 and postings.search(asked.limit(0), made).count() == 0
+
+
+def test_pair_scores_where_the_rows_are(spark, capsys):
+    words = np.array([f"w{i}" for i in range(15)])
+    rng = np.random.default_rng(9)
+    texts = lambda: " ".join(rng.choice(words, rng.integers(0, 12)))
+    rows = [(i, texts(), texts(), texts()) for i in range(60)] + [(60, "w1", None, "w1"), (61, None, "w1", "w2"), (62, "w1", "", "")]
+    df = spark.createDataFrame(rows, "idx bigint, query string, positive string, negative string").repartition(3)
+    docs = tokens(spark, [texts() for _ in range(40)], "corpus_idx")
+    sent, joined = (sorted(map(tuple, bm25.predict_pairs_global(df, docs, send_bytes=b).collect())) for b in (1 << 20, 0))
+    assert len(sent) == 63 and [r[0::3] for r in sent] == [r[0::3] for r in joined]
+    assert np.allclose([r[1:3] for r in sent if r[1] is not None], [r[1:3] for r in joined if r[1] is not None], atol=2e-6)
+    bm25.predict_pairs(df).explain()
+    assert "Exchange" not in capsys.readouterr().out.replace("Exchange RoundRobin", "").replace("Exchange round", "")
