@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lexivane import config
 from lexivane.functions import text
+from lexivane.operators.splits import sample_rows
 from lexivane.session import written
 from lexivane.sources.ordering import dense_index
 
@@ -126,12 +127,17 @@ def token_frequencies(
     text_col: str = "text",
     ord_col: str = "ord",
     tokenize: Callable[[Column], Column] = text.words,
+    sample_size: int | None = None,
+    seed: int = config.RANDOM_STATE,
 ) -> DataFrame:
     """(token_id, n, first) over the texts; a word not in vocab is unknown.
 
-    Words are counted before the lookup, so the join sees each word once.
+    Words are counted before the lookup, so the join sees each word once. With
+    a sample_size the counts are those of so many texts, drawn by seed and ord.
     """
     full = with_unknown(vocab)
+    if sample_size is not None:
+        texts = sample_rows(texts, sample_size, seed, ord_col)
     kept = texts.filter(text.not_blank(F.col(text_col))).withColumn(text_col, text.strip(F.col(text_col)))
     counts = word_counts(kept, text_col, ord_col, tokenize)
     unknown = full.filter(F.col("token") == config.UNKNOWN_TOKEN).agg(F.max("token_id")).scalar()

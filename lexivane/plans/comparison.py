@@ -39,6 +39,16 @@ def token_map_saved(spark, sf_dir):
     return _rounded(spark.read.parquet(path), _PLACES)
 
 
+def _compared_map(columns):
+    def query(spark, sf_dir):
+        path = new_path(spark, "token-map")
+        first = compare.token_map(views.token_vectors(spark, sf_dir))
+        tables.save_token_map(compare.compare_models(first, compare.token_map(_other(spark, sf_dir))), path, columns)
+        return _rounded(spark.read.parquet(path), _PLACES)
+
+    return query
+
+
 def token_map_2d(spark, sf_dir):
     model = views.token_vectors(spark, sf_dir)
     return _rounded(compare.token_map(pca.reduce_dimensions(model, "vector", 2)), _PLACES)
@@ -153,6 +163,8 @@ def runs_selected(spark, sf_dir):
 QUERIES = {
     "model_compare": model_compare,
     "token_map_saved": token_map_saved,
+    "token_map_compared": _compared_map(tables.COMPARED_MAP),
+    "token_map_differences": _compared_map(tables.DIFFERENCE_MAP),
     "token_map_2d": token_map_2d,
     "vocab_diff": vocab_diff,
     "token_arrows": token_arrows,
@@ -177,16 +189,18 @@ _RUNS = """(select *, 'dim' || output_dim || case when vocab_size <> 150000 then
              round(coalesce(avg(l.quality), 0), 6) as accuracy
           from documents d left join labels l on l.doc_id = d.doc_id group by lang, source))"""
 
-ORACLES = {
-    "model_compare": sql(
-        f"""select a.token_id as index, coalesce(a.token, b.token) as text,
+_COMPARED = f"""select a.token_id as index, coalesce(a.token, b.token) as text,
             round(ax, 6) + 0.0e0 as projection_x, round(ay, 6) + 0.0e0 as projection_y,
             round(bx, 6) + 0.0e0 as other_projection_x, round(b_y, 6) + 0.0e0 as other_projection_y,
             cast(b.token is null as int) as is_redundant, cast(a.token is null as int) as only_in_other,
             round(bx - ax, 6) + 0.0e0 as diff_projection_x, round(b_y - ay, 6) + 0.0e0 as diff_projection_y
         from (select token_id, token, vector[1]::double as ax, vector[2]::double as ay from token_vectors) a
         full join (select token, vector[1]::double as bx, vector[2]::double as b_y from {_OTHER}) b on b.token = a.token"""
-    ),
+
+ORACLES = {
+    "model_compare": sql(_COMPARED),
+    "token_map_compared": sql(f"select {', '.join(tables.COMPARED_MAP)} from ({_COMPARED})"),
+    "token_map_differences": sql(f"select {', '.join(tables.DIFFERENCE_MAP)} from ({_COMPARED})"),
     "token_map_saved": sql(
         """select token_id as index, token as text, round(vector[1]::double, 6) + 0.0e0 as projection_x,
         round(vector[2]::double, 6) + 0.0e0 as projection_y from token_vectors"""

@@ -164,6 +164,18 @@ def pca_all(spark, sf_dir):
     return _energy(pca.reduce_dimensions(_embeddings(spark, sf_dir), "vector", "auto"))
 
 
+def pca_spectrum(spark, sf_dir):
+    """Power sums of the components' variances, which fix all of them, and the greatest covariance of two components."""
+    turned = written(pca.reduce_dimensions(_embeddings(spark, sf_dir), "vector", "auto"), "turned")
+    axes = turned.select("token_id", F.posexplode("vector").alias("i", "x"))
+    spread = axes.groupBy("i").agg(F.var_samp("x").alias("v"))
+    value = F.col("vector")
+    pairs = [F.covar_samp(value[i], value[i + 1]).alias(f"c{i}") for i in range(63)]
+    most = turned.agg(*pairs).select(F.round(F.array_max(F.array(*[F.abs(f"c{i}") for i in range(63)])), 6).alias("coupled"))
+    sums = [F.round(F.sum(F.pow("v", F.lit(float(k)))), 8).alias(f"power_{k}") for k in (1, 2, 3)]
+    return spread.agg(*sums).crossJoin(most)  # one row each
+
+
 def pca_focus(spark, sf_dir):
     """Fitted on the tokens seen in conversations, applied to all."""
     vocabulary = written(views.vocabulary(spark, sf_dir), "vocabulary")
@@ -233,6 +245,7 @@ QUERIES = {
     "sweep_accuracy": sweep_accuracy,
     "sweep_grid": sweep_grid,
     "pca_all": pca_all,
+    "pca_spectrum": pca_spectrum,
     "pca_focus": pca_focus,
     "pca_unit": pca_unit,
     "pca_2d": pca_2d,
@@ -408,6 +421,14 @@ ORACLES = {
     "fold_metrics": sql(_metrics("(select f.fold, p.prediction from pair_distance p join folds f on f.idx = p.idx)", "fold")),
     "sweep_accuracy": _sweep(),
     "sweep_grid": _grid(),
+    "pca_spectrum": """with v as (
+        select vec_id, unnest(range(64)) as i, unnest(cast(embedding as double[])) as x from embeddings
+      ), c as (
+        select a.i, b.i as j, covar_samp(a.x, b.x) as c from v a join v b on b.vec_id = a.vec_id group by all
+      )
+      select round((select sum(c) from c where i = j), 8) as power_1, round((select sum(c * c) from c), 8) as power_2,
+        round((select sum(a.c * b.c * d.c) from c a join c b on b.i = a.j join c d on d.i = b.j and d.j = a.i), 8) as power_3,
+        0.0e0 as coupled""",
     "pca_all": """select max(n) as n_rows, round(sum(v), 6) as total_variance from (
         select dim, count(*) as n, var_samp(value) as v from (
           select unnest(range(64)) as dim, unnest(cast(embedding as double[])) as value from embeddings)

@@ -251,3 +251,9 @@ def sql(body: str, top: int = config.TOP_K) -> str:
         needed |= found
     heads = [f"{name} as ({VIEWS[name].replace('TOP', str(top))})" for name in VIEWS if name in needed]
     return ("with " + ",\n".join(heads) + "\n" if heads else "") + body
+
+
+def on_test_rows(statement: str) -> str:
+    """A statement of sql() with the held-out triplets in place of all."""
+    held_out = sql("select idx from splits where split = 'test'")
+    return statement.replace(f"triplets as ({VIEWS['triplets']})", f"triplets as (select * from ({VIEWS['triplets']}) where idx in ({held_out}))", 1)

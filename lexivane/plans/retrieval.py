@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from lexivane import config
 from lexivane.functions import text, vectors
-from lexivane.operators import bm25, cells, fusion, knn, postings
+from lexivane.operators import bm25, cells, fusion, knn, postings, splits
 from lexivane.operators import corpus as corpora
 from lexivane.operators.encode import encode_column, encode_columns
 from lexivane.plans import views
-from lexivane.plans.oracle import mean_vectors, sql
+from lexivane.plans.oracle import mean_vectors, on_test_rows, sql
 from lexivane.session import new_path, spread, written
 from lexivane.sources import tables
 
@@ -81,9 +81,17 @@ class Retrieval:
         return fusion.mean_recall(fusion.recall_by_query(self.queries, ranked))
 
 
-def _run(spark: SparkSession, sf_dir: str, second: bool = False) -> Retrieval:
-    other = views.token_vectors(spark, sf_dir, second=True) if second else None
-    return Retrieval(views.triplets(spark, sf_dir), views.token_vectors(spark, sf_dir), other)
+def _run(spark: SparkSession, sf_dir: str, second: bool = False, held_out: bool = False) -> Retrieval:
+    """A run on all triplets, or on the test rows of a stratified split. Both models share one vocabulary."""
+    vocabulary = written(views.vocabulary(spark, sf_dir), "vocabulary")
+    first, other = (views.token_vectors(spark, sf_dir, s, vocabulary) if s <= second else None for s in (False, True))
+    rows = _test_rows(spark, sf_dir) if held_out else views.triplets(spark, sf_dir)
+    return Retrieval(rows, first, other)
+
+
+def _test_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    split = splits.stratified_split(views.triplets(spark, sf_dir))
+    return written(split.filter(F.col("split") == "test").drop("split"), "test")
 
 
 def long_vectors(df: DataFrame, key: str, column: str = "vector") -> DataFrame:
@@ -222,6 +230,26 @@ def recall_rerank(spark, sf_dir):
     return run.recall(run.two_stage())
 
 
+def recall_embedding_test(spark, sf_dir):
+    run = _run(spark, sf_dir, held_out=True)
+    return run.recall(run.dense(config.TOP_K))
+
+
+def recall_bm25_test(spark, sf_dir):
+    run = Retrieval(_test_rows(spark, sf_dir))
+    return run.recall(run.lexical(config.TOP_K))
+
+
+def recall_hybrid_test(spark, sf_dir):
+    run = _run(spark, sf_dir, held_out=True)
+    return run.recall(run.hybrid(config.TOP_K)[0])
+
+
+def recall_rerank_test(spark, sf_dir):
+    run = _run(spark, sf_dir, second=True, held_out=True)
+    return run.recall(run.two_stage())
+
+
 def corpus_sizes(spark, sf_dir):
     run = _run(spark, sf_dir)
     coded = run._encode(run.corpus, "corpus_idx", "document", run.model)
@@ -289,6 +317,16 @@ def metrics_long(spark, sf_dir):
     return tables.read_runs(spark, path, [f"recall_at_{t}" for t in config.RECALL_THRESHOLDS])
 
 
+def run_parameters(spark, sf_dir):
+    """Parameters of one run a language, appended and read back; sizes are those of its documents."""
+    path = new_path(spark, "parameters")
+    docs = views.table(spark, sf_dir, "documents").groupBy("lang")
+    for row in docs.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source").alias("sources")).collect():  # one row a language
+        settings = {"top_k": config.TOP_K, "n_documents": row["n"], "n_sources": row["sources"]}
+        tables.append_parameters(spark, f"run_{row['lang']}", settings, path)
+    return spark.read.parquet(path)
+
+
 QUERIES = {
     "doc_vectors": doc_vectors,
     "doc_vectors_unit": doc_vectors_unit,
@@ -310,6 +348,11 @@ QUERIES = {
     "recall_embedding": recall_embedding,
     "recall_hybrid": recall_hybrid,
     "recall_rerank": recall_rerank,
+    "recall_bm25_test": recall_bm25_test,
+    "recall_embedding_test": recall_embedding_test,
+    "recall_hybrid_test": recall_hybrid_test,
+    "recall_rerank_test": recall_rerank_test,
+    "run_parameters": run_parameters,
     "corpus_sizes": corpus_sizes,
     "encode_batches": encode_batches,
     "encode_queries": encode_queries,
@@ -410,6 +453,13 @@ ORACLES = {
     "recall_embedding": _recall("knn_list"),
     "recall_hybrid": _recall("fused"),
     "recall_rerank": _recall("reranked", config.STAGE1_K),
+    "recall_bm25_test": on_test_rows(_recall("bm25_list")),
+    "recall_embedding_test": on_test_rows(_recall("knn_list")),
+    "recall_hybrid_test": on_test_rows(_recall("fused")),
+    "recall_rerank_test": on_test_rows(_recall("reranked", config.STAGE1_K)),
+    "run_parameters": f"""select 'run_' || lang as run, unnest(['top_k', 'n_documents', 'n_sources']) as parameter,
+        unnest(['{config.TOP_K}', cast(count(*) as varchar), cast(count(distinct source) as varchar)]) as value
+        from documents group by lang""",
     "corpus_sizes": sql(
         """select count(*) as corpus_size, cast(64 as bigint) as vector_width,
         (select count(*) from triplets) as query_size from corpus"""

@@ -70,12 +70,12 @@ def vocabulary(spark: SparkSession, sf_dir: str, lang: str = "en", size: int = c
     return vocab.create_vocabulary(docs, size, "text", "doc_id")
 
 
-def token_vectors(spark: SparkSession, sf_dir: str, second: bool = False) -> DataFrame:
-    """A static model: the vector of a token is the embedding at its rank, counted round."""
+def token_vectors(spark: SparkSession, sf_dir: str, second: bool = False, words: DataFrame | None = None) -> DataFrame:
+    """A static model: the vector of a token is the embedding at its rank, counted round. words: a vocabulary made before."""
     embeddings = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
     place = F.col("token_id") if not second else F.col("token_id") * 7 + 3
     at = place % embeddings.agg(F.count(F.lit(1))).scalar()
-    tokens = vocabulary(spark, sf_dir).withColumn("vec_id", at)
+    tokens = (vocabulary(spark, sf_dir) if words is None else words).withColumn("vec_id", at)
     return written(tokens.join(embeddings, "vec_id").drop("vec_id"), "model")
 
 

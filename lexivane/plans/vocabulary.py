@@ -11,9 +11,10 @@ from lexivane.functions import vectors
 from lexivane.operators import corpus as corpora
 from lexivane.operators import vocab
 from lexivane.plans import views
-from lexivane.plans.oracle import sql
+from lexivane.plans.oracle import sql, words
 from lexivane.session import written
 
+SAMPLED_TEXTS = 300
 SIFS = (0.01, 0.005, 0.001, 0.0005, 0.0001)
 
 
@@ -57,6 +58,12 @@ def token_frequencies(spark, sf_dir):
     return _counts(spark, sf_dir)[1].select("token_id", "n")
 
 
+def token_frequencies_sample(spark, sf_dir):
+    """Counts over a seeded sample of the documents."""
+    vocabulary = written(views.vocabulary(spark, sf_dir), "vocabulary")
+    return vocab.token_frequencies(vocabulary, _documents(spark, sf_dir), sample_size=SAMPLED_TEXTS).select("token_id", "n")
+
+
 def tokens_by_frequency(spark, sf_dir):
     vocabulary = written(views.vocabulary(spark, sf_dir), "vocabulary")
     counts = vocab.token_frequencies(vocabulary, views.table(spark, sf_dir, "conversations").select(
@@ -158,6 +165,7 @@ QUERIES = {
     "vocabulary_added": vocabulary_added,
     "vocabulary_report": vocabulary_report,
     "token_frequencies": token_frequencies,
+    "token_frequencies_sample": token_frequencies_sample,
     "tokens_by_frequency": tokens_by_frequency,
     "rank_table": rank_table,
     "count_boundaries": count_boundaries,
@@ -199,6 +207,12 @@ ORACLES = {
         from vocab_en v left join internal_tokens i on i.token = v.token"""
     ),
     "token_frequencies": sql("select token_id, n from token_counts"),
+    "token_frequencies_sample": sql(
+        f"""select coalesce(v.token_id, (select max(token_id) from full_vocab)) as token_id, count(*) as n
+        from (select unnest({words('text')}) as token from (select text from documents
+              order by md5('{config.RANDOM_STATE}:' || doc_id) limit {SAMPLED_TEXTS})) w
+          left join full_vocab v on v.token = w.token group by 1"""
+    ),
     "tokens_by_frequency": sql(
         r"""select row_number() over (order by c.n is null, c.n desc, c.first, v.token_id) - 1 as position,
             v.token_id, v.token, c.n
