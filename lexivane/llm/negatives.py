@@ -181,11 +181,11 @@ class _Search:
 
 def search(index: DataFrame, block: Block, k: int, focus: int = FOCUS) -> DataFrame:
     """(anchor, slot, rank, id, score): for each window the first k rows, highest score first, ties by smaller id."""
-    sent = index.sparkSession.sparkContext.broadcast(block)
+    sent = index.sparkSession.sparkContext.broadcast(vars(block))  # a plain dict, as executors have no copy of the class
     width = block.x.shape[1]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = _Search(sent.value, k, focus)
+        found = _Search(Block(**sent.value), k, focus)
         for batch in common.sliced(batches, 1):
             n = batch.column("n")[0].as_py()
             ids, labels, x, orders = (batch.column(p)[0].as_buffer() for p in _PARTS)

@@ -121,12 +121,12 @@ def _identity_error(distinct: DataFrame, model: Model) -> float:
     k = len(model.values)
     if not k:
         return 0.0
-    sent = distinct.sparkSession.sparkContext.broadcast(model)
+    sent = distinct.sparkSession.sparkContext.broadcast(vars(model))  # a plain dict, as executors have no copy of the class
 
     def moments(batches: Iterator[pa.RecordBatch]) -> list[float] | None:
-        total = None
+        total, model = None, Model(**sent.value)
         for batch in batches:
-            w = sent.value.whitened(sent.value.offsets(vectors.matrix(batch.column(0), sent.value.width)))
+            w = model.whitened(model.offsets(vectors.matrix(batch.column(0), model.width)))
             part = np.concatenate([w.sum(axis=0), (w.T @ w).ravel()])  # w is centred already, but for rounding
             total = part if total is None else total + part
         return total
@@ -139,13 +139,13 @@ def _identity_error(distinct: DataFrame, model: Model) -> float:
 
 def project(rows: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns in keep of rows with x, with deviation (decimal: sum of (n * x - S)^2) and whitened (an array)."""
-    sent = rows.sparkSession.sparkContext.broadcast(model)
+    sent = rows.sparkSession.sparkContext.broadcast(vars(model))
     names = [f"_c{i}" for i in range(len(keep))]
     rows = rows.filter(F.size("x") == model.width).select(*[F.col(k).alias(n) for k, n in zip(keep, names)], F.col("x").alias("_x"))
     kinds = dict(rows.dtypes)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
+        model = Model(**sent.value)
         for batch in common.sliced(batches):
             offsets = model.offsets(vectors.matrix(batch.column("_x"), model.width))
             most = int(np.abs(offsets).max(initial=0))
