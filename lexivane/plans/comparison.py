@@ -8,7 +8,7 @@ from lexivane.functions import text, vectors
 from lexivane.operators import compare, pca
 from lexivane.operators.encode import encode_columns
 from lexivane.plans import views
-from lexivane.plans.oracle import sql, words
+from lexivane.plans.oracle import each_once, on_components, projected, sql, words
 from lexivane.session import new_path
 from lexivane.sources import tables
 
@@ -197,7 +197,39 @@ _COMPARED = f"""select a.token_id as index, coalesce(a.token, b.token) as text,
         from (select token_id, token, vector[1]::double as ax, vector[2]::double as ay from token_vectors) a
         full join (select token, vector[1]::double as bx, vector[2]::double as b_y from {_OTHER}) b on b.token = a.token"""
 
+_MAP_TOKENS = "select token_id, token, vector as v from token_vectors"
+# The known tokens of every turn, with the number of those of their turn.
+_TURN_TOKENS = f"""select t.*, v.vector as v, count(*) over (partition by t.conv_id, t.turn) as held
+    from (select conv_id, turn, unnest(w) as token, cast(generate_subscripts(w, 1) - 1 as bigint) as position
+          from (select conv_id, turn, {words('text')} as w from conversations)) t
+    join token_vectors v on v.token = t.token"""
+_WEIGHTED = f"select any_value(v) as v, count(*) as n, sum(1.0e0 / held) as s, sum(1.0e0 / held / held) as q from ({_TURN_TOKENS}) group by token"
+_PLANE_ARROWS = f"""select conv_id, turn, position, token, round(end_x - dx, 6) + 0.0e0 as start_x, round(end_y - dy, 6) + 0.0e0 as start_y,
+      round(end_x, 6) + 0.0e0 as end_x, round(end_y, 6) + 0.0e0 as end_y, round(end_x - dx / 2, 6) + 0.0e0 as mid_x,
+      round(end_y - dy / 2, 6) + 0.0e0 as mid_y, round(greatest(1, least(20, l2_norm)), 6) as line_width
+    from (select *, sum(dx) over w as end_x, sum(dy) over w as end_y
+          from (select t.conv_id, t.turn, t.position, t.token, sqrt(list_inner_product(t.u, t.u)) as l2_norm,
+                       list_inner_product(t.u, x.axis) / held - x.offset_ as dx, list_inner_product(t.u, y.axis) / held - y.offset_ as dy
+                from (select *, cast(v as double[]) as u from ({_TURN_TOKENS})) t
+                join axes x on x.dim = 0 join axes y on y.dim = 1)
+          window w as (partition by conv_id, turn order by position rows between unbounded preceding and current row))"""
+_TURN_MEANS = f"""select c.conv_id, c.turn, coalesce(m.v, list_transform(range(64), lambda i: 0.0::double)) as v
+    from conversations c left join (
+      select conv_id, turn, list(x order by i) as v
+      from (select conv_id, turn, i, avg(x) as x
+            from (select conv_id, turn, unnest(range(64)) as i, unnest(cast(v as double[])) as x from ({_TURN_TOKENS})) group by all)
+      group by conv_id, turn) m on m.conv_id = c.conv_id and m.turn = c.turn"""
+
 ORACLES = {
+    "token_map_2d": sql(
+        on_components(each_once(_MAP_TOKENS), 2, f"""select token_id as index, token as text, max(value) filter (dim = 0) as projection_x,
+          max(value) filter (dim = 1) as projection_y from ({projected(_MAP_TOKENS)}) group by all""")
+    ),
+    "token_arrows_pca": sql(on_components(_WEIGHTED, 2, _PLANE_ARROWS)),
+    "mean_points_pca": sql(
+        on_components(_WEIGHTED, 2, f"""select conv_id, turn, max(value) filter (dim = 0) as x, max(value) filter (dim = 1) as y
+          from ({projected(_TURN_MEANS)}) group by all""")
+    ),
     "model_compare": sql(_COMPARED),
     "token_map_compared": sql(f"select {', '.join(tables.COMPARED_MAP)} from ({_COMPARED})"),
     "token_map_differences": sql(f"select {', '.join(tables.DIFFERENCE_MAP)} from ({_COMPARED})"),

@@ -8,7 +8,7 @@ from lexivane import config
 from lexivane.functions import vectors
 from lexivane.operators import bm25, evaluation, pca, splits, sweep, vocab
 from lexivane.plans import views
-from lexivane.plans.oracle import mean_vectors, sql, words
+from lexivane.plans.oracle import each_once, mean_vectors, on_components, projected, sql, words
 from lexivane.plans.vocabulary import SIFS
 from lexivane.session import written
 from lexivane.sources.triplets import complete_pairs
@@ -217,6 +217,12 @@ def pca_variance(spark, sf_dir):
     return report.agg(F.count(F.lit(1)).alias("components"), F.round(F.sum("ratio"), 6).alias("ratio"))
 
 
+def pca_explained(spark, sf_dir):
+    """Share of the variance of each of the 16 leading components."""
+    rows = _embeddings(spark, sf_dir)
+    return pca.Projection(rows, "vector", 16).variance_report(rows).select("component", F.round("ratio", 9).alias("ratio"))
+
+
 def _rounded(df):
     return df.select("token_id", F.posexplode("vector").alias("dim", "value")).select(
         "token_id", F.col("dim").cast("bigint").alias("dim"), F.round("value", 6).alias("value")
@@ -252,6 +258,7 @@ QUERIES = {
     "pca_column": pca_column,
     "pca_distances": pca_distances,
     "pca_variance": pca_variance,
+    "pca_explained": pca_explained,
 }
 
 
@@ -362,6 +369,10 @@ _CONFUSION_ROWS = """select model, 0 as actual, 0 as predicted, cast(0 as bigint
     union all select model, 0, 1, 0 from counts4 union all select model, 1, 0, n10 from counts4
     union all select model, 1, 1, n11 from counts4"""
 
+_BY_ID = "select vec_id as token_id, embedding as v from embeddings"
+_SEEN = f"""select coalesce(f.token_id, (select max(token_id) from full_vocab))
+    from (select unnest({words('text')}) as token from conversations) w left join full_vocab f on f.token = w.token"""
+
 ORACLES = {
     "pair_distance": sql("select idx, pos_dist, neg_dist, prediction from pair_distance"),
     "pair_cosine": sql("select idx, pos_sim + 0.0e0 as pos_sim, neg_sim + 0.0e0 as neg_sim, prediction from pair_cosine"),
@@ -433,6 +444,13 @@ ORACLES = {
         select dim, count(*) as n, var_samp(value) as v from (
           select unnest(range(64)) as dim, unnest(cast(embedding as double[])) as value from embeddings)
         group by dim)""",
+    "pca_focus": sql(on_components(each_once(f"select embedding as v from embeddings where vec_id in ({_SEEN})"), 16, projected(_BY_ID))),
+    "pca_2d": sql(on_components(each_once(_BY_ID), 2, projected(_BY_ID))),
+    "pca_column": sql(on_components(each_once(_BY_ID), 50, projected(_BY_ID))),
+    "pca_explained": sql(
+        on_components(each_once(_BY_ID), 16, """select cast(dim as bigint) as component, round(value / (
+          select sum(c[i]) from (select unnest(c) as c, unnest(range(1, 65)) as i from covariance)), 9) as ratio from axes""")
+    ),
     "pca_unit": "select vec_id as token_id, 1.0e0 as l2_norm from embeddings",
     "pca_distances": """select a.vec_id as token_id,
         round(list_distance(a.embedding::double[], b.embedding::double[]), 6) as distance

@@ -253,7 +253,69 @@ def sql(body: str, top: int = config.TOP_K) -> str:
     return ("with " + ",\n".join(heads) + "\n" if heads else "") + body
 
 
+def on_split_rows(statement: str, *chosen_splits: str) -> str:
+    """A statement of sql() with the triplets of some splits in place of all."""
+    chosen = sql(f"select idx from splits where split in ({', '.join(map(literal, chosen_splits))})")
+    return statement.replace(f"triplets as ({VIEWS['triplets']})", f"triplets as (select * from ({VIEWS['triplets']}) where idx in ({chosen}))", 1)
+
+
 def on_test_rows(statement: str) -> str:
     """A statement of sql() with the held-out triplets in place of all."""
-    held_out = sql("select idx from splits where split = 'test'")
-    return statement.replace(f"triplets as ({VIEWS['triplets']})", f"triplets as (select * from ({VIEWS['triplets']}) where idx in ({held_out}))", 1)
+    return on_split_rows(statement, "test")
+
+
+_SQUARINGS = 30
+
+
+def each_once(vectors: str) -> str:
+    """Points of a table (v) whose rows stand for themselves."""
+    return f"select v, 1 as n, 1.0e0 as s, 1.0e0 as q from ({vectors})"
+
+
+def projected(rows: str) -> str:
+    """(the columns of rows (v, ...), dim, value): their coordinates on `axes`."""
+    return f"""select r.* exclude (v), cast(a.dim as bigint) as dim,
+        round(list_inner_product(cast(r.v as double[]), a.axis) - a.offset_, 6) + 0.0e0 as value from ({rows}) r cross join axes a"""
+
+
+def on_components(points: str, k: int, body: str, width: int = 64) -> str:
+    """A query over `axes` (dim, axis, value, offset_): the k leading components of points (v, n, s, q).
+
+    A row of points stands for n vectors: v times factors that sum to s, whose squares sum to q. The covariance over its trace
+    is squared until only its leading component is left. Its largest loading is made positive, and it is taken out of the covariance.
+    """
+    squared = "list_transform(m, lambda r: list_transform(m, lambda c: list_inner_product(r, c)))"
+    norm = "list_sum(list_transform(m, lambda r: list_inner_product(r, r)))"
+    over = "list_transform({m}, lambda r: list_transform(r, lambda x: x / {by}))"
+    trace = f"list_sum(list_transform(range(1, {width + 1}), lambda i: {{0}}[i][i]))"
+    found = f"""with recursive points as (select cast(v as double[]) as v, cast(n as double) as n, s, q from ({points})),
+      total as (select sum(n) as n from points),
+      long as (select row, s, q, unnest(range({width})) as i, unnest(v) as x from (select *, row_number() over () as row from points)),
+      middle as (select i, sum(s * x) / (select n from total) as mean from long group by i),
+      moments as (select a.i, b.i as j, sum(a.q * a.x * b.x) as c from long a join long b on a.row = b.row group by all),
+      covariance as (
+        select list(r order by i) as c from (
+          select m.i, list((m.c - (select n from total) * a.mean * b.mean) / ((select n from total) - 1) order by m.j) as r
+          from moments m join middle a on a.i = m.i join middle b on b.i = m.j group by m.i)),
+      steps as (
+        select 0 as dim, 0 as step, c, {over.format(m='c', by=trace.format('c'))} as m, cast(null as double[]) as axis, cast(null as double) as value
+        from covariance
+        union all
+        select case when step = {_SQUARINGS} then dim + 1 else dim end, case when step = {_SQUARINGS} then 0 else step + 1 end, c,
+          case when step = {_SQUARINGS} then {over.format(m='c', by=trace.format('c'))}
+            else {over.format(m=squared, by='norm')} end, a, l
+        from (
+          select dim, step, m, norm, a, l,
+            case when a is null then c else list_transform(c, lambda r, i: list_transform(r, lambda x, j: x - l * a[i] * a[j])) end as c
+          from (
+            select *, list_inner_product(list_transform(c, lambda r: list_inner_product(r, a)), a) as l
+            from (
+              select *, case when step = {_SQUARINGS} then list_transform(m[top], lambda x: x / sqrt(m[top][top])) end as a
+              from (
+                select dim, step, c, m, {norm} as norm, list_position(diagonal, list_max(diagonal)) as top
+                from (select *, list_transform(range(1, {width + 1}), lambda i: m[i][i]) as diagonal from steps where dim < {k})))))),
+      axes as (
+        select dim - 1 as dim, axis, value, list_inner_product(axis, (select list(mean order by i) from middle)) as offset_
+        from steps where step = 0 and dim > 0)
+      {body}"""
+    return f"select * from ({found})"
