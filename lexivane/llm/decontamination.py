@@ -18,12 +18,11 @@ from lexivane.llm import common
 
 # Any 13 words of which at most two differ hold a hit of at least one of these masks.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8), (0, 1, 2, 5, 6, 8))
-OVERLAP = 13  # words compared side by side
-AGREEING = 11  # of these that must agree
+OVERLAP = 13  # words compared side by side; all words of an item that has fewer
 LEAST_WORDS = 5  # a shorter benchmark item can't be told from chance and matches nothing
 SLICE_BYTES = 4 << 20  # benchmark text sent to the tasks at a time
 _FILTER_BITS = 22
-_STEPS = np.array([pow(0xD6E8FEB86659FD93, i + 1, 1 << 64) for i in range(6)], np.uint64)
+_STEPS = np.array([pow(0xD6E8FEB86659FD93, i + 1, 1 << 64) for i in range(OVERLAP)], np.uint64)
 _TO_BLANK = bytes(i if chr(i).isalnum() or i >= 128 else 32 for i in range(256))
 
 
@@ -40,25 +39,37 @@ def _spaced(hashes: np.ndarray, mask: tuple[int, ...], salt: int) -> np.ndarray:
     return common.mix(total)
 
 
+def agreeing(size: int) -> int:
+    """How many of size words side by side must agree: all below 7, all but one below OVERLAP, all but two of OVERLAP."""
+    return size - 2 * size // OVERLAP
+
+
+def masks_of(size: int) -> tuple[tuple[int, ...], ...]:
+    """Masks of which one at least hits wherever size words side by side agree in enough places."""
+    if size == OVERLAP:
+        return MASKS
+    if agreeing(size) == size:
+        return (tuple(range(size)),)
+    return tuple(tuple(i for i in range(size) if i != ignored) for ignored in range(size))
+
+
 class Seeds:
-    """The seeds of some benchmark items, sorted, with item and place; the items' words; items below OVERLAP words whole."""
+    """The seeds of some benchmark items, sorted, with the place of each; the items' words."""
 
     def __init__(self, items: list[tuple[int, str]]):
         words = common.Words([_normal(t) for _, t in items])
         self.ids, self.words, self.first = [i for i, _ in items], words.hashes, words.first
         counts = words.counts()
+        sizes = np.minimum(counts, OVERLAP)
+        self.masks = [(OVERLAP, m) for m in MASKS]
+        self.masks += [(int(n), m) for n in np.unique(sizes[(sizes >= LEAST_WORDS) & (sizes < OVERLAP)]) for m in masks_of(int(n))]
         seeds, places = [], []
-        for salt, mask in enumerate(MASKS):
+        for salt, (size, mask) in enumerate(self.masks):
             found = _spaced(self.words, mask, salt)
             item = np.searchsorted(self.first, np.arange(len(found)), "right") - 1
-            fits = (np.arange(len(found)) + mask[-1] < self.first[item + 1]) & (counts[item] >= OVERLAP)
+            fits = (np.arange(len(found)) + mask[-1] < self.first[item + 1]) & (sizes[item] == size)
             seeds.append(found[fits])
             places.append(np.flatnonzero(fits))
-        # Items of fewer words than are compared have one seed, all their words.
-        self.short = {}
-        for i in np.flatnonzero((counts >= LEAST_WORDS) & (counts < OVERLAP)):
-            n, at = int(counts[i]), int(self.first[i])
-            self.short.setdefault(n, []).append((int(common.run_hashes(self.words[at : at + n], n)[0]), i))
         seeds, places = np.concatenate(seeds), np.concatenate(places)
         order = np.argsort(seeds, kind="stable")
         self.seeds, self.places = seeds[order], places[order]
@@ -75,18 +86,12 @@ class Seeds:
                 found = self._compare(words, doc, item, diagonal)
                 if found and found[3] > best.get((lo + doc, item), (0, 0, 0, 0))[3]:
                     best[lo + doc, item] = found
-            for n, entries in self.short.items():
-                hashes, first = words.grams(n)
-                for seed, item in entries:
-                    for at in np.flatnonzero(hashes == np.uint64(seed)):
-                        doc = int(np.searchsorted(first, at, "right")) - 1
-                        best[lo + doc, int(item)] = (int(at - first[doc]), 0, n, n)
         return [(doc, item, *found) for (doc, item), found in sorted(best.items())]
 
     def _meetings(self, words: common.Words) -> list[tuple[int, int, int]]:
         """Distinct (text, item, place in text less place in item) that share a seed."""
         docs, items, shifts = [], [], []
-        for salt, mask in enumerate(MASKS):
+        for salt, (_, mask) in enumerate(self.masks):
             found = _spaced(words.hashes, mask, salt)
             at = np.flatnonzero(self.filter[found >> np.uint64(64 - _FILTER_BITS)]) if len(self.seeds) else []
             if not len(at):
@@ -111,13 +116,14 @@ class Seeds:
         a = words.hashes[words.first[doc] : words.first[doc + 1]]
         b = self.words[self.first[item] : self.first[item + 1]]
         begin, end = max(0, -shift), min(len(b), len(a) - shift)
-        if end - begin < OVERLAP:
+        size = min(OVERLAP, len(b))
+        if end - begin < size:
             return None
         same = np.concatenate([[0], np.cumsum(a[begin + shift : end + shift] == b[begin:end])])
-        good = np.flatnonzero(same[OVERLAP:] - same[:-OVERLAP] >= AGREEING)
+        good = np.flatnonzero(same[size:] - same[:-size] >= agreeing(size))
         if not len(good):
             return None
-        lo, hi = int(good[0]), int(good[-1]) + OVERLAP
+        lo, hi = int(good[0]), int(good[-1]) + size
         return begin + lo + shift, begin + lo, hi - lo, int(same[hi] - same[lo])
 
 
@@ -138,8 +144,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, doc_start, item_start, n_words, n_agreeing): the best overlap of each document row and item.
 
     Words are lower-cased runs between ASCII signs and blanks. A row is given where OVERLAP words side by side agree in
-    AGREEING or more; shorter items, from LEAST_WORDS on, must occur whole and unchanged. Clean documents give no row; nor
-    do null or empty texts. Every slice of the benchmark meets every whole text; documents aren't shuffled.
+    all but two; a shorter item of at least 7 words must occur whole with all words but one, one of at least LEAST_WORDS
+    unchanged. Clean documents give no row; nor do null or empty texts. Every slice of the benchmark meets every whole text; documents aren't shuffled.
     """
     schema = "doc_id long, item_id long, doc_start long, item_start long, n_words long, n_agreeing long"
     names = ["doc_id", "item_id", "doc_start", "item_start", "n_words", "n_agreeing"]

@@ -385,12 +385,33 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     )
 
 
+def _told_apart(docs: DataFrame) -> DataFrame:
+    """Rows (_node, text, ...) of docs: doc_id where it names one text, else a number for every further text under it.
+
+    Such numbers are hashes above 2^62, so that they are no document's smallest id while one of its own kind is there.
+    """
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    several = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(text).alias("_low"), F.max(text).alias("_high"))
+    several = written(several.filter("_low <> _high").select(F.col("doc_id").alias("_of"), "_low"), "several")
+    node = F.col("doc_id").cast("long")
+    if several.isEmpty():
+        return docs.withColumn("_node", node)
+    own = F.shiftrightunsigned(F.xxhash64("doc_id", text), 2).bitwiseOR(F.lit(1 << 62))
+    joined = docs.join(several, F.col("doc_id") == F.col("_of"), "left")
+    return joined.withColumn("_node", F.when(F.col("_low") != text, own).otherwise(node)).drop("_of", "_low")
+
+
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of every group of near duplicates (5 words, 0.8).
 
-    Rows without doc_id stay. Of rows that repeat a kept doc_id one stays.
+    Rows without doc_id stay. Different texts under one doc_id are different documents; of equal ones one stays.
+    Null and blank texts are like nothing and stay.
     """
     names = docs.columns
-    kept = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    chosen = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return chosen.unionByName(docs.filter("doc_id IS NULL")).select(*names)
+    plain = docs.select([F.col(n).alias(f"d{i}") for i, n in enumerate(names)] + ["doc_id", "text"])
+    apart = _told_apart(plain)
+    found = near_duplicates(apart.select(F.col("_node").alias("doc_id"), "text"))
+    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_node")).distinct()
+    chosen = apart.join(kept, "_node", "left_semi").dropDuplicates(["_node"]).drop("_node")
+    rows = chosen.unionByName(plain.filter("doc_id IS NULL"))
+    return rows.select([F.col(f"d{i}").alias(n) for i, n in enumerate(names)])

@@ -104,7 +104,23 @@ QUERIES = {
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
+# Code points of a text's rendering: control strings in it get a backslash each.
+_TEXT_OUT = r"CASE WHEN odd THEN length(text) + len(regexp_extract_all(text, '<\\*\|')) ELSE length(text) END"
+
 ORACLES = {
+    "op1_chat_formatting": rf"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{CONFLICT}' UNION ALL SELECT -1, 1, 'assistant', '{CONFLICT}'
+), marked AS (
+  SELECT *, contains(text, '<|im_start|>') OR contains(text, '<|im_end|>') OR regexp_matches(text, '<\+\|') AS odd FROM turns
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('<|im_start|>') + length(role) + 1 + {_TEXT_OUT} + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
+FROM marked GROUP BY conv_id
+""",
     "op6_ngram_jaccard_join": rf"""
 WITH RECURSIVE words AS (
   SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w
