@@ -6,7 +6,7 @@ them; the k-th of these scores is less than or equal to the k-th full score. The
 a block, the greatest impacts of the query's tokens, and opens the block only for queries whose sum can still beat that score.
 
 Blocks stay where they are; neither documents nor the postings of a token are moved, so a word that every document holds costs
-each task its own part of it. Only queries go to the tasks, in blocks of checked size or laid out on a grid.
+each task its own part of it. Only queries go to the tasks, in blocks of checked size, one after another.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lexivane import config
 from lexivane.operators.bm25 import inverse_frequency
-from lexivane.operators.topk import KEPT_BYTES, PLACES, Best, add_tiles, rank_hits, scan_in_tiles, scan_with_queries
+from lexivane.operators.topk import KEPT_BYTES, PLACES, Best, in_slices, rank_hits, scan_in_blocks, scan_with_queries
 from lexivane.session import new_path, written
 
 BLOCK_DOCS = 512
@@ -227,15 +227,14 @@ def search(
     scored, and by those that share a token.
     """
     terms = _terms(queries, postings, k)
-    score = _scorer(postings, opened or _Uncounted(), met or _Uncounted())
+    score = in_slices(_scorer(postings, opened or _Uncounted(), met or _Uncounted()), tile_blocks)
 
     def scan(asked: DataFrame) -> DataFrame:
         asked = written(asked, "asked")
         n_bytes = asked.count() * _TERM_BYTES + asked.select("query_idx").distinct().count() * KEPT_BYTES * k
         if n_bytes <= query_bytes:
             return rank_hits(scan_with_queries(postings.blocks, asked.toArrow(), _prepare, score, k), k)
-        placed = add_tiles(asked, postings.blocks, -(-n_bytes // query_bytes), max(1, -(-postings.blocks.count() // tile_blocks)))
-        return rank_hits(scan_in_tiles(placed[1], placed[0], _prepare, score, k), k)
+        return rank_hits(scan_in_blocks(postings.blocks, asked, -(-n_bytes // query_bytes), _prepare, score, k), k)
 
     rare = scan(terms.filter("rare").select("query_idx", "token", "weight"))
     least = written(rare.filter(F.col("rank") == k).select("query_idx", F.col("score").alias("least")), "least")
