@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from lexivane import config
 from lexivane.operators.bm25 import inverse_frequency
 from lexivane.operators.topk import KEPT_BYTES, PLACES, Best, in_slices, rank_hits, scan_in_blocks, scan_with_queries
-from lexivane.session import new_path, written
+from lexivane.session import new_path, small_batches, written
 
 BLOCK_DOCS = 512
 BLOCK_TOKENS = 500_000
@@ -54,8 +54,9 @@ def _impact(times: np.ndarray, length: np.ndarray, mean: float, k1: float, b: fl
 def build(docs: DataFrame, path: str | None = None, k1: float = config.BM25_K1, b: float = config.BM25_B, block_docs: int = BLOCK_DOCS) -> Postings:
     """Write the postings of docs (corpus_idx, tokens) under path, or in the shared folder."""
     spark = docs.sparkSession
+    small_batches(spark)
     path = path or new_path(spark, "postings")
-    docs = written(docs.select("corpus_idx", "tokens"), "tokens")
+    docs = written(docs.select("corpus_idx", "tokens"), "tokens", "zstd")
     n_docs, mean = docs.agg(F.count(F.lit(1)), F.avg(F.coalesce(F.size("tokens"), F.lit(0)))).first()
     mean = mean or 1.0
 
