@@ -27,7 +27,10 @@ def not_blank(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U)\A{_BLANK}+|{_BLANK}+\z", "")
+    """Text without blanks at its ends; one that has none there is not searched for them."""
+    ends = F.concat(F.left(text, F.lit(1)), F.right(text, F.lit(1)))
+    stripped = F.regexp_replace(text, rf"(?U)\A{_BLANK}+|{_BLANK}+\z", "")
+    return F.when(ends.rlike(rf"(?U){_BLANK}"), stripped).otherwise(text)
 
 
 def lower_case(text: Column) -> Column:

@@ -7,6 +7,7 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexivane import config
 from lexivane.functions import text
@@ -35,10 +36,7 @@ def word_counts(
     word makes a large group.
     """
     exploded = texts.select(F.col(ord_col).alias("_ord"), F.posexplode(tokenize(F.col(text_col))).alias("_pos", "token"))
-    counts = exploded.groupBy("token").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min(F.col("_ord") * F.lit(_POSITIONS) + F.col("_pos")).alias("first"),
-    )
+    counts = exploded.groupBy("token").agg(F.count(F.lit(1)).alias("n"), _first_sight(exploded).alias("first"))
     if stems is None:
         return counts
     merged = counts.join(stems.withColumnRenamed("word", "token"), "token", "left")
@@ -47,6 +45,17 @@ def word_counts(
     )
 
 
+def _first_sight(words: DataFrame) -> Column:
+    """Least packed (order, position). Orders that leave a BIGINT room for the position are compared as such, which is cheaper a word."""
+    packed = F.col("_ord") * F.lit(_POSITIONS) + F.col("_pos")
+    kind = words.schema["_ord"].dataType
+    if not isinstance(kind, (T.LongType, T.IntegerType)):
+        return F.min(packed)
+    fits = F.col("_ord").between(0, (1 << 32) - 1)
+    near = F.min(F.when(fits, F.shiftleft(F.col("_ord").cast("bigint"), 31) + F.col("_pos")))
+    return F.least(F.min(F.when(~fits, packed)), near.cast(words.select(packed).schema[0].dataType))
+
+
 def create_vocabulary(
     texts: DataFrame,
     vocab_size: int = config.VOCAB_SIZE,

@@ -111,7 +111,7 @@ def _long(df, key, column):
 def weighted_vectors(spark, sf_dir):
     vocabulary, counts = _counts(spark, sf_dir)
     weights = vocab.sif_weights(vocabulary, counts)
-    model = views.token_vectors(spark, sf_dir).join(weights, "token_id")
+    model = views.token_vectors(spark, sf_dir, words=vocabulary).join(weights, "token_id")
     scaled = vectors.scale(vectors.doubles(F.col("vector")), F.col("weight"))
     return _long(model.select("token_id", scaled.alias("vector")), "token_id", "vector")
 
