@@ -1,8 +1,8 @@
 """BM25 over a written postings table, in two rounds.
 
 A row of the table is a block of documents: the tokens that occur in it, for each the documents and counts, and the greatest
-impact that it has on any of them. The first round scores every query by its rare tokens only, in the few blocks that hold
-them; the k-th of these scores is less than or equal to the k-th full score. The second round adds up, for a query and
+impact that it has on any of them. The first round scores every query on the documents of each block that its rarest tokens have
+the greatest impact on; the k-th of these scores is less than or equal to the k-th of all. The second round adds up, for a query and
 a block, the greatest impacts of the query's tokens, and opens the block only for queries whose sum can still beat that score.
 
 Blocks stay where they are; neither documents nor the postings of a token are moved, so a word that every document holds costs
@@ -18,18 +18,19 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexivane import config
-from lexivane.operators.bm25 import inverse_frequency
-from lexivane.operators.topk import KEPT_BYTES, PLACES, Best, in_slices, rank_hits, scan_in_blocks, scan_with_queries
+from lexivane.operators import shared
+from lexivane.operators.bm25 import in_rounds, query_weights, scan_terms
+from lexivane.operators.topk import Best, in_slices
 from lexivane.session import new_path, small_batches, written
 
 BLOCK_DOCS = 512
 BLOCK_TOKENS = 500_000
-RARE_SHARE = 16  # rare tokens of a query: as many as hold k documents, while all hold fewer than RARE_SHARE * k
-_EXPAND = 1_000_000
+_EXPAND = 500_000  # pairs of query and document scored at once
+_DENSE = 8_000_000  # numbers of the matrix of a block of queries
 _TERM_BYTES = 48
 _TILE_BYTES = 64 << 20
 _SCHEMA = "corpus_idx long, tokens array<string>, ends array<int>, most array<double>, docs binary, times binary, ids array<long>, lengths binary"
@@ -118,101 +119,42 @@ def load(spark: SparkSession, path: str) -> Postings:
     return Postings(spark.read.schema(_SCHEMA).parquet(f"{path}/blocks"), frequency, *settings)
 
 
-def _terms(queries: DataFrame, postings: Postings, k: int) -> DataFrame:
-    """Written (query_idx, token, weight, rare): the queries' tokens that documents hold; a query's rare tokens marked."""
-    pairs = queries.select("query_idx", F.explode("tokens").alias("token")).groupBy("query_idx", "token")
-    held = pairs.agg(F.count(F.lit(1)).alias("repeats")).join(postings.frequency, "token")
-    weight = F.col("repeats") * inverse_frequency(F.lit(postings.n_docs), F.col("df"))
-    upto = Window.partitionBy("query_idx").orderBy("df", "token").rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("df").over(upto)
-    rare = (total - F.col("df") < k) & (total < RARE_SHARE * k)
-    return written(held.select("query_idx", "token", weight.alias("weight"), rare.alias("rare")), "terms")
+def _prepare(queries: pa.Table) -> tuple[np.ndarray, shared.Asked]:
+    return shared.prepare(queries, _DENSE)
 
 
-@dataclass
-class _Asked:
-    """Terms of the queries in a task: for term t, the queries and weights from start[t] to start[t + 1]."""
-
-    terms: pa.Array
-    start: np.ndarray
-    query: np.ndarray
-    weight: np.ndarray
-    least: np.ndarray
-
-
-def _prepare(queries: pa.Table) -> tuple[np.ndarray, _Asked]:
-    ids, query = np.unique(queries["query_idx"].to_numpy(), return_inverse=True)
-    coded = queries["token"].combine_chunks().dictionary_encode()
-    term = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    order = np.argsort(term, kind="stable")
-    start = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(coded.dictionary)))])
-    least = np.zeros(len(ids))
-    if "least" in queries.column_names:
-        np.maximum.at(least, query, queries["least"].to_numpy())
-    return ids, _Asked(coded.dictionary, start, query[order], queries["weight"].to_numpy()[order], least)
-
-
-def _spans(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which span each place belongs to, and the places of all spans one after another."""
-    which = np.repeat(np.arange(len(size)), size)
-    return which, np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + first[which]
-
-
-def _scorer(postings: Postings, opened, met) -> Callable:
+def _scorer(postings: Postings, first: bool, opened, met) -> Callable:
     mean, k1, b = postings.mean_length, postings.k1, postings.b
 
-    def score(asked: _Asked, batch: pa.RecordBatch, best: Best) -> None:
-        n_queries = len(best.floor)
+    def made(asked: shared.Asked, batch: pa.RecordBatch, at: int) -> shared.Block | None:
+        row = {name: batch.column(name)[at] for name in ("tokens", "ends", "docs", "times", "ids", "lengths")}
+        found = pc.index_in(row["tokens"].values, value_set=asked.terms)
+        here = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+        if not len(here):
+            return None
+        term = found.drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
+        order = np.argsort(term)
+        here, term = here[order], term[order]
+        ends = row["ends"].values.to_numpy().astype(np.int64)
+        first = np.concatenate([[0], ends[:-1]])[here]
+        docs, times, lengths = (np.frombuffer(row[c].as_buffer(), np.uint32).astype(np.int64) for c in ("docs", "times", "lengths"))
+        which, place = shared.spans(first, ends[here] - first)
+        doc = docs[place]
+        return shared.block_of(asked, row["ids"].values.to_numpy(), term[which], doc, _impact(times[place], lengths[doc], mean, k1, b))
+
+    def score(asked: shared.Asked, batch: pa.RecordBatch, best: Best) -> None:
         for at in range(batch.num_rows):
-            row = {name: batch.column(name)[at] for name in ("tokens", "ends", "most", "docs", "times", "ids", "lengths")}
-            found = pc.index_in(row["tokens"].values, value_set=asked.terms)
-            here = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
-            if not len(here):
-                continue
-            term = found.drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
-            most = row["most"].values.to_numpy()[here]
-            entry, place = _spans(asked.start[term], asked.start[term + 1] - asked.start[term])
-            bound = np.bincount(asked.query[place], asked.weight[place] * most[entry], n_queries)
-            wanted = (bound > 0) & (bound >= np.maximum(asked.least, best.floor) - 2 * 10.0**-PLACES)
-            which = np.flatnonzero(wanted)
-            met.add(int((bound > 0).sum()))
-            opened.add(len(which))
-            if not len(which):
+            block = made(asked, batch, at)
+            if block is None:
                 continue
-            keep = wanted[asked.query[place]]
-            entry, place = entry[keep], place[keep]
-            slot = np.full(n_queries, -1)
-            slot[which] = np.arange(len(which))
-            docs, times, lengths = (np.frombuffer(row[c].as_buffer(), np.uint32).astype(np.int64) for c in ("docs", "times", "lengths"))
-            ids = row["ids"].values.to_numpy()
-            impact = _impact(times, lengths[docs], mean, k1, b)
-            ends = row["ends"].values.to_numpy().astype(np.int64)
-            first = np.concatenate([[0], ends[:-1]])
-            size = (ends - first)[here][entry]
-            query = slot[asked.query[place]]
-            order = np.argsort(query, kind="stable")
-            query, entry, place, size = query[order], entry[order], place[order], size[order]
-            # Whole queries at a time, by the postings they meet and the scores they fill.
-            work = np.cumsum(np.bincount(query, size, len(which)) + len(ids)) // _EXPAND
-            for part in np.unique(work):
-                mine = np.flatnonzero(work == part)
-                low, high = np.searchsorted(query, [mine[0], mine[-1] + 1])
-                of, posting = _spans(first[here][entry[low:high]], size[low:high])
-                cell = (query[low:high][of] - mine[0]) * len(ids) + docs[posting]
-                filled = np.bincount(cell, impact[posting] * asked.weight[place[low:high]][of], len(mine) * len(ids))
-                filled = np.round(filled.reshape(len(mine), len(ids)), PLACES)
-                least = np.maximum(asked.least, best.floor)[which[mine]] - 10.0**-PLACES
-                q, d = np.nonzero((filled > 0) & (filled >= least[:, None]))
-                best.add(which[mine][q], ids[d], filled[q, d])
+            if first:
+                shared.first_round(asked, block, best)
+            else:
+                shared.meet(asked, block, shared.bounds(asked, [block])[:, 0], best, _EXPAND, False, opened, met)
 
     return score
 
 
-class _Uncounted:
-    def add(self, n: int) -> None:
-        pass
-
-
 def search(
     queries: DataFrame,
     postings: Postings,
@@ -227,17 +169,10 @@ def search(
     The same as bm25.search. opened and met, Spark accumulators, are raised by the pairs of query and block that were
     scored, and by those that share a token.
     """
-    terms = _terms(queries, postings, k)
-    score = in_slices(_scorer(postings, opened or _Uncounted(), met or _Uncounted()), tile_blocks)
-
-    def scan(asked: DataFrame) -> DataFrame:
-        asked = written(asked, "asked")
-        n_bytes = asked.count() * _TERM_BYTES + asked.select("query_idx").distinct().count() * KEPT_BYTES * k
-        if n_bytes <= query_bytes:
-            return rank_hits(scan_with_queries(postings.blocks, asked.toArrow(), _prepare, score, k), k)
-        return rank_hits(scan_in_blocks(postings.blocks, asked, -(-n_bytes // query_bytes), _prepare, score, k), k)
-
-    rare = scan(terms.filter("rare").select("query_idx", "token", "weight"))
-    least = written(rare.filter(F.col("rank") == k).select("query_idx", F.col("score").alias("least")), "least")
-    every = terms.select("query_idx", "token", "weight").join(least, "query_idx", "left").fillna(0.0, ["least"])
-    return scan(every)
+    terms = written(query_weights(queries, postings.frequency, postings.n_docs, k), "terms")
+
+    def scan(asked: DataFrame, first: bool) -> DataFrame:
+        score = in_slices(_scorer(postings, first, opened, met), tile_blocks)
+        return scan_terms(postings.blocks, asked, _prepare, score, k, _TERM_BYTES, query_bytes)
+
+    return in_rounds(terms, scan, k)
