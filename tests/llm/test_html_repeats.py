@@ -35,3 +35,11 @@ def test_covered_tokens_are_those_of_long_repeats():
     for hit, sizes in zip(covered, repeats):
         wanted = {j for i, size in enumerate(sizes) if size >= html.LEAST_RUN for j in range(i, i + size)}
         assert set(np.flatnonzero(hit)) == wanted
+
+
+def test_unmarked_blocks_around_an_article_go_through_the_array(spark):
+    shared = "all rights reserved by the owner of this site"
+    page = "<div>before {0}</div><article><p>text {0}</p><p>{1}</p></article><div>after {0}</div><div>{1}</div><nav>aside</nav>"
+    rows = [(i, f"http://a.org/{i}", page.format(i, shared)) for i in range(3)] + [(9, "http://a.org/9", "<article>alone</article>")]
+    found = {r["page_id"]: r["text"] for r in html.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string"), ["page_id"]).collect()}
+    assert found == {i: f"before {i}\ntext {i}\n{shared}\nafter {i}" for i in range(3)} | {9: "alone"}
